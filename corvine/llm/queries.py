@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from corvine.llm import mix, quality
+from corvine.llm import bpe, mix, quality, tokenbin
 
 QUERIES = {
     "op1_mix": mix.op1_mix,
+    "op5_bpe": bpe.op5_bpe,
+    "op7_tokenbin": tokenbin.op7_tokenbin,
     "op10_quality": quality.op10_quality,
 }
 
