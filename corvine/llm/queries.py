@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corvine.llm import bpe, mix, quality, tokenbin
+from corvine.llm import bpe, mix, ppm, quality, tokenbin
 
 QUERIES = {
     "op1_mix": mix.op1_mix,
+    "op4_ppm": ppm.op4_ppm,
     "op5_bpe": bpe.op5_bpe,
     "op7_tokenbin": tokenbin.op7_tokenbin,
     "op10_quality": quality.op10_quality,
