@@ -26,6 +26,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvine.llm.common import read
 from corvine.llm.pieces import Pieces
@@ -225,9 +226,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
     """Adds n_tokens, ids_sha256, decoded_sha256, round_trip, and with ``keep_ids`` the ids, to documents; the text goes."""
     rest = [f for f in docs.schema.fields if f.name != text]
     made = "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * keep_ids
-    schema = docs.select(*[F.col(f"`{f.name}`") for f in rest]).schema
-    for part in made.split(", "):
-        schema = schema.add(part.split()[0], part.split()[1])
+    schema = T.StructType([docs.schema[f.name] for f in rest] + T.StructType.fromDDL(made).fields)
 
     def run(batches):
         import pyarrow as pa

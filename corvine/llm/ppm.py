@@ -170,14 +170,11 @@ def fit(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES, min_count: int =
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """Adds lang_pred, score (how sure the winner is, given equal odds before) and bits_per_byte of the winner."""
-    made = (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("bits_per_byte", T.DoubleType()))
-    names = docs.columns
-    docs = docs.drop(*[c for c, _ in made if c in names])
+    made = T.StructType.fromDDL("lang_pred string, score double, bits_per_byte double")
+    docs = docs.drop(*made.names)
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0), "bits_per_byte": F.lit(None).cast("double")})
-    schema = docs.schema
-    for c, kind in made:
-        schema = schema.add(c, kind)
+    schema = T.StructType(docs.schema.fields + made.fields)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
