@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corvine.llm import bpe, mix, ppm, quality, repeats, tokenbin
+from corvine.llm import bpe, jaccard, mix, ppm, quality, repeats, tokenbin
 
 QUERIES = {
     "op1_mix": mix.op1_mix,
     "op4_ppm": ppm.op4_ppm,
     "op5_bpe": bpe.op5_bpe,
+    "op6_jaccard": jaccard.op6_jaccard,
     "op7_tokenbin": tokenbin.op7_tokenbin,
     "op9_repeats": repeats.op9_repeats,
     "op10_quality": quality.op10_quality,
