@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corvine.llm import bpe, jaccard, mix, ppm, quality, repeats, tokenbin
+from corvine.llm import bpe, embeddings, jaccard, mix, ppm, quality, repeats, tokenbin
 
 QUERIES = {
     "op1_mix": mix.op1_mix,
+    "op3_embeddings": embeddings.op3_embeddings,
     "op4_ppm": ppm.op4_ppm,
     "op5_bpe": bpe.op5_bpe,
     "op6_jaccard": jaccard.op6_jaccard,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_embeddings": embeddings.ORACLE,
     "op1_mix": mix.ORACLE,
     "op10_quality": quality.ORACLE,
 }
