@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvine.llm import bpe, embeddings, jaccard, mix, ppm, quality, repeats, tokenbin
+from corvine.llm import bpe, embeddings, html, jaccard, mix, ppm, quality, repeats, tokenbin
 
 QUERIES = {
     "op1_mix": mix.op1_mix,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_bpe": bpe.op5_bpe,
     "op6_jaccard": jaccard.op6_jaccard,
     "op7_tokenbin": tokenbin.op7_tokenbin,
+    "op8_html": html.op8_html,
     "op9_repeats": repeats.op9_repeats,
     "op10_quality": quality.op10_quality,
 }
