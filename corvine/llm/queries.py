@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corvine.llm import bpe, embeddings, html, jaccard, mix, ppm, quality, repeats, tokenbin
+from corvine.llm import bpe, embeddings, html, jaccard, licenses, mix, ppm, quality, repeats, tokenbin
 
 QUERIES = {
     "op1_mix": mix.op1_mix,
+    "op2_licenses": licenses.op2_licenses,
     "op3_embeddings": embeddings.op3_embeddings,
     "op4_ppm": ppm.op4_ppm,
     "op5_bpe": bpe.op5_bpe,
@@ -17,7 +18,8 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op3_embeddings": embeddings.ORACLE,
     "op1_mix": mix.ORACLE,
+    "op2_licenses": licenses.ORACLE,
+    "op3_embeddings": embeddings.ORACLE,
     "op10_quality": quality.ORACLE,
 }
