@@ -31,8 +31,12 @@ def table_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder, read back: its lineage ends here, and a lost executor costs no recomputation."""
+    """``df`` as a table in the shared folder, read back: its lineage ends here, and a lost executor costs no recomputation.
+
+    The shuffle files behind it are of no more use; Spark removes them once the driver has collected what refers to them.
+    """
     spark = df.sparkSession
     path = table_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)

@@ -7,8 +7,9 @@ bytes. So it runs here over the places where a repeat can be, which cuts the rou
 1. *Anchors.* Of the grams of ``GRAM`` bytes in a window of ``length`` bytes the one with the least hash is its anchor.
    Equal windows have equal anchors at equal offsets, so a window repeats only if its anchor's gram does. About one place
    in a hundred is an anchor; Spark counts grams and keeps the anchors that occur twice or more.
-2. *Contexts.* What surrounds such an anchor holds every window that it is the anchor of. Equal contexts are counted
-   before they meet: where one occurs twice, all its windows repeat.
+2. *Contexts.* What surrounds such an anchor holds every window that it is the anchor of. Contexts are counted by hash:
+   where one occurs twice, all its windows repeat. Only grams that have a context that occurs once, the places where
+   repeats begin and end, go on, with one occurrence of each of their contexts.
 3. *Columns.* The different contexts of a gram are sorted column by column from the right: each round inserts one byte of
    every context into the order of the suffixes so far (stable by the new byte, which is the step of a Burrows-Wheeler
    transform over a collection) and updates the common prefixes of neighbours. A window repeats if the common prefix with
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvine.llm.common import read, table_path
+from corvine.llm.common import read, written
 
 LENGTH, GRAM = 200, 32
 #: Bytes of text handled at once in a task; different contexts of one gram that are gathered; contexts sorted at once.
@@ -163,66 +164,76 @@ def spans_of(windows: np.ndarray, left: np.ndarray, right: np.ndarray, length: i
 
 
 def _stored(docs: DataFrame, length: int) -> DataFrame:
-    """The documents as a table: ``r_id``, the compressed text, its anchors, and the other columns."""
+    """The documents as a table: r_id, the compressed text, its size, its anchors (place, hash of the gram, hash of the context), other columns."""
     rest = [c for c in docs.columns if c != "text"]
-    schema = T.StructType(T.StructType.fromDDL("r_id long, r_text binary, r_places array<int>, r_grams array<long>").fields + [docs.schema[c] for c in rest])
+    made = T.StructType.fromDDL("r_id long, r_text binary, r_size int, r_places array<int>, r_grams array<long>, r_codes array<long>")
+    schema = T.StructType(made.fields + [docs.schema[c] for c in rest])
+    reach = length - GRAM
 
     def run(batches):
         import pyarrow as pa
+        import xxhash
         import zstandard
         from pyspark import TaskContext
 
-        pack, row = zstandard.ZstdCompressor(level=1).compress, TaskContext.get().partitionId() << 33
+        pack, row = zstandard.ZstdCompressor(level=3).compress, TaskContext.get().partitionId() << 33
+        half = 1 << 63
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column(0).to_pylist()]
             found = anchors(texts, length)
-            columns = [pa.array(range(row, row + len(texts)), pa.int64()), pa.array(map(pack, texts), pa.binary())]
-            columns += [pa.array([p for p, _ in found], pa.list_(pa.int32())), pa.array([h for _, h in found], pa.list_(pa.int64()))]
+            # the seed: contexts with equal bytes but the gram at another place must differ
+            codes = [[xxhash.xxh64_intdigest(t[max(0, p - reach) : p + length], min(p, reach)) - half for p in places.tolist()] for t, (places, _) in zip(texts, found, strict=True)]
+            columns = [pa.array(range(row, row + len(texts)), pa.int64()), pa.array(map(pack, texts), pa.binary()), pa.array([len(t) for t in texts], pa.int32())]
+            columns += [pa.array([p for p, _ in found], pa.list_(pa.int32())), pa.array([h for _, h in found], pa.list_(pa.int64())), pa.array(codes, pa.list_(pa.int64()))]
             row += len(texts)
             yield pa.RecordBatch.from_arrays([*columns, *batch.columns[1:]], names=schema.names)
 
-    spark = docs.sparkSession
-    path = table_path(spark, "repeats-docs")
-    docs.select("text", *[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return written(docs.select("text", *[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema), "repeats-docs")
+
+
+def _statuses(places: DataFrame, many: int) -> DataFrame:
+    """(gram, code, n, open, crowded) of contexts whose gram occurs twice or more.
+
+    ``open``: a context of the gram occurs once, and another is there to compare it with; ``crowded``: there are more than ``many``.
+    """
+    counts = places.groupBy("gram", "code").agg(F.count("*").alias("n"))
+    grams = counts.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("codes"), F.min("n").alias("least")).filter("total > 1")
+    grams = grams.select("gram", ((F.col("codes") > 1) & (F.col("least") == 1)).alias("open"), (F.col("codes") > many).alias("crowded"))
+    return written(counts.join(grams, "gram"), "repeats-statuses")
 
 
-def _contexts(stored: DataFrame, length: int) -> DataFrame:
-    """(r_id, place, gram, context, left, right, code) of the anchors whose gram occurs twice or more, as a table."""
+def _contexts(stored: DataFrame, places: DataFrame, statuses: DataFrame, length: int) -> DataFrame:
+    """(gram, code, n, crowded, left, right, context) of one occurrence of each open context."""
     reach = length - GRAM
-    places = stored.select("r_id", F.explode(F.arrays_zip("r_places", "r_grams")).alias("a")).select("r_id", F.col("a.r_places").alias("place"), F.col("a.r_grams").alias("gram"))
-    often = places.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
-    wanted = places.join(often, "gram", "left_semi").groupBy("r_id").agg(F.collect_list(F.struct("place", "gram")).alias("wanted"))
-    schema = "r_id long, place int, gram long, code long, left int, right int, context binary"
+    wanted = places.join(statuses.filter("open").select("gram", "code", "n", "crowded"), ["gram", "code"])
+    wanted = wanted.groupBy("gram", "code", "n", "crowded").agg(F.min(F.struct("r_id", "place")).alias("first"))
+    wanted = wanted.groupBy(F.col("first.r_id").alias("r_id")).agg(F.collect_list(F.struct("gram", "code", "n", "crowded", F.col("first.place").alias("place"))).alias("wanted"))
+    schema = "gram long, code long, n long, crowded boolean, left int, right int, context binary"
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
         names = [x.split()[0] for x in schema.split(", ")]
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for r_id, packed, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for packed, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = unpack(packed)
-                n = len(text)
+                size = len(text)
                 for w in wanted:
                     p = w["place"]
-                    left, right = min(p, reach), min(n - p, length)
+                    left, right = min(p, reach), min(size - p, length)
                     context = bytes(reach - left) + text[p - left : p + right] + bytes(length - right)
-                    code = int.from_bytes(xxhash.xxh64_digest(context, left << 16 | right), "little", signed=True)
-                    for column, value in zip(out, (r_id, p, w["gram"], code, left, right, context), strict=True):
+                    for column, value in zip(out, (w["gram"], w["code"], w["n"], w["crowded"], left, right, context), strict=True):
                         column.append(value)
                 if len(out[0]) >= 20_000:
                     yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=names)
                     out = [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=names)
 
-    path = table_path(stored.sparkSession, "repeats-contexts")
-    stored.select("r_id", "r_text").join(wanted, "r_id").select("r_id", "r_text", "wanted").mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
-    return stored.sparkSession.read.schema(schema).parquet(path)
+    return stored.select("r_id", "r_text").join(wanted, "r_id").select("r_text", "wanted").mapInArrow(run, schema)
 
 
 def _by_columns(contexts: DataFrame, length: int) -> DataFrame:
@@ -236,9 +247,8 @@ def _by_columns(contexts: DataFrame, length: int) -> DataFrame:
             codes, counts, left, right = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in (1, 2, 3, 4))
             data = np.frombuffer(b"".join([c for b in held for c in b.column(5).to_pylist()]), np.uint8).reshape(len(grams), -1)
             windows = repeated_windows(np.ascontiguousarray(data.T), length)
-            windows[:, counts > 1] = True
             spans = spans_of(windows, left, right, length)
-            keep = [i for i, s in enumerate(spans) if s]
+            keep = [i for i, s in enumerate(spans) if s and counts[i] == 1]
             return pa.RecordBatch.from_arrays([pa.array(grams[keep]), pa.array(codes[keep]), pa.array([spans[i] for i in keep], pa.list_(pa.int32()))], names=["gram", "code", "spans"])
 
         held, n = [], 0
@@ -274,22 +284,30 @@ def _by_hashes(contexts: DataFrame, length: int) -> DataFrame:
     windows = windows.filter((reach - F.col("start") <= F.col("left")) & (length - reach + F.col("start") <= F.col("right")))
     windows = windows.select("gram", "code", "n", "start", F.md5(window).alias("window"))
     often = windows.groupBy("gram", "start", "window").agg(F.sum("n").alias("m")).filter("m > 1").select("gram", "start", "window")
-    found = windows.join(often, ["gram", "start", "window"], "left_semi")
+    found = windows.filter("n = 1").join(often, ["gram", "start", "window"], "left_semi")
     ends = lambda s: F.array(s - reach, s - reach + length)
     return found.groupBy("gram", "code").agg(F.flatten(F.transform(F.array_sort(F.collect_list("start")), ends)).alias("spans"))
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> DataFrame:
     """Replaces ``text`` by kept (binary: what is left), n_bytes, n_removed, n_spans, spans (ends of removed runs), kept_sha256."""
+    reach = length - GRAM
     stored = _stored(docs, length)
-    places = _contexts(stored, length)
-    different = places.groupBy("gram", "code", "left", "right", "context").agg(F.count("*").alias("n"))
-    crowded = places.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > many).select("gram")
-    crowded = places.join(crowded, "gram", "left_semi").select("gram", "code").distinct().groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > many).select("gram")
-    few = different.join(crowded, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram")
-    spans = _by_columns(few, length).unionByName(_by_hashes(different.join(crowded, "gram", "left_semi"), length))
-    shifted = F.transform("spans", lambda x: x + F.col("place"))
-    own = places.select("r_id", "place", "gram", "code").join(spans, ["gram", "code"]).select("r_id", shifted.alias("spans")).groupBy("r_id").agg(F.flatten(F.collect_list("spans")).alias("r_spans"))
+    places = stored.select("r_id", "r_size", F.explode(F.arrays_zip("r_places", "r_grams", "r_codes")).alias("a"))
+    places = places.select("r_id", "r_size", F.col("a.r_places").alias("place"), F.col("a.r_grams").alias("gram"), F.col("a.r_codes").alias("code"))
+    statuses = _statuses(places.select("gram", "code"), many)
+    contexts = _contexts(stored, places.select("r_id", "place", "gram", "code"), statuses, length)
+    crowd = statuses.filter("crowded AND open").isEmpty()
+    contexts = contexts if crowd else written(contexts, "repeats-contexts")
+    found = _by_columns((contexts if crowd else contexts.filter("NOT crowded")).repartition("gram").sortWithinPartitions("gram"), length)
+    if not crowd:
+        found = found.unionByName(_by_hashes(contexts.filter("crowded"), length))
+    found = written(found, "repeats-spans")
+    # a context that occurs twice repeats whole; of the others the spans are known
+    known = statuses.filter("n > 1").select("gram", "code", F.lit(None).cast("array<int>").alias("spans")).unionByName(found)
+    whole = F.array(F.greatest(F.col("place") - reach, F.lit(0)), F.least(F.col("place") + length, F.col("r_size")))
+    own = places.join(known, ["gram", "code"]).select("r_id", F.coalesce(F.transform("spans", lambda x: x + F.col("place")), whole).alias("spans"))
+    own = own.groupBy("r_id").agg(F.flatten(F.collect_list("spans")).alias("r_spans"))
     rest = [c for c in docs.columns if c != "text"]
     made = T.StructType.fromDDL("kept binary, n_bytes long, n_removed long, n_spans long, spans array<int>, kept_sha256 string")
     schema = T.StructType([docs.schema[c] for c in rest] + made.fields)
