@@ -24,6 +24,7 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,8 +33,8 @@ from corvine.llm.common import read
 from corvine.llm.pieces import Pieces
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: States, transitions and pieces that a Python worker remembers.
-REMEMBERED = 400_000
+#: States, transitions and matches, and pieces, that a Python worker remembers.
+REMEMBERED, PIECES = 400_000, 700_000
 ROOT = 0
 
 
@@ -179,13 +180,14 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.transducer = Transducer(load_ranks(path))
         self.matches: dict[str, str] = {}
-        self.pieces = Pieces(self.joined_all, REMEMBERED)
+        self.pieces = Pieces(self.joined_all, PIECES)
+        self.written = {str(i): t for i, t in self.transducer.bytes_of.items()}
         self.decoded: dict[str, bytes] = {}
 
     def joined(self, text: str) -> str:
         """The decimal ids of a text, joined by commas."""
         out, known = [], self.matches
-        if len(known) > self.pieces.limit:
+        if len(known) > REMEMBERED:
             known.clear()
         for match in self.find(text):
             if (ids := known.get(match)) is None:
@@ -209,9 +211,8 @@ class Codec:
         try:
             data = b"".join(map(known.__getitem__, portions))
         except KeyError:
-            bytes_of = stream.bytes_of
             for p in set(portions).difference(known):
-                known[p] = b"".join([bytes_of[int(i)] for i in p.split(",")]) if p else b""
+                known[p] = b"".join(map(self.written.__getitem__, p.split(","))) if p else b""
             data = b"".join(map(known.__getitem__, portions))
         text = "".join(stream.feed(data[i : i + 65536]) for i in range(0, len(data), 65536)) + stream.close()
         return text, stream.digest.hexdigest()
@@ -243,7 +244,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
                 decoded_hex.append(digest)
                 same.append(back == t)
                 if keep_ids:
-                    ids.append([int(i) for i in joined.split(",")] if joined else [])
+                    ids.append(np.fromstring(joined, dtype=np.int32, sep=",") if joined else np.zeros(0, np.int32))
             columns = [*batch.columns[1:], pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(decoded_hex, pa.string()), pa.array(same, pa.bool_())]
             columns += [pa.array(ids, pa.list_(pa.int32()))] * keep_ids
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
