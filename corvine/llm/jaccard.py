@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvine.llm.common import read, table_path, written
+from corvine.llm.common import read, written
 from corvine.llm.components import components
 from corvine.llm.shingles import portions, shingles
 
@@ -89,9 +89,7 @@ def _stored(docs: DataFrame) -> DataFrame:
             row += len(texts)
             yield pa.RecordBatch.from_arrays([*columns, *batch.columns[1:]], names=schema.names)
 
-    path = table_path(docs.sparkSession, "jaccard-docs")
-    docs.select("text", *[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
-    return docs.sparkSession.read.schema(schema).parquet(path)
+    return written(docs.select("text", *[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema), "jaccard-docs")
 
 
 def leaves(nodes: DataFrame, n_runs: int) -> DataFrame:

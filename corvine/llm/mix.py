@@ -56,20 +56,20 @@ def fill(sources: DataFrame, total: float, max_epochs: float) -> DataFrame:
     return sources.withColumn("target", target.cast("double"))
 
 
-def mix(docs: DataFrame, weigh=cyclic_weights, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, size) -> those, source_size, target, repeats, taken.
+def mix(docs: DataFrame, weigh=cyclic_weights, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED, keep: tuple = ()) -> DataFrame:
+    """(doc_id, source, size) -> those, the columns ``keep``, source_size, target, repeats, taken.
 
     ``weigh`` adds a weight to one row per source; ``share`` of all sizes is what the mix holds; ``seed`` fixes the choice.
     """
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    docs = written(docs.select("doc_id", "source", "size", key.alias("mix_key")).withColumn("mix_bucket", F.substring("mix_key", 1, 4)), "mix-docs")
+    docs = written(docs.select("doc_id", "source", "size", *keep, key.alias("mix_key")).withColumn("mix_bucket", F.substring("mix_key", 1, 4)), "mix-docs")
     buckets = docs.groupBy("source", "mix_bucket").agg(F.sum("size").alias("bucket_size"))
     sources = written(weigh(buckets.groupBy("source").agg(F.sum("bucket_size").alias("source_size"))), "mix-sources")
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     targets = fill(sources, share * total, max_epochs)
     before = F.sum("bucket_size").over(Window.partitionBy("source").orderBy("mix_bucket").rowsBetween(Window.unboundedPreceding, -1))
     starts = buckets.withColumn("bucket_start", F.coalesce(before, F.lit(0))).select(F.col("source").alias("b_source"), F.col("mix_bucket").alias("b_bucket"), "bucket_start")
-    within = F.sum("size").over(Window.partitionBy("source", "mix_bucket").orderBy("mix_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
+    within = F.sum("size").over(Window.partitionBy("source", "mix_bucket").orderBy("mix_key", "doc_id", "size", *keep).rowsBetween(Window.unboundedPreceding, -1))
     placed = docs.withColumn("within", F.coalesce(within, F.lit(0))).join(starts, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("mix_bucket") == F.col("b_bucket")))
     placed = placed.join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source")))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -78,7 +78,7 @@ def mix(docs: DataFrame, weigh=cyclic_weights, share: float = SHARE, max_epochs:
     return (
         placed.withColumn("whole", whole)
         .withColumn("repeats", F.col("whole") + F.when(once_more & (F.col("size") > 0), 1).otherwise(0))
-        .select("doc_id", "source", "size", "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
+        .select("doc_id", "source", "size", *keep, "source_size", "target", "repeats", (F.col("size") * F.col("repeats")).alias("taken"))
     )
 
 

@@ -289,8 +289,11 @@ def _by_hashes(contexts: DataFrame, length: int) -> DataFrame:
     return found.groupBy("gram", "code").agg(F.flatten(F.transform(F.array_sort(F.collect_list("start")), ends)).alias("spans"))
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> DataFrame:
-    """Replaces ``text`` by kept (binary: what is left), n_bytes, n_removed, n_spans, spans (ends of removed runs), kept_sha256."""
+def repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY, characters: bool = False) -> DataFrame:
+    """Replaces ``text`` by kept (binary: what is left), n_bytes, n_removed, n_spans, spans (ends of removed runs), kept_sha256.
+
+    With ``characters`` a character goes only if all its bytes do, so that what is left is UTF-8.
+    """
     reach = length - GRAM
     stored = _stored(docs, length)
     places = stored.select("r_id", "r_size", F.explode(F.arrays_zip("r_places", "r_grams", "r_codes")).alias("a"))
@@ -328,6 +331,9 @@ def repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY) -> DataFram
                     np.add.at(depth, spans[::2], 1)
                     np.add.at(depth, spans[1::2], -1)
                     gone = np.cumsum(depth) > 0
+                    if characters:
+                        begins = np.flatnonzero((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)
+                        gone[:-1] = np.repeat(np.logical_and.reduceat(gone[:-1], begins), np.diff(begins, append=len(text)))
                     ends = np.flatnonzero(np.diff(gone, prepend=False))
                     kept = np.frombuffer(text, np.uint8)[~gone[:-1]].tobytes()
                 for column, value in zip(out, (kept, len(text), len(text) - len(kept), len(ends) // 2, ends, hashlib.sha256(kept).hexdigest()), strict=True):
