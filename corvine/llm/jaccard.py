@@ -33,7 +33,7 @@ from corvine.llm.components import components
 from corvine.llm.shingles import portions, shingles
 
 THRESHOLD, TARGET_RECALL = 0.8, 0.9999
-TOKENS, BRANCHES, SMALL, DEPTH = 64, 2, 64, 4
+TOKENS, BRANCHES, SMALL, DEPTH = 64, 2, 1024, 4
 #: Of the tokens as many must agree for a candidate: 4.7 standard deviations below what the threshold expects.
 AGREE = 36
 LEAF_BLOCK, TEXT_BLOCK, VOCABULARY_BLOCK = 2048, 1024, 8192
@@ -71,22 +71,22 @@ def signatures(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]
 
 
 def _stored(docs: DataFrame) -> DataFrame:
-    """The documents as a table: j_id, j_digest, j_size, j_tokens, the compressed text, and the other columns."""
+    """The documents as a table: j_id, j_digest, j_size, j_tokens, their low bytes, the compressed text, and the other columns."""
     rest = [c for c in docs.columns if c != "text"]
-    schema = T.StructType(T.StructType.fromDDL("j_id long, j_digest binary, j_size long, j_tokens array<int>, j_text binary").fields + [docs.schema[c] for c in rest])
+    schema = T.StructType(T.StructType.fromDDL("j_id long, j_digest binary, j_size long, j_tokens array<int>, j_sketch binary, j_text binary").fields + [docs.schema[c] for c in rest])
 
     def run(batches):
         import pyarrow as pa
         import zstandard
         from pyspark import TaskContext
 
-        pack, row = zstandard.ZstdCompressor(level=1).compress, TaskContext.get().partitionId() << 33
+        pack, at = zstandard.ZstdCompressor(level=3).compress, TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column(0).to_pylist()]
             tokens, digests, sizes = signatures(texts)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, tokens.size + 1, TOKENS, dtype=np.int32)), pa.array(tokens.view(np.int32).reshape(-1)))
-            columns = [pa.array(range(row, row + len(texts)), pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes), lists, pa.array(map(pack, texts), pa.binary())]
-            row += len(texts)
+            columns = [pa.array(range(at, at + len(texts)), pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes), lists, pa.array([row.tobytes() for row in tokens.astype(np.uint8)], pa.binary()), pa.array(map(pack, texts), pa.binary())]
+            at += len(texts)
             yield pa.RecordBatch.from_arrays([*columns, *batch.columns[1:]], names=schema.names)
 
     return written(docs.select("text", *[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema), "jaccard-docs")
@@ -163,7 +163,7 @@ def least_neighbours(near: np.ndarray) -> np.ndarray:
 
 
 def candidate_links(members: DataFrame) -> DataFrame:
-    """(path, block_a, block_b, node, j_tokens), sorted -> (a, b): a spanning forest of what agrees in each unit."""
+    """(path, block_a, block_b, node, j_sketch), sorted -> (a, b): a spanning forest of what agrees in each unit."""
 
     def run(batches):
         import pyarrow as pa
@@ -179,7 +179,7 @@ def candidate_links(members: DataFrame) -> DataFrame:
             nodes = group.column(3).to_numpy()
             if len(nodes) < 2:
                 continue
-            tokens = group.column(4).combine_chunks().flatten().to_numpy().reshape(len(nodes), TOKENS)
+            tokens = np.frombuffer(b"".join(group.column(4).to_pylist()), np.uint8).reshape(len(nodes), TOKENS)
             if len(nodes) == 2:
                 pairs = np.array([[0, 1]]) if (tokens[0] == tokens[1]).sum() >= AGREE else np.zeros((0, 2), np.int64)
             else:
@@ -199,7 +199,7 @@ def candidate_links(members: DataFrame) -> DataFrame:
         if held:
             yield batch_out()
 
-    return members.select("path", "block_a", "block_b", "node", "j_tokens").mapInArrow(run, "a long, b long")
+    return members.select("path", "block_a", "block_b", "node", "j_sketch").mapInArrow(run, "a long, b long")
 
 
 def shared_counts(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
@@ -280,8 +280,8 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     nodes = stored.filter("j_size > 0").groupBy("j_digest").agg(F.min("j_id").alias("node"), F.count("*").alias("copies"))
     nodes = written(nodes, "jaccard-nodes")
     heads = stored.join(nodes.select(F.col("node").alias("j_id"), F.col("node"), "copies"), "j_id")
-    tokens = written(heads.select("node", "j_tokens"), "jaccard-tokens")
-    units = in_blocks(leaves(tokens, runs(threshold, recall)).join(tokens, "node"), "path", "node", "n", LEAF_BLOCK)
+    tokens = written(heads.select("node", "j_tokens", "j_sketch"), "jaccard-tokens")
+    units = in_blocks(leaves(tokens, runs(threshold, recall)).join(tokens.select("node", "j_sketch"), "node"), "path", "node", "n", LEAF_BLOCK)
     clusters = written(components(candidate_links(units)).withColumnRenamed("component", "cluster"), "jaccard-clusters")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
     members = heads.select("node", "copies", "j_text").join(clusters, "node").join(sizes, "cluster")
