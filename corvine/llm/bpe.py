@@ -26,10 +26,9 @@ from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvine.llm.common import read
+from corvine.llm.common import packed, read, unpacked
 from corvine.llm.pieces import Pieces
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -225,9 +224,10 @@ def codec(path: str, pattern: str) -> Codec:
 
 def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
     """Adds n_tokens, ids_sha256, decoded_sha256, round_trip, and with ``keep_ids`` the ids, to documents; the text goes."""
-    rest = [f for f in docs.schema.fields if f.name != text]
+    docs, names = packed(docs, text)
     made = "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * keep_ids
-    schema = T.StructType([docs.schema[f.name] for f in rest] + T.StructType.fromDDL(made).fields)
+    made = T.StructType.fromDDL(made)
+    schema = T.StructType([docs.schema["rest"], *made.fields])
 
     def run(batches):
         import pyarrow as pa
@@ -249,7 +249,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
             columns += [pa.array(ids, pa.list_(pa.int32()))] * keep_ids
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.select(F.col(f"`{text}`"), *[F.col(f"`{f.name}`") for f in rest]).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).select(*unpacked(names, *made.names))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word, as the contracts define it: anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,6 +31,18 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corvine/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def packed(df: DataFrame, *used: str) -> tuple[DataFrame, list[str]]:
+    """The columns ``used`` and one struct ``rest`` of all others, so that no name of theirs meets one of an operator's; and their names."""
+    rest = [c for c in df.columns if c not in used]
+    fields = [F.col(f"`{c}`") for c in rest] or [F.lit(None).cast("string").alias("nothing")]
+    return df.select(*[F.col(f"`{c}`") for c in used], F.struct(*fields).alias("rest")), rest
+
+
+def unpacked(names: list[str], *made: str) -> list:
+    """The packed columns again, but for those that ``made`` replaces, and then ``made``."""
+    return [F.col(f"rest.`{c}`") for c in names if c not in made] + [F.col(c) for c in made]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read back: its lineage ends here, and a lost executor costs no recomputation.
 

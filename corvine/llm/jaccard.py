@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvine.llm.common import read, written
+from corvine.llm.common import packed, read, unpacked, written
 from corvine.llm.components import components
 from corvine.llm.shingles import portions, shingles
 
@@ -71,9 +71,8 @@ def signatures(texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]
 
 
 def _stored(docs: DataFrame) -> DataFrame:
-    """The documents as a table: j_id, j_digest, j_size, j_tokens, their low bytes, the compressed text, and the other columns."""
-    rest = [c for c in docs.columns if c != "text"]
-    schema = T.StructType(T.StructType.fromDDL("j_id long, j_digest binary, j_size long, j_tokens array<int>, j_sketch binary, j_text binary").fields + [docs.schema[c] for c in rest])
+    """(text, doc_id, rest) as a table: j_id, j_digest, j_size, j_tokens, their low bytes, the compressed text, doc_id, rest."""
+    schema = T.StructType(T.StructType.fromDDL("j_id long, j_digest binary, j_size long, j_tokens array<int>, j_sketch binary, j_text binary").fields + [docs.schema["doc_id"], docs.schema["rest"]])
 
     def run(batches):
         import pyarrow as pa
@@ -89,7 +88,7 @@ def _stored(docs: DataFrame) -> DataFrame:
             at += len(texts)
             yield pa.RecordBatch.from_arrays([*columns, *batch.columns[1:]], names=schema.names)
 
-    return written(docs.select("text", *[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema), "jaccard-docs")
+    return written(docs.mapInArrow(run, schema), "jaccard-docs")
 
 
 def leaves(nodes: DataFrame, n_runs: int) -> DataFrame:
@@ -272,10 +271,11 @@ def verified_links(members: DataFrame, threshold: float) -> DataFrame:
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
-    """Adds to documents (doc_id, text, ...) n_links, component_id (least doc_id that links reach, its own included) and kept.
+    """Adds to documents (doc_id, text, ...) j_text (the compressed text, in place of text), n_links, component_id (least doc_id that links reach, its own included) and kept.
 
     ``kept`` is true for one row of each component.
     """
+    docs, names = packed(docs, "text", "doc_id")
     stored = _stored(docs)
     nodes = stored.filter("j_size > 0").groupBy("j_digest").agg(F.min("j_id").alias("node"), F.count("*").alias("copies"))
     nodes = written(nodes, "jaccard-nodes")
@@ -297,8 +297,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
         F.when(F.col("j_group").isNull(), F.col("doc_id")).otherwise(F.col("g_doc")).alias("component_id"),
         F.coalesce(F.col("g_first.j_id") == F.col("j_id"), F.lit(True)).alias("kept"),
     )
-    rest = [c for c in docs.columns if c not in ("text", "n_links", "component_id", "kept")]
-    return stored.select("j_id", *[F.col(f"`{c}`") for c in rest], "j_text").join(found, "j_id").drop("j_id")
+    return stored.select("j_id", "doc_id", "rest", "j_text").join(found, "j_id").select("doc_id", *unpacked(names, "j_text", "n_links", "component_id", "kept"))
 
 
 def with_text(joined: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvine.llm.common import read
+from corvine.llm.common import packed, read, unpacked
 
 ORDER, MIN_COUNT, MAX_NODES, SAMPLE_BYTES, SEGMENT = 4, 24, 12_000, 800_000, 1 << 19
 #: What stands before a text.
@@ -85,7 +85,7 @@ class Model:
 
     def __init__(self, langs: list[str], k: np.ndarray, key: np.ndarray, lang: np.ndarray, n: np.ndarray, max_nodes: int = MAX_NODES):
         self.langs = langs
-        seen = np.unique(key[k == 0])
+        seen = np.unique(np.append(key[k == 0], list(BEFORE)))
         self.symbol = np.full(256, len(seen), dtype=np.int32)  # bytes that were never seen share one symbol
         self.symbol[seen] = np.arange(len(seen))
         width = len(seen) + 1
@@ -171,9 +171,9 @@ def fit(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES, min_count: int =
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """Adds lang_pred, score (how sure the winner is, given equal odds before) and bits_per_byte of the winner."""
     made = T.StructType.fromDDL("lang_pred string, score double, bits_per_byte double")
-    docs = docs.drop(*made.names)
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNDETERMINED), "score": F.lit(0.0), "bits_per_byte": F.lit(None).cast("double")})
+    docs, names = packed(docs, "text")
     schema = T.StructType(docs.schema.fields + made.fields)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -190,12 +190,12 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
             least = bits[np.arange(len(bits)), best]
             score = 1.0 / np.exp2(np.maximum(least[:, None] - bits, -1000.0)).sum(axis=1)
             lang = [trees.langs[i] if ok else UNDETERMINED for i, ok in zip(best, has, strict=True)]
-            columns = [*batch.columns[2:], pa.array(lang, pa.string()), pa.array([float(s) if ok else 0.0 for s, ok in zip(score, has, strict=True)], pa.float64())]
+            columns = [batch.column(0), batch.column(2), pa.array(lang, pa.string()), pa.array([float(s) if ok else 0.0 for s, ok in zip(score, has, strict=True)], pa.float64())]
             columns.append(pa.array([float(b) / len(d) if d else None for b, d in zip(least, data, strict=True)], pa.float64()))
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     letters = F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False))
-    return docs.select(F.col("text").alias("_text"), letters.alias("_letters"), "*").mapInArrow(run, schema)
+    return docs.select("text", letters.alias("letters"), "rest").mapInArrow(run, schema).select("text", *unpacked(names, *made.names))
 
 
 def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

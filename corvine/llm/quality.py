@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvine.llm.common import read
+from corvine.llm.common import packed, read, unpacked
 
 #: Frequent short words of English, German, French and Spanish (fixed values).
 STOP_WORDS = """
@@ -107,8 +107,10 @@ def failed(rules) -> Column:
 
 def quality(docs: DataFrame, rules=RULES, n_base: int = N_BASE) -> DataFrame:
     """Adds the metrics, ``base_failed`` and ``kept`` to documents with a ``text``."""
-    docs = docs.withColumns(metrics(F.col("text"))).select("*", "over_words.*", "over_lines.*").drop("over_words", "over_lines")
-    return docs.withColumns({"base_failed": failed(rules[:n_base]), "kept": ~failed(rules)})
+    docs, names = packed(docs, "text")
+    judged = docs.withColumns(metrics(F.col("text"))).select("text", "rest", "n_symbols", "over_words.*", "over_lines.*")
+    judged = judged.withColumns({"base_failed": failed(rules[:n_base]), "kept": ~failed(rules)})
+    return judged.select("text", *unpacked(names, *[c for c in judged.columns if c not in ("text", "rest")]))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvine.llm.common import read, written
+from corvine.llm.common import packed, read, unpacked, written
 
 LENGTH, GRAM = 200, 32
 #: Bytes of text handled at once in a task; different contexts of one gram that are gathered; contexts sorted at once.
@@ -164,10 +164,9 @@ def spans_of(windows: np.ndarray, left: np.ndarray, right: np.ndarray, length: i
 
 
 def _stored(docs: DataFrame, length: int) -> DataFrame:
-    """The documents as a table: r_id, the compressed text, its size, its anchors (place, hash of the gram, hash of the context), other columns."""
-    rest = [c for c in docs.columns if c != "text"]
+    """(text, rest) as a table: r_id, the compressed text, its size, its anchors (place, hash of the gram, hash of the context), rest."""
     made = T.StructType.fromDDL("r_id long, r_text binary, r_size int, r_places array<int>, r_grams array<long>, r_codes array<long>")
-    schema = T.StructType(made.fields + [docs.schema[c] for c in rest])
+    schema = T.StructType(made.fields + [docs.schema["rest"]])
     reach = length - GRAM
 
     def run(batches):
@@ -188,7 +187,7 @@ def _stored(docs: DataFrame, length: int) -> DataFrame:
             row += len(texts)
             yield pa.RecordBatch.from_arrays([*columns, *batch.columns[1:]], names=schema.names)
 
-    return written(docs.select("text", *[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema), "repeats-docs")
+    return written(docs.mapInArrow(run, schema), "repeats-docs")
 
 
 def _statuses(places: DataFrame, many: int) -> DataFrame:
@@ -295,6 +294,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY, characters:
     With ``characters`` a character goes only if all its bytes do, so that what is left is UTF-8.
     """
     reach = length - GRAM
+    docs, names = packed(docs, "text")
     stored = _stored(docs, length)
     places = stored.select("r_id", "r_size", F.explode(F.arrays_zip("r_places", "r_grams", "r_codes")).alias("a"))
     places = places.select("r_id", "r_size", F.col("a.r_places").alias("place"), F.col("a.r_grams").alias("gram"), F.col("a.r_codes").alias("code"))
@@ -311,9 +311,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY, characters:
     whole = F.array(F.greatest(F.col("place") - reach, F.lit(0)), F.least(F.col("place") + length, F.col("r_size")))
     own = places.join(known, ["gram", "code"]).select("r_id", F.coalesce(F.transform("spans", lambda x: x + F.col("place")), whole).alias("spans"))
     own = own.groupBy("r_id").agg(F.flatten(F.collect_list("spans")).alias("r_spans"))
-    rest = [c for c in docs.columns if c != "text"]
     made = T.StructType.fromDDL("kept binary, n_bytes long, n_removed long, n_spans long, spans array<int>, kept_sha256 string")
-    schema = T.StructType([docs.schema[c] for c in rest] + made.fields)
+    schema = T.StructType([docs.schema["rest"], *made.fields])
 
     def cut(batches):
         import pyarrow as pa
@@ -341,7 +340,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY, characters:
             types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], *[pa.array(v, t) for v, t in zip(out, types, strict=True)]], names=schema.names)
 
-    return stored.join(own, "r_id", "left").select("r_text", "r_spans", *[F.col(f"`{c}`") for c in rest]).mapInArrow(cut, schema)
+    return stored.join(own, "r_id", "left").select("r_text", "r_spans", "rest").mapInArrow(cut, schema).select(*unpacked(names, *made.names))
 
 
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
