@@ -32,9 +32,11 @@ from corvine.llm.common import packed, read, unpacked
 from corvine.llm.pieces import Pieces
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: States, transitions and matches, and pieces, that a Python worker remembers.
-REMEMBERED, PIECES = 400_000, 700_000
+#: States, pairs and matches, and pieces, that a Python worker remembers.
+REMEMBERED, PIECES = 250_000, 400_000
 ROOT = 0
+#: ASCII punctuation that is never part of a contraction.
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -48,6 +50,7 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], limit: int = REMEMBERED):
         self.ranks, self.limit = ranks, limit
         self.bytes_of = {i: t for t, i in ranks.items()}
+        self.size_of = {i: len(t) for t, i in ranks.items()}
         self.down: dict[int, int] = {}  # trie: node * 256 + byte -> node
         self.token_at = [-1]
         for token, i in ranks.items():
@@ -62,9 +65,9 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        self.states = [((-1, ROOT),)]
-        self.number = {self.states[0]: 0}
-        self.moves: dict[int, tuple[int, int, bool]] = {}
+        # a state is a dictionary: byte -> (next state, token that ends there, whether one thread is left); at -1 its threads
+        self.start = {-1: ((-1, ROOT),)}
+        self.states = {self.start[-1]: self.start}
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a byte, or if the merges never make it."""
@@ -108,10 +111,10 @@ class Transducer:
         self.follows[key] = found
         return found
 
-    def _move(self, state: int, byte: int) -> tuple[int, int, bool]:
+    def _move(self, state: dict, byte: int) -> tuple[dict, int, bool]:
         """The next state, the token that ends here, and whether one thread is left."""
         threads, last = [], -1
-        for token, node in self.states[state]:
+        for token, node in state[-1]:
             node = self.down.get(node << 8 | byte, -1)
             if node < 0:
                 continue
@@ -121,23 +124,22 @@ class Transducer:
                 last = ending
         threads.append((last, ROOT))
         key = tuple(threads)
-        if (to := self.number.get(key)) is None:
-            to = self.number[key] = len(self.states)
-            self.states.append(key)
-        self.moves[state << 8 | byte] = found = to, last, len(key) == 1
+        if (to := self.states.get(key)) is None:
+            to = self.states[key] = {-1: key}
+        state[byte] = found = to, last, len(key) == 1
         return found
 
     def encode(self, match: bytes) -> list[int]:
         """The ids of one match of the pattern."""
         if (whole := self.ranks.get(match)) is not None:
             return [whole]
-        if len(self.moves) > self.limit:
+        if len(self.states) > self.limit:
             self._forget()
         out: list[int] = []
         ends: list[int] = []  # the token that ends at each place since the last output
-        state, moves = 0, self.moves
+        state = self.start
         for byte in match:
-            state, last, alone = moves.get(state << 8 | byte) or self._move(state, byte)
+            state, last, alone = state.get(byte) or self._move(state, byte)
             ends.append(last)
             if alone:
                 self._settle(ends, out)
@@ -145,11 +147,12 @@ class Transducer:
         return out
 
     def _settle(self, ends: list[int], out: list[int]) -> None:
-        at, back = len(ends), []
+        at, back, size = len(ends), [], self.size_of
         while at:
-            back.append(ends[at - 1])
-            at -= len(self.bytes_of[ends[at - 1]])
-        out += reversed(back)
+            token = ends[at - 1]
+            back.append(token)
+            at -= size[token]
+        out += back[::-1]
         ends.clear()
 
 
@@ -183,12 +186,20 @@ class Codec:
         self.written = {str(i): t for i, t in self.transducer.bytes_of.items()}
         self.decoded: dict[str, bytes] = {}
 
+    def matched(self, text: str) -> list[str]:
+        """The matches of the pattern; of a plain ASCII word behind a space, with or without punctuation, told without a search."""
+        if text.isascii() and text[:1] == " ":
+            word = text.rstrip(PUNCTUATION)
+            if word[1:].isalpha():
+                return [word] if len(word) == len(text) else [word, text[len(word) :]]
+        return self.find(text)
+
     def joined(self, text: str) -> str:
         """The decimal ids of a text, joined by commas."""
         out, known = [], self.matches
         if len(known) > REMEMBERED:
             known.clear()
-        for match in self.find(text):
+        for match in self.matched(text):
             if (ids := known.get(match)) is None:
                 ids = known[match] = ",".join(map(str, self.transducer.encode(match.encode())))
             out.append(ids)

@@ -33,6 +33,13 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/corvine/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def release(spark: SparkSession) -> None:
+    """Removes the intermediate tables that this application has written so far. No result that reads them may be open."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(f"{shared_dir(spark)}/corvine/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def packed(df: DataFrame, *used: str) -> tuple[DataFrame, list[str]]:
     """The columns ``used`` and one struct ``rest`` of all others, so that no name of theirs meets one of an operator's; and their names."""
     rest = [c for c in df.columns if c not in used]
