@@ -6,12 +6,14 @@ empty texts are rejected by the first stage; repeated rows and ties are handled
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.llm import bpe, jaccard, mix, ppm, repeats
-from corvine.llm.common import read, written
+from corvine.llm.common import CLEANUP, read, release, shared_dir, written
 
 #: A text whose best code is longer than its bytes is in none of the learned languages.
 MOST_BITS = 8.0
@@ -49,12 +51,26 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(docs, public_tokenizers.path(bpe.VOCABULARY), public_tokenizers.PATTERN, keep_ids=True)
 
 
+def alone(stage):
+    """A stage that begins by removing what the stages before left in the shared folder: their results are written by then.
+
+    Its own result is written at once too, so Spark may remove shuffle files when an execution ends.
+    """
+
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        spark.conf.set(CLEANUP, "true")
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("language_id", language),
-    ("ngram_jaccard_join", near_duplicates),
-    ("suffix_array_dedup", repeated_passages),
-    ("source_mixing", mixture),
-    ("byte_bpe", tokens),
+    ("language_id", alone(language)),
+    ("ngram_jaccard_join", alone(near_duplicates)),
+    ("suffix_array_dedup", alone(repeated_passages)),
+    ("source_mixing", alone(mixture)),
+    ("byte_bpe", alone(tokens)),
 ]
 #: Three stages are beyond SQL; tests hold them against brute force.
 ORACLE_SQL = None
@@ -62,6 +78,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
