@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corvine.llm import bpe, jaccard, mix, ppm, repeats
 from corvine.llm.common import CLEANUP, read, release, shared_dir, written
+from corvine.session import ship
 
 #: A text whose best code is longer than its bytes is in none of the learned languages.
 MOST_BITS = 8.0
@@ -58,6 +59,7 @@ def alone(stage):
     """
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
         release(spark)
         spark.conf.set(CLEANUP, "true")
         return stage(spark, docs, sf_dir)
