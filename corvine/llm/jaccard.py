@@ -102,10 +102,10 @@ def leaves(nodes: DataFrame, n_runs: int) -> DataFrame:
         paths = written(paths, f"paths-{depth}")
         sizes = paths.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1")
         if depth == DEPTH:
-            found.append(paths.join(sizes, "path"))
+            found.append(paths.join(sizes.hint("merge"), "path"))
             break
         sizes = written(sizes, f"sizes-{depth}")
-        found.append(paths.join(sizes.filter(F.col("n") <= SMALL), "path"))
+        found.append(paths.join(sizes.filter(F.col("n") <= SMALL).hint("merge"), "path"))
         large = sizes.filter(F.col("n") > SMALL).select("path")
         if large.isEmpty():
             break
@@ -275,29 +275,30 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 
     ``kept`` is true for one row of each component.
     """
+    # both sides of the joins below grow with the corpus: none is broadcast, at any size
     docs, names = packed(docs, "text", "doc_id")
     stored = _stored(docs)
     nodes = stored.filter("j_size > 0").groupBy("j_digest").agg(F.min("j_id").alias("node"), F.count("*").alias("copies"))
     nodes = written(nodes, "jaccard-nodes")
-    heads = stored.join(nodes.select(F.col("node").alias("j_id"), F.col("node"), "copies"), "j_id")
+    heads = stored.join(nodes.select(F.col("node").alias("j_id"), F.col("node"), "copies").hint("merge"), "j_id")
     tokens = written(heads.select("node", "j_tokens", "j_sketch"), "jaccard-tokens")
-    units = in_blocks(leaves(tokens, runs(threshold, recall)).join(tokens.select("node", "j_sketch"), "node"), "path", "node", "n", LEAF_BLOCK)
+    units = in_blocks(leaves(tokens, runs(threshold, recall)).join(tokens.select("node", "j_sketch").hint("merge"), "node"), "path", "node", "n", LEAF_BLOCK)
     clusters = written(components(candidate_links(units)).withColumnRenamed("component", "cluster"), "jaccard-clusters")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    members = heads.select("node", "copies", "j_text").join(clusters, "node").join(sizes, "cluster")
+    members = heads.select("node", "copies", "j_text").join(clusters.hint("merge"), "node").join(sizes.hint("merge"), "cluster")
     links = written(verified_links(in_blocks(members, "cluster", "node", "n", TEXT_BLOCK), threshold), "jaccard-links")
     counts = links.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("other_links"))
     groups = components(links.filter("b IS NOT NULL"))
-    known = nodes.join(counts, "node", "left").join(groups, "node", "left").select("j_digest", "copies", "other_links", F.coalesce("component", "node").alias("j_group"))
-    placed = written(stored.select("j_id", "j_digest", "j_size", "doc_id").join(known, "j_digest", "left").select("j_id", "doc_id", "copies", "other_links", F.when(F.col("j_size") > 0, F.col("j_group")).alias("j_group")), "jaccard-groups")
+    known = nodes.join(counts.hint("merge"), "node", "left").join(groups.hint("merge"), "node", "left").select("j_digest", "copies", "other_links", F.coalesce("component", "node").alias("j_group"))
+    placed = written(stored.select("j_id", "j_digest", "j_size", "doc_id").join(known.hint("merge"), "j_digest", "left").select("j_id", "doc_id", "copies", "other_links", F.when(F.col("j_size") > 0, F.col("j_group")).alias("j_group")), "jaccard-groups")
     first = placed.filter("j_group IS NOT NULL").groupBy("j_group").agg(F.min("doc_id").alias("g_doc"), F.min(F.struct("doc_id", "j_id")).alias("g_first"))
-    found = placed.join(first, "j_group", "left").select(
+    found = placed.join(first.hint("merge"), "j_group", "left").select(
         "j_id",
         F.when(F.col("j_group").isNull(), 0).otherwise(F.col("copies") - 1 + F.coalesce("other_links", F.lit(0))).cast("long").alias("n_links"),
         F.when(F.col("j_group").isNull(), F.col("doc_id")).otherwise(F.col("g_doc")).alias("component_id"),
         F.coalesce(F.col("g_first.j_id") == F.col("j_id"), F.lit(True)).alias("kept"),
     )
-    return stored.select("j_id", "doc_id", "rest", "j_text").join(found, "j_id").select("doc_id", *unpacked(names, "j_text", "n_links", "component_id", "kept"))
+    return stored.select("j_id", "doc_id", "rest", "j_text").join(found.hint("merge"), "j_id").select("doc_id", *unpacked(names, "j_text", "n_links", "component_id", "kept"))
 
 
 def with_text(joined: DataFrame) -> DataFrame:
