@@ -36,6 +36,7 @@ RULES = (
     ("mean_word_chars", "below", 2.0),
     ("mean_word_chars", "above", 14.0),
     ("symbol_share", "above", 0.3),
+    ("symbols_a_word", "above", 0.25),
     ("dup_line_share", "above", 0.5),
     ("n_stop_words", "below", 2.0),
 )
@@ -94,6 +95,7 @@ def ratios() -> dict[str, Column]:
         "repeat_word_share": F.col("n_repeat_words") / words,
         "mean_word_chars": F.col("word_chars") / words,
         "symbol_share": F.col("n_symbols") / chars,
+        "symbols_a_word": F.col("n_symbols") / words,
         "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
         "n_stop_words": F.col("n_stop_words").cast("double"),
     }
@@ -145,6 +147,6 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR n_words > 1000000 OR word_chars < 2 * n_words OR word_chars > 14 * n_words
-            OR n_symbols / greatest(word_chars, 1) > 0.3 OR n_dup_lines / greatest(n_lines, 1) > 0.5 OR n_stop_words < 2) AS kept
+            OR n_symbols / greatest(word_chars, 1) > 0.3 OR n_symbols > 0.25 * n_words OR n_dup_lines / greatest(n_lines, 1) > 0.5 OR n_stop_words < 2) AS kept
 FROM z
 """.replace("STOP", ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS)))
