@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from corvine.config import DEFAULTS
 from corvine.functions import charts as C
 from corvine.functions import identity as I
+from corvine.functions import prompts as P
 from corvine.functions import tables as M
 from corvine.functions import text as X
 from corvine.functions import verdicts as V
-from corvine.operators import bm25, context, fusion, manifest, splitter, vector, workflow
+from corvine.operators import bm25, chart_flow, context, embed, fusion, manifest, splitter, vector, workflow
 from corvine.sources import files
 from corvine.streaming import rate_limit as R
 
@@ -662,3 +663,30 @@ def answer_questions(spark, sf):
         return top.join(docs.select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("content")), "doc").select("question", "rank", "content")
 
     return workflow.answer(_questions(spark, sf), retrieve, save=saved)
+
+
+@query(f"""
+WITH {_FEATURES}, k2 AS (SELECT l_orderkey AS file, CAST(l_linenumber AS BIGINT) AS page FROM z WHERE has_chart AND confidence >= 0.4),
+b AS (SELECT *, (row_number() OVER (PARTITION BY file ORDER BY page) - 1) // 4 + 1 AS batch FROM k2)
+SELECT file, min(page) AS page, arg_min(batch, page) AS batch, 'Chart ' || (page % 3) AS title FROM b GROUP BY file, page % 3
+""")
+def chart_flow_titles(spark, sf):
+    """Line items of an order as pages of a file: rules, batches of four for a provider, one chart a title."""
+    rows = _charts(spark, sf).select(F.col("l_orderkey").alias("file"), F.col("l_linenumber").cast("long").alias("page"), "has_chart", "confidence")
+    return chart_flow.one_a_title(chart_flow.analysed(rows)).select("file", "page", "batch", "title")
+
+
+@query("""
+WITH w AS (SELECT doc_id, CAST(('0x' || substr(md5(lower(word)), 1, 4)) AS INTEGER) % 64 AS at_place FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS word FROM documents)),
+c AS (SELECT doc_id, at_place, count(*) AS n FROM w GROUP BY ALL)
+SELECT doc_id, at_place AS place, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM c
+""")
+def hashed_embedding(spark, sf):
+    return embed.hashed(table(spark, sf, "documents")).select("doc_id", F.col("at").alias("place"), F.round("weight", 6).alias("weight"))
+
+
+@query("""
+SELECT conv_id, turn, 'Can the context answer the question? Answer CAN_ANSWER, PARTIAL or NO_MATCH.' || CASE WHEN coalesce(text, '') = '' THEN '' ELSE chr(10) || chr(10) || 'Question:' || chr(10) || text END || CASE WHEN turn % 2 = 0 THEN '' ELSE chr(10) || chr(10) || 'Context:' || chr(10) || role END AS prompt FROM conversations
+""")
+def prompt_render(spark, sf):
+    return table(spark, sf, "conversations").select("conv_id", "turn", P.prompt("relevance", question=F.col("text"), context=F.when(F.col("turn") % 2 == 1, F.col("role"))).alias("prompt"))
