@@ -191,22 +191,20 @@ def _stored(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _statuses(places: DataFrame, many: int) -> DataFrame:
-    """(gram, code, n, open, crowded) of contexts whose gram occurs twice or more.
+    """(gram, code, n, r_id, open, crowded) of contexts whose gram occurs twice or more; r_id is the first document that has it.
 
     ``open``: a context of the gram occurs once, and another is there to compare it with; ``crowded``: there are more than ``many``.
     """
-    counts = places.groupBy("gram", "code").agg(F.count("*").alias("n"))
+    counts = places.groupBy("gram", "code").agg(F.count("*").alias("n"), F.min("r_id").alias("r_id"))
     grams = counts.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("codes"), F.min("n").alias("least")).filter("total > 1")
     grams = grams.select("gram", ((F.col("codes") > 1) & (F.col("least") == 1)).alias("open"), (F.col("codes") > many).alias("crowded"))
     return written(counts.join(grams, "gram"), "repeats-statuses")
 
 
-def _contexts(stored: DataFrame, places: DataFrame, statuses: DataFrame, length: int) -> DataFrame:
+def _contexts(stored: DataFrame, statuses: DataFrame, length: int) -> DataFrame:
     """(gram, code, n, crowded, left, right, context) of one occurrence of each open context."""
     reach = length - GRAM
-    wanted = places.join(statuses.filter("open").select("gram", "code", "n", "crowded"), ["gram", "code"])
-    wanted = wanted.groupBy("gram", "code", "n", "crowded").agg(F.min(F.struct("r_id", "place")).alias("first"))
-    wanted = wanted.groupBy(F.col("first.r_id").alias("r_id")).agg(F.collect_list(F.struct("gram", "code", "n", "crowded", F.col("first.place").alias("place"))).alias("wanted"))
+    wanted = statuses.filter("open").groupBy("r_id").agg(F.collect_list(F.struct("gram", "code", "n", "crowded")).alias("wanted"))
     schema = "gram long, code long, n long, crowded boolean, left int, right int, context binary"
 
     def run(batches):
@@ -218,11 +216,11 @@ def _contexts(stored: DataFrame, places: DataFrame, statuses: DataFrame, length:
         types = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.binary())
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for packed, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for packed, places, codes, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = unpack(packed)
-                size = len(text)
+                size, place_of = len(text), dict(zip(codes, places, strict=True))
                 for w in wanted:
-                    p = w["place"]
+                    p = place_of[w["code"]]
                     left, right = min(p, reach), min(size - p, length)
                     context = bytes(reach - left) + text[p - left : p + right] + bytes(length - right)
                     for column, value in zip(out, (w["gram"], w["code"], w["n"], w["crowded"], left, right, context), strict=True):
@@ -232,7 +230,7 @@ def _contexts(stored: DataFrame, places: DataFrame, statuses: DataFrame, length:
                     out = [[] for _ in names]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)], names=names)
 
-    return stored.select("r_id", "r_text").join(wanted, "r_id").select("r_text", "wanted").mapInArrow(run, schema)
+    return stored.select("r_id", "r_text", "r_places", "r_codes").join(wanted, "r_id").select("r_text", "r_places", "r_codes", "wanted").mapInArrow(run, schema)
 
 
 def _by_columns(contexts: DataFrame, length: int) -> DataFrame:
@@ -298,8 +296,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY, characters:
     stored = _stored(docs, length)
     places = stored.select("r_id", "r_size", F.explode(F.arrays_zip("r_places", "r_grams", "r_codes")).alias("a"))
     places = places.select("r_id", "r_size", F.col("a.r_places").alias("place"), F.col("a.r_grams").alias("gram"), F.col("a.r_codes").alias("code"))
-    statuses = _statuses(places.select("gram", "code"), many)
-    contexts = _contexts(stored, places.select("r_id", "place", "gram", "code"), statuses, length)
+    statuses = _statuses(places.select("r_id", "gram", "code"), many)
+    contexts = _contexts(stored, statuses, length)
     crowd = statuses.filter("crowded AND open").isEmpty()
     contexts = contexts if crowd else written(contexts, "repeats-contexts")
     found = _by_columns((contexts if crowd else contexts.filter("NOT crowded")).repartition("gram").sortWithinPartitions("gram"), length)
