@@ -22,5 +22,8 @@ def spark():
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from corvine.session import ship
+
+    ship(session)
     yield session
     session.stop()
