@@ -233,8 +233,11 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep_ids: bool = False) -> DataFrame:
-    """Adds n_tokens, ids_sha256, decoded_sha256, round_trip, and with ``keep_ids`` the ids, to documents; the text goes."""
+def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text", keep_ids: bool = False, remember: bool = True) -> DataFrame:
+    """Adds n_tokens, ids_sha256, decoded_sha256, round_trip, and with ``keep_ids`` the ids, to documents; the text goes.
+
+    Without ``remember`` a worker gives its memories back when a task ends, for jobs where other work follows.
+    """
     docs, names = packed(docs, text)
     made = "n_tokens long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * keep_ids
     made = T.StructType.fromDDL(made)
@@ -259,6 +262,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
             columns = [*batch.columns[1:], pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(decoded_hex, pa.string()), pa.array(same, pa.bool_())]
             columns += [pa.array(ids, pa.list_(pa.int32()))] * keep_ids
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        if not remember:
+            codec.cache_clear()
 
     return docs.mapInArrow(run, schema).select(*unpacked(names, *made.names))
 
