@@ -2,7 +2,8 @@
 
 1. A page is read into blocks: runs of text between block-level tags, with character references decoded and white space
    folded. Blocks in elements that are no main text by their name, role, class or id (menus, headers, footers, sidebars,
-   notices, adverts, forms, reader comments, scripts, styles) go. Blocks in an article (or main element) are the page's own.
+   notices, adverts, forms, reader comments, scripts, styles) go, but not one that holds the main element, all articles or
+   most of the text. Blocks in an article (or in the main element, if articles are the lesser part of it) are the page's own.
 2. Pages are ordered by host and URL path, by a distributed sort that numbers all rows, so a host with a third of all
    pages is cut like any other. Each page meets the hashes of the lines of the page before and behind it on its host.
 3. The page's undecided lines are aligned with those of the nearer of the two by longest common subsequence, and shared
@@ -41,57 +42,117 @@ DROPPED_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs footer sidebar cookie cookies consent gdpr notice notification popup modal overlay newsletter subscribe subscription signup login comment comments disqus respond replies share sharing social related recommended widget pagination pager toolbar skip".split()
 )
 HEADER_WORDS = frozenset("header masthead banner topbar".split())
+COMMENT_WORDS = frozenset("comment comments disqus respond replies".split())
+#: Words that may stand beside those in one name ('ad-slot', 'site-footer'); with any other ('has-sidebar') the name says something else.
+BESIDE = frozenset(
+    "area article articles bar block bottom box button buttons container desktop entry form global group icon icons id inline inner item items left link links list local main mobile module outer page panel post posts primary right secondary section site slot sub text top unit wrap wrapper".split()
+)
+#: Elements that may wrap a whole page for other reasons.
+WRAPPER_TAGS = frozenset("form fieldset header".split())
 #: A block with more than this share of its text in links is a menu where a page marks no article.
 LINKS = 0.8
+#: An element with more than this share of a page's text outside links is its wrapper, whatever it is called.
+WRAPS = 0.8
 COPIES = 0.5
 TAG = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|$)|<[!?/][^>]*(?:>|$)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
-PLAIN, ARTICLE, MAIN = 0, 1, 2
+PLAIN, ARTICLE, MAIN = 0, 1, 2  # an article in a main element is both
+STAYS, GOES, GOES_UNLESS_WRAPPER = 0, 1, 2
+
+
+def named(names: str, words: frozenset) -> bool:
+    """Whether one of the names of a class or id is one of ``words``, or made of one and of words that may stand beside it."""
+    for name in names.split():
+        parts = set(re.split(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])", name)) - {""}
+        if parts & words and all(x in DROPPED_WORDS or x in HEADER_WORDS or x in BESIDE or x[0].isdigit() for x in parts):
+            return True
+    return False
 
 
-def dropped(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is no main text by itself."""
+def dropped(tag: str, attributes: str, in_article: bool) -> int:
+    """Whether an element is no main text by itself, or is none unless it turns out to hold the page's main text."""
     if tag in DROPPED_TAGS or (tag == "header" and not in_article):
-        return True
+        return GOES_UNLESS_WRAPPER if tag in WRAPPER_TAGS else GOES
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return STAYS
     if re.search(r"\shidden(?=[\s=/]|$)", attributes):
-        return True
+        return GOES
+    found = STAYS
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values).lower()
+        if (name == "style" and re.search(r"display\s*:\s*none", value)) or (name == "aria-hidden" and value == "true"):
+            return GOES
         if name == "role" and (value in DROPPED_ROLES or (value == "banner" and not in_article)):
-            return True
+            found = GOES_UNLESS_WRAPPER
         if name in ("class", "id"):
-            words = set(re.split(r"[^a-z0-9]+", value))
-            if words & DROPPED_WORDS or (words & HEADER_WORDS and not in_article):
-                return True
-        if (name == "style" and re.search(r"display\s*:\s*none", value)) or (name == "aria-hidden" and value == "true"):
-            return True
-    return False
+            if named(value, COMMENT_WORDS):
+                return GOES
+            if named(value, DROPPED_WORDS) or (not in_article and named(value, HEADER_WORDS)):
+                found = GOES_UNLESS_WRAPPER
+    return found
+
+
+def wrappers(found: list[tuple[str, int, float, int]], drops: list[tuple[int, int]]) -> set[int]:
+    """Those of ``drops`` (place of the one around it, zone around it) that hold the page's main text."""
+    out: set[int] = set()
+
+    def add(i: int) -> None:
+        while i >= 0 and i not in out:
+            out.add(i)
+            i = drops[i][0]
+
+    def stays(i: int) -> bool:
+        while i >= 0 and i in out:
+            i = drops[i][0]
+        return i < 0
+
+    whole = 0.0
+    unlinked: dict[int, float] = defaultdict(float)
+    for text, zone, links, i in found:
+        whole += len(text) * (1 - links)
+        if i >= 0:
+            unlinked[i] += len(text) * (1 - links)
+            if zone & ~drops[i][1] & MAIN:
+                add(i)
+    marked = any(zone and stays(i) for _, zone, _, i in found)
+    for i, n in unlinked.items():
+        if n > WRAPS * whole and (drops[i][1] or not marked):
+            add(i)
+    if not any(zone and stays(i) for _, zone, _, i in found):
+        articles: dict[int, int] = defaultdict(int)
+        for text, zone, _, i in found:
+            if i >= 0 and zone & ~drops[i][1] & ARTICLE:
+                articles[i] += len(text)
+        if articles:
+            add(max(articles, key=articles.__getitem__))
+    return out
 
 
 def blocks(page: str) -> list[tuple[str, int, float]]:
     """(text, zone, share of the text in links) of the blocks that the element rules leave."""
-    out: list[tuple[str, int, float]] = []
+    out: list[tuple[str, int, float, int]] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, int]] = []  # (tag, dropped, zone)
-    gone, zone, links = False, PLAIN, 0
+    stack: list[tuple[str, bool, int, int]] = []  # (tag, dropped, zone, the innermost of ``drops``)
+    drops: list[tuple[int, int]] = []  # elements that go unless they hold the main text
+    gone, zone, links, within = False, PLAIN, 0, -1
 
     def close_block() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                out.append((text, zone, linked / max(1, sum(map(len, parts)))))
+                out.append((text, zone, linked / max(1, sum(map(len, parts))), within))
             parts.clear()
         linked = 0
 
     def pop_to(depth: int) -> None:
-        nonlocal gone, zone, links
-        links -= sum(t == "a" for t, _, _ in stack[depth:])
+        nonlocal gone, zone, links, within
+        links -= sum(e[0] == "a" for e in stack[depth:])
+        if (stack[depth - 1][3] if depth else -1) != within:
+            close_block()
         del stack[depth:]
-        gone, zone = (stack[-1][1], stack[-1][2]) if stack else (False, PLAIN)
+        gone, zone, within = stack[-1][1:] if stack else (False, PLAIN, -1)
 
     at, end = 0, len(page)
     while at < end:
@@ -132,20 +193,33 @@ def blocks(page: str) -> list[tuple[str, int, float]]:
                 if stack[i][0] in BLOCK_TAGS:
                     break
         own = ARTICLE if tag == "article" else MAIN if tag == "main" or re.search(r"""role\s*=\s*["']?main\b""", attributes) else PLAIN
-        gone = gone or dropped(tag, attributes, zone == ARTICLE)
-        zone = zone if zone == ARTICLE or own == PLAIN else own
+        how = STAYS if gone else dropped(tag, attributes, bool(zone & ARTICLE))
+        if how == GOES_UNLESS_WRAPPER and tag not in BLOCK_TAGS:
+            how = GOES
+        gone = gone or how == GOES
+        if how == GOES_UNLESS_WRAPPER:
+            close_block()
+            drops.append((within, zone))
+            within = len(drops) - 1
+        zone |= own
         links += tag == "a"
-        stack.append((tag, gone, zone))
+        stack.append((tag, gone, zone, within))
     close_block()
-    return out
+    if drops:
+        kept = wrappers(out, drops)
+        out = [x for x in out if x[3] < 0 or x[3] in kept]
+    return [x[:3] for x in out]
 
 
 def page_lines(page: str) -> tuple[list[str], list[str]]:
     """(lines that the page marks as its own, undecided lines); one of the two is empty."""
     found = blocks(page)
-    for zone in (ARTICLE, MAIN):
-        if own := [text for text, z, _ in found if z == zone or (zone == MAIN and z == ARTICLE)]:
-            return own, []
+    main = [text for text, z, _ in found if z & MAIN]
+    article = [text for text, z, _ in found if z & ARTICLE]
+    in_main = sum(len(text) for text, z, _ in found if z == MAIN | ARTICLE)
+    # articles that are the lesser part of the main element are teasers beside its text
+    if own := main if 2 * in_main < sum(map(len, main)) else article:
+        return own, []
     return [], [text for text, _, links in found if links <= LINKS]
 
 

@@ -315,6 +315,20 @@ def test_html(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_keeps_what_holds_the_text():
+    body = "<article><h1>T</h1><p>The whole story of the day.</p></article>"
+    for name in ("layout has-sidebar", "no-sidebar", "with-comments", "post-share-enabled", "sidebar", "related"):
+        assert html.page_lines(f"<body><div class='{name}'><div>{body}</div></div><div class='site-footer'>f</div></body>")[0] == ["T", "The whole story of the day."]
+    assert html.page_lines(f"<body><form id=f>{body}</form></body>")[0] == ["T", "The whole story of the day."]
+    own, lines = html.page_lines("<div class='overlay'><div>" + "<p>Plain words of a page.</p>" * 9 + "<div class='share-buttons'>Share</div></div></div><div class='ad-slot'>Buy</div>")
+    assert not own and lines == ["Plain words of a page."] * 9
+    teasers = "<article>One teaser</article><article>Another</article>"
+    got = html.page_lines(f"<main><div>The body is in plain elements, and it is the larger part.</div>{teasers}</main><div class='related'>{teasers}</div>")[0]
+    assert got == ["The body is in plain elements, and it is the larger part.", "One teaser", "Another"]
+    assert html.page_lines(f"<body>{body}<div class='related'>{teasers * 9}</div><div class='comments'><article>c</article></div></body>")[0] == ["T", "The whole story of the day."]
+    assert html.page_lines("<article><p>One <span class='share'>Share</span>two</p><div class='related-posts'>r</div></article>")[0] == ["One two"]
+
+
 def test_common_subsequence():
     r = random.Random(3)
     for _ in range(50):
