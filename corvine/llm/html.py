@@ -4,14 +4,15 @@
    folded. Blocks in elements that are no main text by their name, role, class or id (menus, headers, footers, sidebars,
    notices, adverts, forms, reader comments, scripts, styles) go, but not one that holds the main element, all articles or
    most of the text. Blocks in an article (or in the main element, if articles are the lesser part of it) are the page's own.
-2. Pages are ordered by host and URL path, by a distributed sort that numbers all rows, so a host with a third of all
-   pages is cut like any other. Each page meets the hashes of the lines of the page before and behind it on its host.
-3. The page's undecided lines are aligned with those of the nearer of the two by longest common subsequence, and shared
-   lines are deleted. If the two share more than half of their undecided text they are copies and tell nothing about a template; the
-   other neighbour is used then.
+2. Pages of a host with the same lines are one, and pages are ordered by host and URL path, by a distributed sort that
+   numbers them, so a host with a third of all pages is cut like any other. Each meets the hashes of the lines of the
+   ``NEAR`` pages before and behind it on its host, all of which have another text.
+3. A page's lines are aligned with those of each of these by longest common subsequence, and lines that several of them
+   share are deleted (``template``). Pages that share more than half of the text may be near copies, which tell nothing
+   about a template; how they share it decides.
 
-The element rules come first since differencing alone fails on pages whose menus and adverts differ from page to page, and
-deletes the text of pages that are copies of each other. Where a page marks its article, what is outside goes.
+The element rules come first since differencing alone fails on pages whose menus and adverts differ from page to page.
+Where a page marks its article, what is outside goes, and what is inside meets the neighbours like any other text.
 
 Defined results: a null or empty page has an empty text; a null URL is a host of its own; rows that repeat a page are
 copies; an empty table gives an empty result; further columns stay.
@@ -22,7 +23,7 @@ from __future__ import annotations
 import html
 import re
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -53,7 +54,12 @@ WRAPPER_TAGS = frozenset("form fieldset header".split())
 LINKS = 0.8
 #: An element with more than this share of a page's text outside links is its wrapper, whatever it is called.
 WRAPS = 0.8
+#: Pages that share more than this of a text may be copies of it.
 COPIES = 0.5
+#: A page with less than this share of its text to itself is a copy with a changed line.
+OWN = 0.1
+#: How many pages before and behind each it meets, and how many rows of their order make a block of work.
+NEAR, BLOCK = 4, 1024
 TAG = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|$)|<[!?/][^>]*(?:>|$)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 PLAIN, ARTICLE, MAIN = 0, 1, 2  # an article in a main element is both
@@ -211,16 +217,16 @@ def blocks(page: str) -> list[tuple[str, int, float]]:
     return [x[:3] for x in out]
 
 
-def page_lines(page: str) -> tuple[list[str], list[str]]:
-    """(lines that the page marks as its own, undecided lines); one of the two is empty."""
+def page_lines(page: str) -> tuple[bool, list[str]]:
+    """(whether the page marks them as its own, lines)."""
     found = blocks(page)
     main = [text for text, z, _ in found if z & MAIN]
     article = [text for text, z, _ in found if z & ARTICLE]
     in_main = sum(len(text) for text, z, _ in found if z == MAIN | ARTICLE)
     # articles that are the lesser part of the main element are teasers beside its text
     if own := main if 2 * in_main < sum(map(len, main)) else article:
-        return own, []
-    return [], [text for text, _, links in found if links <= LINKS]
+        return True, own
+    return False, [text for text, _, links in found if links <= LINKS]
 
 
 def common_subsequence(mine: list[int], other: list[int]) -> set[int]:
@@ -246,14 +252,31 @@ def common_subsequence(mine: list[int], other: list[int]) -> set[int]:
     return found
 
 
-def without_template(lines: list[str], keys: list[int], others: list[list[int]]) -> list[str]:
-    """The lines that the first of ``others`` that is no copy doesn't share."""
-    total = sum(map(len, lines))
+def template(marked: bool, keys: list[int], sizes: list[int], others: list[list[int]]) -> list[int]:
+    """Places of the lines that are a template's: those that two of ``others`` (all with another text) share.
+
+    Others that share more than half of the text count only if no other page says anything, and if they look like pages
+    of one template rather than near copies: all share the same lines, and the page has a good part to itself. A single
+    neighbour is enough only where the page doesn't mark its text.
+    """
+    mine = set(keys)
+    total = sum(sizes)
+    alike, votes, differ = [], Counter(), 0
     for other in others:
-        shared = common_subsequence(keys, other)
-        if sum(len(lines[i]) for i in shared) <= COPIES * total:
-            return [x for i, x in enumerate(lines) if i not in shared]
-    return lines
+        shared = common_subsequence(keys, other) if not mine.isdisjoint(other) else set()
+        if sum(sizes[i] for i in shared) > COPIES * total:
+            alike.append(shared)
+        else:
+            differ += 1
+            votes.update(shared)
+    out = {i for i, n in votes.items() if n >= (2 if marked or differ > 1 else 1)}
+    if not votes and len(alike) > 1:
+        common, some = set.intersection(*alike), set.union(*alike)
+        partly = sum(sizes[i] for i in some - common)
+        own = total - sum(sizes[i] for i in some)
+        if own >= OWN * total and 2 * partly <= own:
+            out = common
+    return sorted(out)
 
 
 def url_columns() -> dict:
@@ -269,13 +292,63 @@ def numbered(rows: DataFrame) -> DataFrame:
     part = F.shiftright("h_at", 33)
     sizes = placed.groupBy(part.alias("h_part")).agg(F.count("*").alias("n"))
     starts = sizes.select("h_part", F.coalesce(F.sum("n").over(Window.orderBy("h_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("h_start"))
-    return placed.withColumn("h_part", part).join(starts, "h_part").select(*order, (F.col("h_start") + F.col("h_at").bitwiseAND((1 << 33) - 1)).alias("h_row"))
+    row = F.col("h_start") + F.col("h_at").bitwiseAND((1 << 33) - 1)
+    return placed.withColumn("h_part", part).join(starts, "h_part").withColumn("h_row", row).drop("h_part", "h_at", "h_start")
+
+
+def templates(rows: DataFrame) -> DataFrame:
+    """Numbered (h_host, h_text, marked, keys, sizes, h_row), one for each text of a host -> (h_host, h_text, places) where lines go."""
+    # blocks of consecutive rows, each with the ends of the blocks beside it
+    blocks_of = F.array_distinct(F.transform(F.array(F.lit(-NEAR), F.lit(0), F.lit(NEAR)), lambda x: F.floor((F.col("h_row") + x) / BLOCK)))
+    rows = rows.select("h_host", "h_text", "marked", "keys", "sizes", "h_row", F.explode(blocks_of).alias("h_block"))
+    rows = rows.repartition("h_block").sortWithinPartitions("h_block", "h_row")
+
+    def run(batches):
+        import pyarrow as pa
+
+        near: list[tuple] = []  # up to 2 * NEAR + 1 rows of one block
+        out: list[tuple] = []
+
+        def decide(at: int) -> None:
+            host, text, marked, keys, sizes, row, block = near[at]
+            if row // BLOCK == block:
+                others = [x[3] for i, x in enumerate(near) if i != at and abs(i - at) <= NEAR and x[0] == host]
+                if others and (places := template(marked, keys, sizes, others)):
+                    out.append((host, text, places))
+
+        def flush() -> pa.RecordBatch:
+            types = (pa.string(), pa.int64(), pa.list_(pa.int32()))
+            arrays = [pa.array([x[i] for x in out], t) for i, t in enumerate(types)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=["h_host", "h_text", "places"])
+
+        waiting = 0  # the first of ``near`` that isn't decided
+        for batch in batches:
+            for x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if near and near[-1][6] != x[6]:
+                    for at in range(waiting, len(near)):
+                        decide(at)
+                    near.clear()
+                    waiting = 0
+                near.append(x)
+                if len(near) - waiting > NEAR:
+                    decide(waiting)
+                    waiting += 1
+                    if waiting > NEAR:
+                        del near[0]
+                        waiting -= 1
+            yield flush()
+        for at in range(waiting, len(near)):
+            decide(at)
+        yield flush()
+
+    return rows.mapInArrow(run, "h_host string, h_text long, places array<int>")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """Adds ``text`` to (page_id, url, html, ...); the html goes."""
     pages, names = packed(pages, "html", "url")
-    schema = T.StructType(T.StructType.fromDDL("own array<string>, lines array<string>, keys array<long>").fields + [pages.schema["url"], pages.schema["rest"]])
+    schema = T.StructType(T.StructType.fromDDL("marked boolean, lines array<string>, keys array<long>, sizes array<int>").fields + [pages.schema["url"], pages.schema["rest"]])
 
     def parse(batches):
         import pyarrow as pa
@@ -284,38 +357,32 @@ def main_text(pages: DataFrame) -> DataFrame:
         for batch in batches:
             found = [page_lines(p or "") for p in batch.column(0).to_pylist()]
             keys = [[xxhash.xxh64_intdigest(x.encode("utf-8", "replace")) - (1 << 63) for x in lines] for _, lines in found]
-            strings, longs = pa.list_(pa.string()), pa.list_(pa.int64())
-            columns = [pa.array([a for a, _ in found], strings), pa.array([b for _, b in found], strings), pa.array(keys, longs)]
+            sizes = [list(map(len, lines)) for _, lines in found]
+            columns = [pa.array([a for a, _ in found], pa.bool_()), pa.array([b for _, b in found], pa.list_(pa.string())), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([*columns, *batch.columns[1:]], names=schema.names)
 
     read_pages = pages.mapInArrow(parse, schema)
-    parsed = written(read_pages.withColumns(url_columns()).withColumn("h_id", F.monotonically_increasing_id()), "pages")
-    rows = numbered(parsed.select("h_host", "h_path", "h_id"))
-    rows = written(rows, "pages-rows")
-    after = rows.select(F.col("h_row").alias("o_row"), F.col("h_host").alias("o_host"), F.col("h_path").alias("o_path"), F.col("h_id").alias("o_id"))
-    pairs = rows.join(after, (F.col("o_row") == F.col("h_row") + 1) & (F.col("o_host") == F.col("h_host")))
-    shared = F.length(F.regexp_extract(F.concat_ws("\n", "h_path", "o_path"), r"^([^\n]*)[^\n]*\n\1", 1))
-    pairs = written(pairs.select("h_id", "o_id", shared.alias("near")), "pages-pairs")
-    both = pairs.select("h_id", "o_id", "near", F.lit(0).alias("side")).unionByName(pairs.select(F.col("o_id").alias("h_id"), F.col("h_id").alias("o_id"), "near", F.lit(1).alias("side")))
-    # pages that mark their text need no other page, so only the rest meets its neighbours
-    undecided = parsed.filter(F.size("keys") > 0)
-    keys = undecided.select(F.col("h_id").alias("o_id"), F.col("keys").alias("o_keys"))
-    others = both.join(keys, "o_id").groupBy("h_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("near")).alias("far"), "side", "o_keys"))).alias("others"))
-    columns = ["own", "lines", "keys", "others", "url", "rest"]
-    met = undecided.join(others, "h_id", "left").withColumn("others", F.transform("others", lambda x: x["o_keys"])).select(*columns)
-    alone = parsed.filter(F.size("keys") == 0).withColumn("others", F.lit(None).cast("array<array<bigint>>")).select(*columns)
-    joined = alone.unionByName(met)
+    h_text = F.xxhash64("marked", "keys")
+    parsed = written(read_pages.withColumns(url_columns()).withColumns({"h_id": F.monotonically_increasing_id(), "h_text": h_text}), "pages")
+    # one page for each text of a host, the first by path, so that each neighbour has another text
+    first = F.min(F.struct("h_path", "h_id")).alias("first")
+    texts = parsed.filter((F.size("keys") > 0) & ~F.col("marked")).groupBy("h_host", "h_text").agg(first).select("h_host", "h_text", "first.*")
+    rows = numbered(texts.join(parsed.select("h_id", "marked", "keys", "sizes"), "h_id"))
+    found = written(templates(rows), "pages-templates")
+    # the places go to the ids first, as a text may have many copies, and then to the lines by id
+    places = written(parsed.filter((F.size("keys") > 0) & ~F.col("marked")).select("h_id", "h_host", "h_text").join(found, ["h_host", "h_text"]).select("h_id", "places"), "pages-places")
+    joined = parsed.join(places, "h_id", "left").select("lines", "places", "url", "rest")
     schema_out = T.StructType([pages.schema["url"], pages.schema["rest"], T.StructField("text", T.StringType())])
 
     def extract(batches):
         import pyarrow as pa
 
         for batch in batches:
-            text = [
-                "\n\n".join(own or without_template(lines, keys, others or []))
-                for own, lines, keys, others in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
-            ]
-            yield pa.RecordBatch.from_arrays([*batch.columns[4:], pa.array(text, pa.string())], names=schema_out.names)
+            text = []
+            for lines, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                gone = set(places or ())
+                text.append("\n\n".join(x for i, x in enumerate(lines) if i not in gone))
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(text, pa.string())], names=schema_out.names)
 
     return joined.mapInArrow(extract, schema_out).select("url", *unpacked(names, "text"))
 

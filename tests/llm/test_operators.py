@@ -318,15 +318,37 @@ def test_html(spark):
 def test_html_keeps_what_holds_the_text():
     body = "<article><h1>T</h1><p>The whole story of the day.</p></article>"
     for name in ("layout has-sidebar", "no-sidebar", "with-comments", "post-share-enabled", "sidebar", "related"):
-        assert html.page_lines(f"<body><div class='{name}'><div>{body}</div></div><div class='site-footer'>f</div></body>")[0] == ["T", "The whole story of the day."]
-    assert html.page_lines(f"<body><form id=f>{body}</form></body>")[0] == ["T", "The whole story of the day."]
-    own, lines = html.page_lines("<div class='overlay'><div>" + "<p>Plain words of a page.</p>" * 9 + "<div class='share-buttons'>Share</div></div></div><div class='ad-slot'>Buy</div>")
-    assert not own and lines == ["Plain words of a page."] * 9
+        assert html.page_lines(f"<body><div class='{name}'><div>{body}</div></div><div class='site-footer'>f</div></body>")[1] == ["T", "The whole story of the day."]
+    assert html.page_lines(f"<body><form id=f>{body}</form></body>")[1] == ["T", "The whole story of the day."]
+    marked, lines = html.page_lines("<div class='overlay'><div>" + "<p>Plain words of a page.</p>" * 9 + "<div class='share-buttons'>Share</div></div></div><div class='ad-slot'>Buy</div>")
+    assert not marked and lines == ["Plain words of a page."] * 9
     teasers = "<article>One teaser</article><article>Another</article>"
-    got = html.page_lines(f"<main><div>The body is in plain elements, and it is the larger part.</div>{teasers}</main><div class='related'>{teasers}</div>")[0]
+    got = html.page_lines(f"<main><div>The body is in plain elements, and it is the larger part.</div>{teasers}</main><div class='related'>{teasers}</div>")[1]
     assert got == ["The body is in plain elements, and it is the larger part.", "One teaser", "Another"]
-    assert html.page_lines(f"<body>{body}<div class='related'>{teasers * 9}</div><div class='comments'><article>c</article></div></body>")[0] == ["T", "The whole story of the day."]
-    assert html.page_lines("<article><p>One <span class='share'>Share</span>two</p><div class='related-posts'>r</div></article>")[0] == ["One two"]
+    assert html.page_lines(f"<body>{body}<div class='related'>{teasers * 9}</div><div class='comments'><article>c</article></div></body>")[1] == ["T", "The whole story of the day."]
+    assert html.page_lines("<article><p>One <span class='share'>Share</span>two</p><div class='related-posts'>r</div></article>")[1] == ["One two"]
+
+
+def texts_of(spark, pages):
+    return {r.page_id: r.text for r in html.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+
+
+def test_html_templates(spark, monkeypatch):
+    notice = "<div>A notice of the house that stands on each page and is longer than all else on it</div>"
+    story = lambda i: f"<p>Short story {i}, in some own words</p>"
+    copy = page(0, "<p>Long text of a copy in a run</p><p>and more of it</p>")
+    # a run of copies between other pages of the host, and short pages with a long template
+    pages = [(i, f"http://r.example/{i:02}", copy if 3 <= i < 17 else page(i, story(i))) for i in range(20)]
+    pages += [(100 + i, f"http://s.example/{i:02}", page(i, notice + story(i))) for i in range(20)]
+    # near copies: each has one changed line
+    lines = [f"Paragraph {k} of a text that was copied" for k in range(9)]
+    changed = ["".join(f"<p>{x}{' edited' if k == i else ''}</p>" for k, x in enumerate(lines)) for i in range(9)]
+    pages += [(200 + i, f"http://n.example/{i}", page(i, changed[i])) for i in range(9)]
+    monkeypatch.setattr(html, "BLOCK", 7)
+    got = texts_of(spark, pages)
+    assert all(got[i] == ("Long text of a copy in a run\n\nand more of it" if 3 <= i < 17 else f"Short story {i}, in some own words") for i in range(20))
+    assert all(got[100 + i] == f"Short story {i}, in some own words" for i in range(20))
+    assert all(all(x in got[200 + i] for x in lines) for i in range(9))
 
 
 def test_common_subsequence():
