@@ -366,11 +366,11 @@ def main_text(pages: DataFrame) -> DataFrame:
     parsed = written(read_pages.withColumns(url_columns()).withColumns({"h_id": F.monotonically_increasing_id(), "h_text": h_text}), "pages")
     # one page for each text of a host, the first by path, so that each neighbour has another text
     first = F.min(F.struct("h_path", "h_id")).alias("first")
-    texts = parsed.filter((F.size("keys") > 0) & ~F.col("marked")).groupBy("h_host", "h_text").agg(first).select("h_host", "h_text", "first.*")
+    texts = parsed.filter(F.size("keys") > 0).groupBy("h_host", "h_text").agg(first).select("h_host", "h_text", "first.*")
     rows = numbered(texts.join(parsed.select("h_id", "marked", "keys", "sizes"), "h_id"))
     found = written(templates(rows), "pages-templates")
     # the places go to the ids first, as a text may have many copies, and then to the lines by id
-    places = written(parsed.filter((F.size("keys") > 0) & ~F.col("marked")).select("h_id", "h_host", "h_text").join(found, ["h_host", "h_text"]).select("h_id", "places"), "pages-places")
+    places = written(parsed.filter(F.size("keys") > 0).select("h_id", "h_host", "h_text").join(found, ["h_host", "h_text"]).select("h_id", "places"), "pages-places")
     joined = parsed.join(places, "h_id", "left").select("lines", "places", "url", "rest")
     schema_out = T.StructType([pages.schema["url"], pages.schema["rest"], T.StructField("text", T.StringType())])
 

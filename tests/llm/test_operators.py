@@ -351,6 +351,18 @@ def test_html_templates(spark, monkeypatch):
     assert all(all(x in got[200 + i] for x in lines) for i in range(9))
 
 
+def test_html_templates_in_articles(spark):
+    article = lambda *lines: "<nav>menu</nav><article>" + "".join(f"<p>{x}</p>" for x in lines) + "</article>"
+    story = lambda i: f"Story {i} of the day, which is told in {i} words"
+    pages = [(i, f"http://h.example/{i}", article(story(i), "Subscribe to our letter", f"End {i}")) for i in range(9)]
+    pages += [(20 + i, f"http://two.example/{i}", article(story(i), "A line that two have")) for i in range(2)]
+    pages += [(30 + i, f"http://copies.example/{i}", article(*[story(k) + "!" * (k == i) for k in range(9)])) for i in range(9)]
+    got = texts_of(spark, pages)
+    assert all(got[i] == f"{story(i)}\n\nEnd {i}" for i in range(9))
+    assert all(got[20 + i] == f"{story(i)}\n\nA line that two have" for i in range(2))
+    assert all(got[30 + i] == "\n\n".join(story(k) + "!" * (k == i) for k in range(9)) for i in range(9))
+
+
 def test_common_subsequence():
     r = random.Random(3)
     for _ in range(50):
