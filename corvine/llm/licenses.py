@@ -17,8 +17,15 @@ from pyspark.sql import functions as F
 
 from corvine.llm.common import read, written
 
-#: Lines that only state a copyright, after lowering.
-COPYRIGHT = r"^[^\p{L}\p{N}]*(copyright|©|\(c\)|\(c\)copyright|all rights reserved)"
+#: Words behind 'copyright' that begin no holder's name: with them a line is a part of a wrapped licence text.
+NO_HOLDER = "notices?|holders?|owners?|laws?|licen[cs]es?|licen[cs]ors?|statements?|statutes?|and|or|in|on|of|is|to|as|for|with|by law|that|this|permission|disclaimers?|interests?|status|claims?|protections?|treaty|treaties|acts?|rights?|date|terms?|ownership|information|under|applies|if|does|resulting|doctrines?|restrictions?|assignments?|works?|permissions?|exceptions?|limitations?"
+#: Lines that only state a copyright, before lowering: the word with a sign, a year, a place holder or a bare name behind it.
+COPYRIGHT = (
+    r"^[^\p{L}\p{N}]*(?:(?i:all rights reserved)|©|\((?i:c)\)\s*(?:(?i:copyright)|©|[\[<{]|\d{4})"
+    r"|(?i:copyright)[\s:,]*(?:$|©|\((?i:c)\)|[\[<{]|\d{4}|(?!(?i:" + NO_HOLDER + r")\b)(?:(?i:by|the)\s+)*(?!(?i:" + NO_HOLDER + r")\b)\p{Lu}))"
+)
+#: The wider pattern of the SQL, after lowering; the two agree on the given tables.
+SQL_COPYRIGHT = r"^[^\p{L}\p{N}]*(copyright|©|\(c\)|\(c\)copyright|all rights reserved)"
 #: Spellings that count as one (fixed values).
 SPELLINGS = (
     ("licence", "license"),
@@ -78,9 +85,9 @@ def canonical_line(line: Column) -> Column:
 
 def canonical_lines(text: Column) -> Column:
     """The lines of a text in canonical form, without copyright lines and empty ones."""
-    lines = F.split(F.lower(F.coalesce(text, F.lit(""))), "\n")
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
     lines = F.filter(lines, lambda x: ~F.regexp_like(x, F.lit(COPYRIGHT)))
-    return F.filter(F.transform(lines, canonical_line), lambda x: x != "")
+    return F.filter(F.transform(lines, lambda x: canonical_line(F.lower(x))), lambda x: x != "")
 
 
 def digested(texts: DataFrame) -> DataFrame:
@@ -120,7 +127,7 @@ def _sql_line(x: str) -> str:
 
 
 def _sql_lines(text: str) -> str:
-    lines = f"list_filter(string_split(lower(coalesce({text}, '')), chr(10)), lambda x: NOT regexp_matches(x, '{COPYRIGHT}'))"
+    lines = f"list_filter(string_split(lower(coalesce({text}, '')), chr(10)), lambda x: NOT regexp_matches(x, '{SQL_COPYRIGHT}'))"
     return f"list_filter(list_transform({lines}, lambda x: {_sql_line('x')}), lambda x: x <> '')"
 
 

@@ -101,6 +101,22 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(docs, known).count() == len(rows()) and licenses.scan(empty, known).count() == 0
 
 
+def test_licenses_wrapped(spark):
+    import textwrap
+
+    known = licenses.known_digests(spark)
+    texts = [(k, t) for k, kind, t in licenses.KNOWN if kind == "text"]
+    stated = ["Copyright (c) 2020 Some One", "Copyright 2020-2024 Some One", "(C) 2019 Some One", "© Some One", "Copyright The House Authors", "copyright: 2001 some one", ""]
+    cases = {}
+    for k, t in texts:
+        for width in range(20, 100, 3):
+            for upper in (False, True):
+                wrapped = "\n\n".join("\n".join(textwrap.wrap(x, width)) for x in t.split("\n"))
+                cases[len(cases)] = (k, stated[len(cases) % 7] + "\n" + (wrapped.upper() if upper else wrapped))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in cases.items()], "doc_id long, text string")
+    assert {r.doc_id: r.license for r in licenses.scan(docs, known).collect()} == {i: k for i, (k, _) in cases.items()}
+
+
 # --- 3
 
 
