@@ -75,6 +75,35 @@ KNOWN = (
 )
 
 
+#: Digests of the canonical forms of further whole texts, as they are published (fixed values).
+DIGESTS = (
+    ("MIT", "b394918a083200adf8c5061924bc22de28062756b62d30b8e876d73b78acef8e"),  # without its title
+    ("MIT", "af1716b199e1387a1d7c9da7d827c72dcc9508ff1be0e437b94dd4141a9a9573"),  # "The MIT License (MIT)"
+    ("Apache-2.0", "e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("MPL-1.1", "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+    ("GPL-1.0", "ec8a6b7d70e9f225b63d3962ed5b4721373f5535d7b967a06722b0d621f6892a"),
+    ("GPL-2.0", "331b500eb3c5ee796906547305df82fff4a35b3aa03c1d3ea84d32078292b2e6"),
+    ("GPL-3.0", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("GFDL-1.2", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60"),
+    ("GFDL-1.3", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+)
+#: Licenses that an SPDX line may name, and what else the name may end with.
+SPDX = "MIT ISC 0BSD BSD-2-Clause BSD-3-Clause Apache-2.0 GPL-1.0 GPL-2.0 GPL-3.0 LGPL-2.0 LGPL-2.1 LGPL-3.0 AGPL-3.0 MPL-1.1 MPL-2.0 EPL-1.0 EPL-2.0 CC0-1.0 CC-BY-3.0 CC-BY-4.0 CC-BY-SA-3.0 CC-BY-SA-4.0 CC-BY-NC-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-NC-ND-4.0 Unlicense Zlib BSL-1.0 WTFPL GFDL-1.2 GFDL-1.3 Artistic-2.0".split()
+GNU_ENDS = ("-only", "-or-later", "+")
+#: Lines of standard headers, beside those of ``KNOWN``.
+HEADERS = (
+    *[(name, "notice", f"SPDX-License-Identifier: {name}{end}") for name in SPDX for end in ("", *(GNU_ENDS if "GPL" in name or "GFDL" in name else ()))],
+    ("Apache-2.0", "notice", 'Licensed under the Apache License, Version 2.0 (the "License");'),
+    ("MPL-2.0", "notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+)
+
+
 def canonical_line(line: Column) -> Column:
     """One lower-case line in canonical form; the words stand between two spaces each until all spellings are done."""
     line = F.concat(F.lit("  "), F.regexp_replace(line, r"[^\p{L}\p{N}]+", "  "), F.lit("  "))
@@ -97,9 +126,10 @@ def digested(texts: DataFrame) -> DataFrame:
     return lines.select("*", digest.alias("digest"), F.transform("c_lines", lambda x: F.sha2(x, 256)).alias("line_digests")).drop("c_lines")
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """(license, kind, known_digest) of (license, kind, text): kind ``text`` matches whole texts, ``notice`` whole lines."""
-    return digested(spark.createDataFrame(list(known), "license string, kind string, text string")).select("license", "kind", F.col("digest").alias("known_digest"))
+def known_digests(spark: SparkSession, known=KNOWN + HEADERS, digests=DIGESTS) -> DataFrame:
+    """(license, kind, known_digest) of (license, kind, text): kind ``text`` matches whole texts, ``notice`` whole lines; and of digests."""
+    made = digested(spark.createDataFrame(list(known), "license string, kind string, text string")).select("license", "kind", F.col("digest").alias("known_digest"))
+    return made.unionByName(spark.createDataFrame([(a, "text", b) for a, b in digests], "license string, kind string, known_digest string"))
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:

@@ -117,6 +117,21 @@ def test_licenses_wrapped(spark):
     assert {r.doc_id: r.license for r in licenses.scan(docs, known).collect()} == {i: k for i, (k, _) in cases.items()}
 
 
+def test_licenses_further(spark):
+    from pathlib import Path
+
+    known = licenses.known_digests(spark)
+    lines = [("// SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"), (" * SPDX-License-Identifier: MIT", "MIT"), ('# Licensed under the Apache License, Version 2.0 (the "License");', "Apache-2.0")]
+    got = {r.doc_id: r.notices for r in licenses.scan(spark.createDataFrame([(i, f"code\n{x}\ncode") for i, (x, _) in enumerate(lines)], "doc_id long, text string"), known).collect()}
+    assert got == {i: k for i, (_, k) in enumerate(lines)}
+    mit = next(t for k, kind, t in licenses.KNOWN if (k, kind) == ("MIT", "text")).split("\n", 2)[2]
+    cases = [("MIT", mit), ("MIT", "The MIT License (MIT)\n\n" + mit)]
+    files = [(k, Path("/usr/share/common-licenses") / f) for k, f in (("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"), ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"))]
+    cases += [(k, f.read_text()) for k, f in files if f.exists()]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id long, text string")
+    assert {r.doc_id: r.license for r in licenses.scan(docs, known).collect()} == {i: k for i, (k, _) in enumerate(cases)}
+
+
 # --- 3
 
 
