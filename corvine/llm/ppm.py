@@ -6,8 +6,9 @@ seen c times has probability c / (n + t), and the escape t / (n + t)) and is the
 at last evenly over 256 bytes. The statistics are frozen, so the code length of a whole text under each language is exact,
 a sum over its bytes; the language with the shortest code wins.
 
-The trees are fitted on a sample of labelled texts of about ``SAMPLE_BYTES`` bytes a language (whole texts, chosen by a
-hash of the text, so that the bound holds at any size of the corpus; a smaller corpus is used whole). Spark counts contexts
+The trees are fitted on a sample of labelled texts of about ``SAMPLE_BYTES`` bytes a language (different texts in the order
+of a hash, the last one cut, so that each language is learned and the bound holds whatever the lengths and copies; of a
+smaller corpus each text is used once). Spark counts contexts
 over the sample; contexts seen fewer than ``MIN_COUNT`` times are pruned, and at most ``MAX_NODES`` of the most frequent
 are kept. The trees share their nodes: a table leads from a node to the one with one more byte of context, and a table
 for each language has the code length of each byte at each node, so that scoring is a few vectorised look-ups a byte.
@@ -20,7 +21,7 @@ learned, every text is; repeated rows are judged one by one; an empty table give
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,12 +39,24 @@ def remainder(doc_id: Column) -> Column:
 
 
 def sample(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """(text, lang) -> whole texts, about ``sample_bytes`` of each language."""
-    # one number for each language, as the model holds whole tables for each
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).collect()}
-    part = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    share = F.create_map(*[x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, sample_bytes / max(n, 1))))]) if sizes else None
-    return labelled.filter(part < F.try_element_at(share, F.col("lang")) if sizes else F.lit(False)).select("lang", "text")
+    """(text, lang) -> different texts of each language in the order of their hashes, until they have ``sample_bytes``; the last one is cut there."""
+    hashed = labelled.withColumn("s_hash", F.xxhash64("text"))
+    texts = hashed.groupBy("lang", "s_hash").agg(F.max(F.octet_length("text")).alias("n")).withColumn("bucket", F.shiftright("s_hash", 48))
+    # running sums over at most 65,536 buckets of a language, then within those that matter
+    earlier = Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = texts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).select("lang", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    within = Window.partitionBy("lang", "bucket").orderBy("s_hash").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.lit(sample_bytes) - F.col("before") - F.coalesce(F.sum("n").over(within), F.lit(0))
+    chosen = texts.join(buckets.filter(F.col("before") < sample_bytes), ["lang", "bucket"]).select("lang", "s_hash", left.alias("left")).filter("left > 0")
+    # two numbers for each language, as the model holds whole tables for each
+    last = {r["lang"]: r["last"] for r in chosen.groupBy("lang").agg(F.max(F.struct("s_hash", "left")).alias("last")).collect()}
+    if not last:
+        return labelled.filter(F.lit(False)).select("lang", "text")
+    limit, room = (F.try_element_at(F.create_map(*[x for lang, r in last.items() for x in (F.lit(lang), F.lit(r[k]).cast("long"))]), F.col("lang")) for k in ("s_hash", "left"))
+    found = hashed.filter(F.col("s_hash") <= limit).groupBy("lang", "s_hash").agg(F.min("text").alias("text"))
+    # as many characters as have about the bytes that are left
+    fit_in = F.ceil(room * F.length("text") / F.greatest(F.octet_length("text"), F.lit(1))).cast("int")
+    return found.select("lang", F.when(F.col("s_hash") == limit, F.substring(F.col("text"), F.lit(1), fit_in)).otherwise(F.col("text")).alias("text"))
 
 
 def contexts(data: np.ndarray, order: int) -> np.ndarray:

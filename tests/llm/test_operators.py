@@ -205,6 +205,17 @@ def test_ppm_code_lengths(spark):
             assert math.isclose(got, brute_code_length(counts, t.encode(), ppm.ORDER), rel_tol=1e-4)
 
 
+def test_ppm_sample(spark):
+    # a language of one long text, one of copies, one of many texts, one that fits
+    made = [("long", "la rivière " * 2000)] + [("copies", prose(5, 900))] * 40 + [("many", prose(100 + i, 30)) for i in range(300)] + [("few", prose(6, 20))] * 2
+    got: dict = {}
+    for r in ppm.sample(spark.createDataFrame(made, "lang string, text string"), 3000).collect():
+        got.setdefault(r.lang, []).append(r.text)
+    size = {lang: sum(len(t.encode()) for t in texts) for lang, texts in got.items()}
+    assert all(2990 <= size[lang] <= 3010 for lang in ("long", "copies", "many")) and got["few"] == [prose(6, 20)]
+    assert len(got["long"]) == len(got["copies"]) == 1 and len(set(got["many"])) == len(got["many"])
+
+
 def test_ppm_segments(spark, monkeypatch):
     model = ppm.fit(spark.createDataFrame([("a", prose(4, 400))], "lang string, text string"), min_count=2)
     text = prose(9, 500).encode()
