@@ -4,44 +4,61 @@ The public patterns for byte-level BPE end a match before every white-space char
 character, and a space goes with the match behind it. So a text may be cut before a space, provided that neither
 neighbour of the space is white space, and the pieces may be encoded one by one. Texts where a space has such a
 neighbour are encoded whole.
+
+The memory has two generations: what was met since the last turn, and what was met between the last two. When the young
+one is full it becomes the old one, so pieces in use stay and the others go.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+#: Characters of texts that are looked up together.
+TOGETHER = 1 << 20
+
 
 class Pieces:
-    """A bounded memory from piece to value. ``encode`` maps pieces (with their leading space) to values."""
+    """A bounded memory from piece to the bytes that ``encode`` maps it to (pieces come with their leading space)."""
 
-    def __init__(self, encode: Callable[[list[str]], list], limit: int):
-        self.encode, self.limit, self.known = encode, limit, {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int):
+        self.encode, self.limit = encode, limit
+        self.young: dict[str, bytes | None] = {}
+        self.old: dict[str, bytes | None] = {}
 
-    def of(self, texts: Iterable[str], group: int = 64) -> Iterator[list | None]:
-        """For each text the values of its pieces, or None where it has to be encoded whole."""
+    def of(self, texts: Iterable[str], together: int = TOGETHER) -> Iterator[bytes | None]:
+        """For each text what its pieces map to, joined, or None where it has to be encoded whole."""
         some: list[list[str]] = []
+        held = 0
         for text in texts:
+            if some and held + len(text) > together:
+                yield from self._joined(some)
+                some, held = [], 0
             keys = text.split(" ")
             keys[0] = " " + keys[0]  # no piece holds a space: this marks the one that has none before it
             some.append(keys)
-            if len(some) == group:
-                yield from self._values(some)
-                some = []
-        yield from self._values(some)
+            held += len(text)
+        yield from self._joined(some)
 
-    def _values(self, some: list[list[str]]) -> Iterator[list | None]:
+    def _joined(self, some: list[list[str]]) -> Iterator[bytes | None]:
         needed: set[str] = set()
         for keys in some:
             needed.update(keys)
-        if len(self.known) > self.limit:
-            self.known = {}
-        new = list(needed.difference(self.known))
-        odd = [k for k in new if k == "" or k == " " or k[-1].isspace() or k[k[0] == " " :][0].isspace()]
-        if odd:
-            self.known.update(dict.fromkeys(odd))
-            new = list(set(new).difference(odd))
-        self.known.update(zip(new, self.encode([k[1:] if k[0] == " " else " " + k for k in new]), strict=True))
-        get = self.known.__getitem__
+        if 2 * len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        new = needed.difference(young)
+        again = [k for k in new if k in old]
+        young.update(zip(again, map(old.__getitem__, again), strict=True))
+        new.difference_update(again)
+        # white space beside the space: what holds such a piece has to be encoded whole
+        odd = [k for k in new if (k[-1:] or " ").isspace() or (k[:1] if k[0] != " " else k[1]).isspace()]
+        young.update(dict.fromkeys(odd))
+        new.difference_update(odd)
+        ahead, first = [k for k in new if k[0] != " "], [k for k in new if k[0] == " "]
+        young.update(zip(ahead + first, self.encode([" " + k for k in ahead] + [k[1:] for k in first]), strict=True))
+        get = young.__getitem__
         for keys in some:
-            values = list(map(get, keys))
-            yield None if None in values else values
+            try:
+                yield b"".join(map(get, keys))
+            except TypeError:  # of a piece that maps to nothing
+                yield None

@@ -139,9 +139,9 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        for text, values in zip(texts, self.pieces.of(texts), strict=True):
-            if values is not None:
-                yield b"".join(values)
+        for text, found in zip(texts, self.pieces.of(texts), strict=True):
+            if found is not None:
+                yield found
             else:
                 yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() if text else b""
 

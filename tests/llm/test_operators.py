@@ -261,6 +261,37 @@ def test_bpe_bounded_memory():
     for i in range(300):
         match = prose(i, 2).replace(" ", "").encode()
         assert small.encode(match) == large.encode(match)
+    assert small.last.n < large.last.n
+
+
+def test_bpe_in_step_and_alone():
+    import tiktoken
+
+    path = tokenizer_files.path(bpe.VOCABULARY)
+    library = tiktoken.Encoding("own", pat_str=tokenizer_files.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    codec, r = bpe.Codec(path, tokenizer_files.PATTERN), random.Random(7)
+    # made-up words, many of each length and a few very long ones; pieces are forgotten on the way
+    codec.pieces.limit, codec.transducer.limit = 500, 400
+    word = lambda n: "".join(r.choice("aeiounrstéß日") for _ in range(n))
+    texts = [" ".join(word(r.randint(1, 30)) + r.choice(("", ",", ".\n")) for _ in range(60)).replace(".\n ", ".\n") for _ in range(40)] + [word(20_000), "", " a  b" * 50]
+    for _ in range(2):
+        ids, counts = codec.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode_ordinary(t) for t in texts]
+        for size in (7, 1 << 18):
+            back = [b""] * len(texts)
+            for i, data in bpe.portions(codec.bytes_of, ids, counts, size):
+                back[i] += data
+            assert [b.decode() for b in back] == texts
+
+
+def test_table():
+    r = np.random.default_rng(4)
+    keys = np.unique(r.integers(0, 1 << 40, 20_000))
+    table = bpe.Table()
+    for some in np.array_split(r.permutation(keys), 7):
+        table.put(some, some % 1000)
+    assert (table.get(keys) == keys % 1000).all() and (table.get(keys + (1 << 41)) == -1).all()
+    assert table.one(int(keys[5])) == keys[5] % 1000 and table.one(1 << 50) == -1
 
 
 def test_stream_decoder():
