@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from corvine.llm.common import packed, read, unpacked
-from corvine.llm.pieces import TOGETHER, Pieces
+from corvine.llm.pieces import Pieces
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: States and pieces that a Python worker remembers.
@@ -41,8 +41,8 @@ STATES, PIECES = 400_000, 400_000
 ROOT, NEVER = 0, 1 << 40
 #: With fewer matches than this left, each is read to its end by itself.
 IN_STEP = 16
-#: Ids that are spelled out at once.
-SPELLED = 1 << 18
+#: Ids that are spelled out at once, and characters of texts that are encoded whole together.
+SPELLED, WHOLE = 1 << 18, 1 << 20
 EMPTY = hashlib.sha256().hexdigest()
 
 
@@ -336,7 +336,7 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.transducer = Transducer(load_ranks(path))
         self.token_of = {t.decode(): i for t, i in self.transducer.ranks.items() if t.decode(errors="ignore").encode() == t}
-        self.pieces = Pieces(self.encode_all, PIECES)
+        self.pieces = Pieces(self.encode_all, self.encode_whole, PIECES)
         bytes_of = self.transducer.bytes_of
         self.bytes_of, self.decimals = Spelling(bytes_of), Spelling({i: b"%d," % i for i in bytes_of})
 
@@ -366,19 +366,16 @@ class Codec:
             out[i] = packed_ids[a:b]
         return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts one behind the other, and how many each has."""
-        found = list(self.pieces.of(texts))
-        some: list[int] = []
-        held = 0
-        for i in [i for i, ids in enumerate(found) if ids is None] + [-1]:
-            if i < 0 or held > TOGETHER:
-                for j, ids in zip(some, self.encode_all([texts[j] for j in some], apart=True), strict=True):
-                    found[j] = ids
-                some, held = [], 0
-            some.append(i)
-            held += len(texts[i]) if i >= 0 else 0
-        return np.frombuffer(b"".join(found), "<i4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+    def encode_whole(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that can't be cut, some at a time."""
+        out: list[bytes] = []
+        some: list[str] = []
+        for text in [*texts, None]:
+            if text is None or sum(map(len, some)) > WHOLE:
+                out += self.encode_all(some, apart=True)
+                some = []
+            some.append(text)
+        return out
 
 
 def portions(spelling: Spelling, ids: np.ndarray, counts: np.ndarray, size: int = SPELLED):
@@ -414,7 +411,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
         own = codec(path, pattern)
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
-            ids, counts = own.encode(texts)
+            ids, counts = own.pieces.of(batch.column(0))
             digests = [hashlib.sha256() for _ in texts]
             held: dict[int, bytes] = {}
             for i, data in portions(own.decimals, ids, counts):  # without the last comma of a text

@@ -22,9 +22,9 @@ after the other, by text; a null doc_id comes first; an empty table gives an emp
 
 from __future__ import annotations
 
+import gc
 import os
 import zlib
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -107,7 +107,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size_of = self._sizes()
-        self.pieces = Pieces(self.encode_all, limit)
+        self.pieces = Pieces(self.encode_all, self.encode_whole, limit)
 
     def _sizes(self) -> np.ndarray:
         """The bytes that each id stands for: of an ordinary token as many as it has characters, as each is a byte."""
@@ -120,8 +120,8 @@ class Encoder:
 
     def encode_all(self, pieces: list[str], joined: int = 256) -> list[bytes]:
         """The ids of each piece as bytes. Pieces that begin with a space are encoded many in one text and cut apart again."""
-        alone = [i for i, p in enumerate(pieces) if p[0] != " "]
-        rest = [i for i, p in enumerate(pieces) if p[0] == " "]
+        alone = [i for i, p in enumerate(pieces) if p[:1] != " "]
+        rest = [i for i, p in enumerate(pieces) if p[:1] == " "]
         out: list[bytes] = [b""] * len(pieces)
         for i, e in zip(alone, self.tokenizer.encode_batch_fast([pieces[i] for i in alone], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, dtype="<u4").tobytes()
@@ -137,18 +137,15 @@ class Encoder:
                 at = cut
         return out
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        for text, found in zip(texts, self.pieces.of(texts), strict=True):
-            if found is not None:
-                yield found
-            else:
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes() if text else b""
+    def encode_whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    made = Encoder(path)
+    gc.freeze()  # tables for the worker's life, which the collector need not walk through
+    return made
 
 
 def write_tokens(docs: DataFrame, to: str, vocabulary: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:
@@ -168,12 +165,14 @@ def write_tokens(docs: DataFrame, to: str, vocabulary: str, end_id: int = END_ID
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], names=["part", "shard", "n_ids", "doc_ids", "lengths", "body"])
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, encoded in zip(ids, own.encode(texts), strict=True):
+            ids, counts = own.pieces.of(batch.column(1))
+            encoded, at = memoryview(ids.tobytes()), 0
+            for doc_id, count in zip(batch.column(0).to_pylist(), counts.tolist(), strict=True):
                 doc_ids.append(doc_id)
-                lengths.append(len(encoded) // 4 + 1)
-                data += (encoded, end)
-                held += lengths[-1]
+                lengths.append(count + 1)
+                data += (encoded[at : at + 4 * count], end)
+                at += 4 * count
+                held += count + 1
                 if held >= shard_ids:
                     yield row()
                     doc_ids, lengths, data, held, shard = [], [], [], 0, shard + 1
