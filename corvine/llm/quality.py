@@ -5,7 +5,8 @@ rules becomes one boolean expression. There is no shuffle, no user function and
 
 Three-word windows are counted within the row: each window is hashed, the hash is shifted left by as many bits as the
 window's number needs, the number is put into these bits, and the longs are sorted. Equal hashes are neighbours then, so
-one pass finds the windows that occur twice or more, in O(n log n) for any text.
+one pass finds the few windows that may occur twice or more. Of these the words themselves are sorted and compared, so the
+count is exact, in O(n log n) for any text.
 
 Defined results: a null or empty text has no words and fails the base rules; repeated rows are judged one by one; an empty
 table gives an empty result; further columns are ignored.
@@ -38,7 +39,7 @@ RULES = (
     ("symbol_share", "above", 0.3),
     ("symbols_a_word", "above", 0.25),
     ("dup_line_share", "above", 0.5),
-    ("n_stop_words", "below", 2.0),
+    ("stop_word_share", "below", 0.02),
 )
 #: The first rules are the base: their verdict is returned on its own too.
 N_BASE = 2
@@ -64,9 +65,15 @@ def repeated_words(ws: Column) -> Column:
             same = lambda x, i: F.coalesce(shift("shiftrightunsigned", x.bitwiseXOR(F.get(ks, i)), bits) == 0, F.lit(False))
             return F.sort_array(F.transform(F.filter(ks, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x.bitwiseAND(number)))
 
+        # their words in order, each with its place: equal ones are neighbours
+        def exact(ps: Column) -> Column:
+            triples = F.sort_array(F.transform(ps, lambda p: F.struct(F.array_join(F.slice(ws, p.cast("int") + 1, F.lit(3)), " ").alias("words"), p.alias("place"))))
+            same = lambda ts, t, i: F.coalesce(F.get(ts, i)["words"] == t["words"], F.lit(False))
+            return let(triples, lambda ts: F.sort_array(F.transform(F.filter(ts, lambda t, i: same(ts, t, i - 1) | same(ts, t, i + 1)), lambda t: t["place"])))
+
         # each window covers three words; those that the next window covers too count there
         steps = lambda ps: F.transform(ps, lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get(ps, i + 1) - p, F.lit(3).cast("long"))))
-        return F.aggregate(let(let(keys, found), steps), F.lit(0).cast("long"), lambda a, x: a + x)
+        return F.aggregate(let(let(let(keys, found), exact), steps), F.lit(0).cast("long"), lambda a, x: a + x)
 
     return F.when(n >= 2, let(F.ceil(F.log2(n + 1.0)).cast("int"), counted)).otherwise(F.lit(0).cast("long"))
 
@@ -76,11 +83,10 @@ def metrics(text: Column) -> dict[str, Column]:
     text = F.coalesce(text, F.lit(""))
     words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
-    stop = F.array(*map(F.lit, dict.fromkeys(STOP_WORDS)))
     over_words = lambda ws: F.struct(
         F.size(ws).cast("long").alias("n_words"),
         F.length(F.array_join(ws, "")).cast("long").alias("word_chars"),
-        F.size(F.array_intersect(ws, stop)).cast("long").alias("n_stop_words"),
+        F.size(F.filter(ws, lambda w: F.lower(w).isin(*dict.fromkeys(STOP_WORDS)))).cast("long").alias("n_stop_words"),
         repeated_words(ws).alias("n_repeat_words"),
     )
     over_lines = lambda xs: F.struct(F.size(xs).cast("long").alias("n_lines"), (F.size(xs) - F.size(F.array_distinct(xs))).cast("long").alias("n_dup_lines"))
@@ -97,7 +103,7 @@ def ratios() -> dict[str, Column]:
         "symbol_share": F.col("n_symbols") / chars,
         "symbols_a_word": F.col("n_symbols") / words,
         "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-        "n_stop_words": F.col("n_stop_words").cast("double"),
+        "stop_word_share": F.col("n_stop_words") / words,
     }
 
 
@@ -130,7 +136,7 @@ WITH d AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(ls) AS BIGINT) AS n_lines, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
-         CAST(len(list_intersect(list_distinct(w), [STOP])) AS BIGINT) AS n_stop_words
+         CAST(len(list_filter(w, lambda x: lower(x) IN (STOP))) AS BIGINT) AS n_stop_words
   FROM d
 ), win AS (
   SELECT row_number() OVER () AS r, doc_id, w FROM d
@@ -147,6 +153,6 @@ WITH d AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR n_words > 1000000 OR word_chars < 2 * n_words OR word_chars > 14 * n_words
-            OR n_symbols / greatest(word_chars, 1) > 0.3 OR n_symbols > 0.25 * n_words OR n_dup_lines / greatest(n_lines, 1) > 0.5 OR n_stop_words < 2) AS kept
+            OR n_symbols / greatest(word_chars, 1) > 0.3 OR n_symbols > 0.25 * n_words OR n_dup_lines / greatest(n_lines, 1) > 0.5 OR n_stop_words / greatest(n_words, 1) < 0.02) AS kept
 FROM z
 """.replace("STOP", ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS)))
