@@ -134,14 +134,14 @@ def known_digests(spark: SparkSession, known=KNOWN + HEADERS, digests=DIGESTS) -
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, digest, license (of the whole text, or null), notices (licenses of its lines), n_notices."""
-    docs = written(digested(docs.select("doc_id", "text")), "licenses")
+    docs = written(digested(docs.select("doc_id", "text").withColumn("l_row", F.monotonically_increasing_id())), "licenses")
     texts = known.filter("kind = 'text'").groupBy("known_digest").agg(F.min("license").alias("license"))
     notices = known.filter("kind = 'notice'").groupBy("known_digest").agg(F.min("license").alias("notice"))
-    lines = docs.select("doc_id", "digest", F.posexplode("line_digests").alias("at", "line_digest"))
+    lines = docs.select("l_row", F.posexplode("line_digests").alias("at", "line_digest"))
     found = lines.join(notices, lines["line_digest"] == notices["known_digest"])
-    found = found.groupBy(F.col("doc_id").alias("f_id"), F.col("digest").alias("f_digest")).agg(F.array_join(F.array_sort(F.collect_set("notice")), ",").alias("notices"), F.count_distinct("at").alias("n_notices"))
+    found = found.groupBy("l_row").agg(F.array_join(F.array_sort(F.collect_set("notice")), ",").alias("notices"), F.count_distinct("at").alias("n_notices"))
     out = docs.join(texts, docs["digest"] == texts["known_digest"], "left")
-    out = out.join(found, F.col("doc_id").eqNullSafe(F.col("f_id")) & F.col("digest").eqNullSafe(F.col("f_digest")), "left")
+    out = out.join(found, "l_row", "left")
     return out.select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
 
 
