@@ -1,19 +1,24 @@
 """Near-duplicate embeddings by counting collisions of one-dimensional projections.
 
-1. Equal vectors with equal labels become one node; unit vectors are projected on many random lines. Two vectors at the
-   threshold differ by a known spread on each line.
-2. *Cells.* So that not every pair is looked at, ``TABLES`` times (as the target recall needs) a few other projections cut
-   the vectors of a label into cells; how many grows with the logarithm of the largest label, so a cell holds a few
-   unrelated vectors at any size. A cell that is large all the same (a dense group) is cut into blocks, and each pair of
-   blocks is a unit of its own.
-3. *Collisions.* In a cell each pair counts on how many of ``LINES`` projections one lies in the window centred at the
-   other; the windows are one spread wide to either side. Pairs are verified by cosine in double precision if they reach
-   the count that a pair at the threshold misses with probability 1 - ``RECALL`` at most.
-4. A pair counts in the first table that has it in one cell. Units put out a number of links a node and a spanning forest.
+1. Equal vectors with equal labels become one node. Unit vectors are projected on many random lines; two vectors at the
+   threshold differ by a known spread on each line. A node's places on ``LINES`` lines, in steps of a quarter of the
+   spread, are its sketch of as many bytes.
+2. *Sorted lines.* A window on a single line holds a constant share of all vectors, so sorting alone would look at a share
+   of all pairs. So each of several tables first parts the vectors of a label by a few coarse projections, and sorts each
+   part along one line; a vector meets those in the window that is centred at it. How many projections part them grows with
+   the logarithm of the largest label, so that a window holds about ``MATES`` unrelated vectors at any size, and how many
+   tables there are follows from the target recall. A large part (a dense group) is cut into blocks, and each pair of blocks
+   is sorted and read by itself.
+3. *Collisions.* A pair in a window counts the lines on which one lies in the window of one spread around the other, in the
+   sketches. Pairs that reach the count that a pair at the threshold misses with probability 1 - ``RECALL`` at most join
+   their nodes to candidate clusters. Only ids, places and sketches are shuffled up to here, and no pairs put out.
+4. *Verification.* Clusters, again in pairs of blocks, meet with their vectors: all cosines are taken in double precision,
+   each pair once. Units put out a number of links a node and a spanning forest.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and those without a label, link with
-nothing, as do vectors of different length; rows that repeat a vector and label are linked; an empty table gives an empty
-result; further columns are ignored by the query.
+nothing, as do vectors of different length; rows that repeat a vector and label are linked; a null vec_id is one like
+others, and the least of a component only if all are null; an empty table gives an empty result; further columns are
+ignored by the query.
 """
 
 from __future__ import annotations
@@ -26,10 +31,14 @@ from pyspark.sql import functions as F
 
 from corvine.llm.common import read, written
 from corvine.llm.components import components
-from corvine.llm.jaccard import in_blocks
+from corvine.llm.jaccard import grouped, in_blocks, least_neighbours
 
 COSINE, RECALL = 0.98, 0.9999
-LINES, CELL, BLOCK, PAIRS_AT_ONCE = 32, 1.2, 2048, 100_000
+#: Lines of a sketch; width of a part along a coarse projection; half a window along the sorted line, in spreads; vectors in one.
+LINES, CELL, WINDOW, MATES = 128, 1.2, 2.5, 32
+#: Steps of a sketch in a spread.
+STEPS = 4
+BLOCK, PAIRS_AT_ONCE = 1024, 100_000
 
 
 def spread(cosine: float) -> float:
@@ -38,16 +47,16 @@ def spread(cosine: float) -> float:
 
 
 def shape(n: int, cosine: float = COSINE, recall: float = RECALL) -> tuple[int, int]:
-    """(projections in a cell, tables): unrelated vectors of ``n`` share a cell about once, pairs at the threshold almost surely."""
+    """(coarse projections, tables): about ``MATES`` unrelated ones of ``n`` vectors share a window, pairs at the threshold almost surely one."""
     near = 1 - spread(cosine) * math.sqrt(2 / math.pi) / CELL
-    far = CELL / (2 * math.sqrt(math.pi))
-    k = max(4, math.ceil(math.log(max(n, 2)) / -math.log(far)))
-    return k, math.ceil(math.log(1 - recall) / math.log(1 - near**k))
+    far, in_window = CELL / (2 * math.sqrt(math.pi)), WINDOW * spread(cosine) / math.sqrt(math.pi)
+    k = max(1, math.ceil(math.log(max(n, 2) * in_window / MATES) / -math.log(far)))
+    return k, math.ceil(math.log(1 - recall) / math.log(1 - near**k * math.erf(WINDOW / math.sqrt(2))))
 
 
 def least_count(recall: float = RECALL, lines: int = LINES) -> int:
     """The largest count that a pair at the threshold reaches with probability ``recall``."""
-    p = math.erf(1 / math.sqrt(2))
+    p = math.erf(1 / math.sqrt(2))  # the steps of a sketch make it more, never less
     below, c = 0.0, 0
     while (below := below + math.comb(lines, c) * p**c * (1 - p) ** (lines - c)) <= 1 - recall:
         c += 1
@@ -60,59 +69,55 @@ def directions(seed: int, n: int, size: int) -> np.ndarray:
 
 def unit(vectors: list) -> np.ndarray:
     data = np.array(vectors, dtype=np.float64)
+    data /= np.abs(data).max(axis=1, keepdims=True)  # squares of very large or small components stay finite
     return data / np.sqrt((data * data).sum(axis=1, keepdims=True))
 
 
-def celled(nodes: DataFrame, k: int, tables: int) -> DataFrame:
-    """(node, copies, label, embedding) -> those and cells: one key for each table."""
+def projected(nodes: DataFrame, k: int, tables: int, cosine: float) -> DataFrame:
+    """(node, label, embedding) -> node, its part and its place on the sorted line in each table, and its sketch."""
 
     def run(batches):
         import pyarrow as pa
         import xxhash
 
         for batch in batches:
-            vectors, labels = batch.column(3).to_pylist(), batch.column(2).to_pylist()
-            cells: list = [None] * len(vectors)
+            labels, vectors = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            cells, lines, sketches = ([None] * len(vectors) for _ in range(3))
             sizes = np.array([len(v) for v in vectors])
             for size in np.unique(sizes).tolist():
                 own = np.flatnonzero(sizes == size)
+                points = unit([vectors[i] for i in own])
                 offset = np.random.Generator(np.random.PCG64([2, size])).random(k * tables)
-                place = np.floor(unit([vectors[i] for i in own]) @ directions(1, k * tables, size) / CELL + offset).astype("<i4").reshape(len(own), tables, k)
-                for i, row in zip(own.tolist(), place, strict=True):
+                coarse = np.floor(points @ directions(1, k * tables, size) / CELL + offset).astype("<i4").reshape(len(own), tables, k)
+                sorted_lines = (points @ directions(4, tables, size)).astype(np.float32)
+                places = np.clip(np.floor(points @ directions(3, LINES, size) / (spread(cosine) / STEPS)), -128, 127).astype(np.int8)
+                for at, i in enumerate(own.tolist()):
                     head = repr((labels[i], size)).encode()
-                    cells[i] = [int.from_bytes(xxhash.xxh64_digest(head + row[t].tobytes(), t), "little", signed=True) for t in range(tables)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells, pa.list_(pa.int64()))], names=[*batch.schema.names, "cells"])
+                    cells[i] = [xxhash.xxh64_intdigest(head + coarse[at, t].tobytes(), t) - (1 << 63) for t in range(tables)]
+                    lines[i], sketches[i] = sorted_lines[at], places[at].tobytes()
+            columns = [batch.column(0), pa.array(cells, pa.list_(pa.int64())), pa.array(lines, pa.list_(pa.float32())), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "cells", "lines", "sketch"])
 
-    kind = nodes.schema["label"].dataType.simpleString()
-    vector = nodes.schema["embedding"].dataType.simpleString()
-    return nodes.select("node", "copies", "label", "embedding").mapInArrow(run, f"node long, copies long, label {kind}, embedding {vector}, cells array<long>")
+    return nodes.select("node", "label", "embedding").mapInArrow(run, "node long, cells array<long>, lines array<float>, sketch binary")
 
 
-def linked(members: DataFrame, cosine: float, lines: int, count: int) -> DataFrame:
-    """(cell, block_a, block_b, mine, at, node, copies, embedding, cells), sorted -> (a, b, links) as the verified Jaccard units give."""
+def colliding(members: DataFrame, cosine: float, count: int) -> DataFrame:
+    """(cell, block_a, block_b, line, mine, node, sketch), sorted -> (a, b): a spanning forest of what collides often enough in each unit."""
+    window = np.float64(WINDOW * spread(cosine))
 
     def run(batches):
         import pyarrow as pa
 
         def found(batch):
             """The links of whole units."""
-            ids, copies = batch.column(5).to_numpy(), batch.column(6).to_numpy()
             keys = np.stack([batch.column(i).to_numpy() for i in (0, 1, 2)], axis=1)
-            mine, at = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            vectors = batch.column(7).to_pylist()
-            cells = np.array(batch.column(8).to_pylist(), dtype=np.int64)
-            sizes = np.array([len(v) for v in vectors])
-            widest = int(sizes.max())
-            points = unit([v + [0.0] * (widest - len(v)) for v in vectors])
-            lined = np.empty((len(ids), lines), dtype=np.float32)
-            for size in np.unique(sizes).tolist():
-                own = np.flatnonzero(sizes == size)
-                lined[own] = points[own, :size] @ directions(3, lines, size)
-            new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])
-            end = np.append(np.flatnonzero(new), len(ids))[np.cumsum(new)]
-            partners = end - np.arange(len(ids)) - 1
+            line, mine, ids = (batch.column(i).to_numpy() for i in (3, 4, 5))
+            sketch = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.int8).reshape(len(ids), LINES).astype(np.int16)
+            unit_of = np.cumsum(np.concatenate([[False], (keys[1:] != keys[:-1]).any(axis=1)]))
+            # units one behind the other on one long line
+            along = (line.astype(np.float64) - line.min()) + unit_of * (float(line.max()) - float(line.min()) + 2 * window)
+            partners = np.searchsorted(along, along + window, side="right") - np.arange(len(ids)) - 1
             upto = np.concatenate([[0], np.cumsum(partners)])
-            window = np.float32(spread(cosine))
             near_i, near_j = [], []
             row = 0
             while row < len(ids):
@@ -120,36 +125,26 @@ def linked(members: DataFrame, cosine: float, lines: int, count: int) -> DataFra
                 n = partners[row:last]
                 i = np.repeat(np.arange(row, last), n)
                 j = i + 1 + np.arange(len(i)) - np.repeat(upto[row:last] - upto[row], n)
-                same = (keys[i, 1] == keys[i, 2]) | (mine[i] != mine[j])
-                i, j = i[same], j[same]
-                collisions = (np.abs(lined[i] - lined[j]) <= window).sum(axis=1)
-                enough = (collisions >= count) & (sizes[i] == sizes[j])
-                i, j = i[enough], j[enough]
-                close = np.einsum("ij,ij->i", points[i], points[j]) >= cosine
-                near_i.append(i[close])
-                near_j.append(j[close])
+                for low in range(0, len(i), PAIRS_AT_ONCE):  # a single row may have more partners
+                    p, q = i[low : low + PAIRS_AT_ONCE], j[low : low + PAIRS_AT_ONCE]
+                    meet = (keys[p, 1] == keys[p, 2]) | (mine[p] != mine[q])
+                    p, q = p[meet], q[meet]
+                    enough = (np.abs(sketch[p] - sketch[q]) <= STEPS).sum(axis=1) >= count
+                    near_i.append(p[enough])
+                    near_j.append(q[enough])
                 row = last
-            i, j = np.concatenate(near_i), np.concatenate(near_j)
+            i, j = np.concatenate([np.zeros(0, np.int64), *near_i]), np.concatenate([np.zeros(0, np.int64), *near_j])
             label = np.arange(len(ids))
             while True:
-                new_label = label.copy()
-                np.minimum.at(new_label, i, label[j])
-                np.minimum.at(new_label, j, label[i])
-                new_label = new_label[new_label]
-                if (new_label == label).all():
+                new = label.copy()
+                np.minimum.at(new, i, label[j])
+                np.minimum.at(new, j, label[i])
+                new = new[new]
+                if (new == label).all():
                     break
-                label = new_label
-            earlier = np.zeros(len(i), dtype=bool)
-            for low in range(0, len(i), PAIRS_AT_ONCE):
-                p, q = i[low : low + PAIRS_AT_ONCE], j[low : low + PAIRS_AT_ONCE]
-                earlier[low : low + len(p)] = ((cells[p] == cells[q]) & (np.arange(cells.shape[1])[None, :] < at[p][:, None])).any(axis=1)
-            links = np.zeros(len(ids), dtype=np.int64)
-            np.add.at(links, i[~earlier], copies[j[~earlier]])
-            np.add.at(links, j[~earlier], copies[i[~earlier]])
-            has, moved = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(ids)))
-            a = np.concatenate([ids[has], ids[moved]])
-            b = pa.array(np.concatenate([ids[has], ids[label[moved]]]), mask=np.arange(len(a)) < len(has))
-            return pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(np.concatenate([links[has], np.zeros(len(moved), np.int64)]))], names=["a", "b", "links"])
+                label = new
+            moved = np.flatnonzero(label != np.arange(len(ids)))
+            return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["a", "b"])
 
         rest = None
         for batch in batches:
@@ -166,7 +161,34 @@ def linked(members: DataFrame, cosine: float, lines: int, count: int) -> DataFra
         if rest is not None:
             yield found(rest)
 
-    return members.select("cell", "block_a", "block_b", "mine", "at", "node", "copies", "embedding", "cells").mapInArrow(run, "a long, b long, links long")
+    return members.select("cell", "block_a", "block_b", "line", "mine", "node", "sketch").mapInArrow(run, "a long, b long")
+
+
+def linked(members: DataFrame, cosine: float) -> DataFrame:
+    """(cluster, block_a, block_b, node, mine, copies, embedding), sorted -> (a, b, links): exact links of each unit.
+
+    A row with b null gives links of a: the vectors that it links to in this unit. The other rows are a spanning forest.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        for group in grouped(batches, 3):
+            nodes, mine, copies = (group.column(i).to_numpy() for i in (3, 4, 5))
+            if len(nodes) < 2:
+                continue
+            points = unit(group.column(6).to_pylist())
+            near = points @ points.T >= cosine
+            if group.column(1)[0] != group.column(2)[0]:
+                near &= mine[:, None] != mine[None, :]
+            np.fill_diagonal(near, False)
+            links, label = near @ copies.astype(np.float64), least_neighbours(near)
+            has, moved = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(nodes)))
+            a = np.concatenate([nodes[has], nodes[moved]])
+            b = pa.array(np.concatenate([nodes[has], nodes[label[moved]]]), mask=np.arange(len(a)) < len(has))
+            yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(np.concatenate([links[has], np.zeros(len(moved))]).astype(np.int64))], names=["a", "b", "links"])
+
+    return members.select("cluster", "block_a", "block_b", "node", "mine", "copies", "embedding").mapInArrow(run, "a long, b long, links long")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL) -> DataFrame:
@@ -177,11 +199,15 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
     largest = nodes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     k, tables = shape(largest, cosine, recall)
-    placed = written(celled(nodes, k, tables), "cells")
-    cells = placed.select("node", F.posexplode("cells").alias("at", "cell"))
+    placed = written(projected(nodes, k, tables, cosine), "projections")
+    cells = placed.select("node", F.explode(F.arrays_zip("cells", "lines")).alias("c")).select("node", F.col("c.cells").alias("cell"), F.col("c.lines").alias("line"))
     sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    members = in_blocks(cells.join(sizes, "cell").join(placed, "node"), "cell", "node", "n", BLOCK)
-    links = written(linked(members, cosine, LINES, least_count(recall)), "vector-links")
+    # what is joined here grows with the table: nothing is broadcast, at any size
+    parts = cells.join(sizes.hint("merge"), "cell").join(placed.select("node", "sketch").hint("merge"), "node")
+    clusters = written(components(colliding(in_blocks(parts, "cell", "node", "n", BLOCK, order="line"), cosine, least_count(recall))).withColumnRenamed("component", "cluster"), "vector-clusters")
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    members = nodes.select("node", "copies", "embedding").join(clusters.hint("merge"), "node").join(sizes.hint("merge"), "cluster")
+    links = written(linked(in_blocks(members, "cluster", "node", "n", BLOCK), cosine), "vector-links")
     counts = links.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("other_links"))
     groups = components(links.filter("b IS NOT NULL"))
     known = nodes.join(counts, "node", "left").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -118,12 +118,15 @@ def leaves(nodes: DataFrame, n_runs: int) -> DataFrame:
     return out
 
 
-def in_blocks(rows: DataFrame, key: str, node: str, n: str, size: int) -> DataFrame:
-    """Deals each group to ceil(n / size) blocks, and its rows to the pairs of blocks: adds block_a, block_b, mine (block of the row)."""
+def in_blocks(rows: DataFrame, key: str, node: str, n: str, size: int, order: str | None = None) -> DataFrame:
+    """Deals each group to ceil(n / size) blocks, and its rows to the pairs of blocks: adds block_a, block_b, mine (block of the row).
+
+    Each pair of blocks is sorted by ``order``, or else by node.
+    """
     rows = rows.withColumn("blocks", F.ceil(F.col(n) / size).cast("int")).withColumn("mine", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("block_a", F.least("mine", "other")).withColumn("block_b", F.greatest("mine", "other"))
-    return rows.repartition(key, "block_a", "block_b").sortWithinPartitions(key, "block_a", "block_b", node)
+    return rows.repartition(key, "block_a", "block_b").sortWithinPartitions(key, "block_a", "block_b", order or node)
 
 
 def grouped(batches, n_keys: int):
