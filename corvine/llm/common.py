@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,26 +23,55 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or where that is unset (tests, one machine) a new one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="corvine-")
-        spark.conf.set("spark.checkpoint.dir", found)
+    """The folder that all executors share: ``spark.checkpoint.dir``, or the one given to ``setCheckpointDir``.
+
+    Where neither is set (tests, one machine), a new local one; on a cluster that is an error.
+    """
+    if found := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return found
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    found = tempfile.mkdtemp(prefix="corvine-")
+    spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
+#: The folder that intermediate tables go to, where someone wants to remove them later.
+_folder: ContextVar[str | None] = ContextVar("folder", default=None)
+
+
+@contextmanager
+def tables_in(folder: str) -> Iterator[None]:
+    """What ``written`` writes meanwhile goes to this folder."""
+    before = _folder.set(folder)
+    try:
+        yield
+    finally:
+        _folder.reset(before)
+
+
 def table_path(spark: SparkSession, name: str) -> str:
     """A new path for a table in the shared folder."""
-    return f"{shared_dir(spark)}/corvine/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    return f"{_folder.get() or f'{shared_dir(spark)}/corvine/{spark.sparkContext.applicationId}'}/{name}-{uuid.uuid4().hex}"
 
 
-def release(spark: SparkSession) -> None:
-    """Removes the intermediate tables that this application has written so far. No result that reads them may be open."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(f"{shared_dir(spark)}/corvine/{spark.sparkContext.applicationId}")
+def removed(spark: SparkSession, folder: str) -> None:
+    """Removes a folder. No result that reads from it may be open."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Spark removes shuffle files at the end of each execution meanwhile."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def packed(df: DataFrame, *used: str) -> tuple[DataFrame, list[str]]:
     """The columns ``used`` and one struct ``rest`` of all others, so that no name of theirs meets one of an operator's; and their names."""
     rest = [c for c in df.columns if c not in used]
@@ -59,10 +91,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = table_path(spark, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with cleaned(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
