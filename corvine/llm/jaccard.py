@@ -8,9 +8,10 @@
    as many runs as the target recall needs for a pair at the threshold.
 3. *Leaves.* The pairs of a leaf are compared by their MinHash tokens; a leaf that is still large is cut into blocks, and
    each pair of blocks is a unit of its own. What passes a low bound joins the nodes to candidate clusters.
-4. *Verification.* Clusters, again in pairs of blocks, meet with their whole texts: all shingles of both are compared, so
-   every link is exact, and each pair is counted once. Units put out one number of links a node and a spanning forest,
-   never all pairs of a group.
+4. *Verification.* One node stands for each cluster. Every other is set beside it once, whole text by whole text, and told
+   by the shingles that it lost and gained. Clusters, again in pairs of blocks, meet with these differences, from which the
+   shared shingles of any two follow, so every link is exact and each pair is counted once. Units put out one number of
+   links a node and a spanning forest, never all pairs of a group. A large cluster of near copies is so many short lists.
 
 Only the bound on recall is probabilistic: by default a pair at exactly the threshold is lost with probability below 1e-4.
 
@@ -36,7 +37,7 @@ THRESHOLD, TARGET_RECALL = 0.8, 0.9999
 TOKENS, BRANCHES, SMALL, DEPTH = 64, 2, 1024, 4
 #: Of the tokens as many must agree for a candidate: 4.7 standard deviations below what the threshold expects.
 AGREE = 36
-LEAF_BLOCK, TEXT_BLOCK, VOCABULARY_BLOCK = 2048, 1024, 8192
+LEAF_BLOCK, DIFF_BLOCK, VOCABULARY_BLOCK = 2048, 2048, 4096
 _RANDOM = np.random.Generator(np.random.PCG64(6))
 _A = _RANDOM.integers(0, 1 << 63, TOKENS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RANDOM.integers(0, 1 << 63, TOKENS, dtype=np.uint64)
@@ -226,51 +227,89 @@ def shared_counts(sets: list[np.ndarray], others: list[np.ndarray] | None = None
     return out
 
 
-def verified_links(members: DataFrame, threshold: float) -> DataFrame:
-    """(cluster, block_a, block_b, node, mine, copies, j_text), sorted -> (a, b, links): exact links of each unit.
+def differences(members: DataFrame) -> DataFrame:
+    """(cluster, node, copies, n, j_text, r_text) -> (cluster, node, copies, n, r_size, size, lost, diff): each set beside that of its cluster's representative.
 
-    A row with b null gives links of a: the documents that it links to in this unit. The other rows are a spanning forest.
+    ``size`` is how many different shingles the node has, and ``diff`` the ``lost`` ones of the representative's ``r_size``
+    that it hasn't (as places, even numbers), then those that it has beside them (as hashes, odd numbers).
     """
+    schema = "cluster long, node long, copies long, n long, r_size long, size long, lost long, diff binary"
 
     def run(batches):
         import pyarrow as pa
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
+        held: tuple[bytes, np.ndarray] = (b"", np.zeros(0, np.uint64))
+        for batch in batches:
+            r_size, size, lost, diff = [], [], [], []
+            texts, whole = (batch.column(i).to_pylist() for i in (4, 5))
+            at = 0
+            for some in portions([unpack(t) for t in texts]):
+                values, offsets, _ = shingles(some)
+                for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                    if held[0] != whole[at]:
+                        held = whole[at], np.unique(shingles([unpack(whole[at])])[0])
+                    own, first = np.unique(values[x:y]), held[1]
+                    there = np.searchsorted(own, first)
+                    shared = own[np.minimum(there, len(own) - 1)] == first
+                    missed, extra = np.flatnonzero(~shared), np.setdiff1d(own, first[shared], assume_unique=True)
+                    r_size.append(len(first))
+                    size.append(len(own))
+                    lost.append(len(missed))
+                    diff.append(np.concatenate([missed.astype(np.uint64) << np.uint64(1), extra | np.uint64(1)]).tobytes())
+                    at += 1
+            made = [pa.array(x, pa.int64()) for x in (r_size, size, lost)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *made, pa.array(diff, pa.binary())], names=[x.split()[0] for x in schema.split(", ")])
+
+    return members.select("cluster", "node", "copies", "n", "j_text", "r_text").mapInArrow(run, schema)
+
+
+def verified_links(members: DataFrame, threshold: float) -> DataFrame:
+    """(cluster, block_a, block_b, node, mine, copies, r_size, size, lost, diff), sorted -> (a, b, links): exact links of each unit.
+
+    Two sets share what the representative has and neither lost, and what both have beside it. A row with b null gives
+    links of a: the documents that it links to in this unit. The other rows are a spanning forest.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
         for group in grouped(batches, 3):
-            nodes, mine, copies = (group.column(i).to_numpy() for i in (3, 4, 5))
+            nodes, mine, copies, r_size, size, lost = (group.column(i).to_numpy() for i in (3, 4, 5, 6, 7, 8))
             if len(nodes) < 2:
                 continue
-            texts = [unpack(t) for t in group.column(6).to_pylist()]
-            sets: list[np.ndarray] = []
-            for some in portions(texts):
-                values, offsets, _ = shingles(some)
-                sets += [np.unique(values[x:y]) for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            sizes = np.array([len(s) for s in sets], dtype=np.float64)
+            sets = [np.frombuffer(x, np.uint64) for x in group.column(9).to_pylist()]
             block_a, block_b = group.column(1)[0].as_py(), group.column(2)[0].as_py()
-            n = len(nodes)
-            near = np.zeros((n, n), dtype=bool)
-            if block_a == block_b:
-                shared = shared_counts(sets)
-                near = shared >= threshold * (sizes[:, None] + sizes[None, :] - shared) - 1e-6
+            p = np.flatnonzero(mine == block_a)
+            q = p if block_a == block_b else np.flatnonzero(mine == block_b)
+            if not len(p) or not len(q):
+                continue
+            shared = shared_counts([sets[i] for i in p], None if q is p else [sets[i] for i in q])
+            shared += (r_size[p] - lost[p])[:, None].astype(np.float32) - lost[q][None, :].astype(np.float32)
+            near = shared >= threshold * (size[p].astype(np.float64)[:, None] + size[q][None, :] - shared) - 1e-6
+            links = np.zeros(len(nodes))
+            if q is p:
                 np.fill_diagonal(near, False)
+                links[p] = near @ copies[p].astype(np.float64)
             else:
-                p, q = np.flatnonzero(mine == block_a), np.flatnonzero(mine == block_b)
-                if len(p) and len(q):
-                    shared = shared_counts([sets[i] for i in p], [sets[i] for i in q])
-                    some_near = shared >= threshold * (sizes[p][:, None] + sizes[q][None, :] - shared) - 1e-6
-                    near[np.ix_(p, q)] = some_near
-                    near[np.ix_(q, p)] = some_near.T
-            links = near @ copies.astype(np.float64)
-            label = least_neighbours(near)
-            moved = np.flatnonzero(label != np.arange(n))
-            has = np.flatnonzero(links)
+                links[p], links[q] = near @ copies[q].astype(np.float64), near.T @ copies[p].astype(np.float64)
+            label = np.arange(len(nodes))
+            while True:
+                new = label.copy()
+                new[p] = np.minimum(new[p], np.where(near, label[q][None, :], len(nodes)).min(axis=1))
+                new[q] = np.minimum(new[q], np.where(near, new[p][:, None], len(nodes)).min(axis=0))
+                new = new[new]
+                if (new == label).all():
+                    break
+                label = new
+            moved, has = np.flatnonzero(label != np.arange(len(nodes))), np.flatnonzero(links)
             a = np.concatenate([nodes[has], nodes[moved]])
             b = pa.array(np.concatenate([nodes[has], nodes[label[moved]]]), mask=np.arange(len(a)) < len(has))
             n_links = np.concatenate([links[has], np.zeros(len(moved))]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(n_links)], names=["a", "b", "links"])
 
-    return members.select("cluster", "block_a", "block_b", "node", "mine", "copies", "j_text").mapInArrow(run, "a long, b long, links long")
+    return members.select("cluster", "block_a", "block_b", "node", "mine", "copies", "r_size", "size", "lost", "diff").mapInArrow(run, "a long, b long, links long")
 
 
 def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = TARGET_RECALL) -> DataFrame:
@@ -288,13 +327,19 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     units = in_blocks(leaves(tokens, runs(threshold, recall)).join(tokens.select("node", "j_sketch").hint("merge"), "node"), "path", "node", "n", LEAF_BLOCK)
     clusters = written(components(candidate_links(units)).withColumnRenamed("component", "cluster"), "jaccard-clusters")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    members = heads.select("node", "copies", "j_text").join(clusters.hint("merge"), "node").join(sizes.hint("merge"), "cluster")
-    links = written(verified_links(in_blocks(members, "cluster", "node", "n", TEXT_BLOCK), threshold), "jaccard-links")
+    # the node that a cluster is called by stands for it: the others are told by what differs
+    texts = heads.select("node", "copies", "j_text")
+    whole = texts.join(sizes.withColumnRenamed("cluster", "node").hint("merge"), "node").select(F.col("node").alias("cluster"), "n", F.col("j_text").alias("r_text"))
+    whole = written(whole, "jaccard-representatives")  # so that Spark may split a large cluster in the join with it
+    members = texts.join(clusters.hint("merge"), "node").join(whole.hint("merge"), "cluster")
+    differing = written(differences(members), "jaccard-differences")
+    links = written(verified_links(in_blocks(differing, "cluster", "node", "n", DIFF_BLOCK), threshold), "jaccard-links")
     counts = links.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("other_links"))
     groups = components(links.filter("b IS NOT NULL"))
     known = nodes.join(counts.hint("merge"), "node", "left").join(groups.hint("merge"), "node", "left").select("j_digest", "copies", "other_links", F.coalesce("component", "node").alias("j_group"))
     placed = written(stored.select("j_id", "j_digest", "j_size", "doc_id").join(known.hint("merge"), "j_digest", "left").select("j_id", "doc_id", "copies", "other_links", F.when(F.col("j_size") > 0, F.col("j_group")).alias("j_group")), "jaccard-groups")
-    first = placed.filter("j_group IS NOT NULL").groupBy("j_group").agg(F.min("doc_id").alias("g_doc"), F.min(F.struct("doc_id", "j_id")).alias("g_first"))
+    # written, so that Spark may split the rows of a large group in the join behind it
+    first = written(placed.filter("j_group IS NOT NULL").groupBy("j_group").agg(F.min("doc_id").alias("g_doc"), F.min(F.struct("doc_id", "j_id")).alias("g_first")), "jaccard-first")
     found = placed.join(first.hint("merge"), "j_group", "left").select(
         "j_id",
         F.when(F.col("j_group").isNull(), 0).otherwise(F.col("copies") - 1 + F.coalesce("other_links", F.lit(0))).cast("long").alias("n_links"),
