@@ -22,9 +22,9 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_left
 from collections import Counter, defaultdict
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,6 +60,8 @@ COPIES = 0.5
 OWN = 0.1
 #: How many pages before and behind each it meets, and how many rows of their order make a block of work.
 NEAR, BLOCK = 4, 1024
+#: Bits of an alignment that are held at once.
+AT_ONCE_BITS = 1 << 27
 TAG = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|$)|<[!?/][^>]*(?:>|$)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 PLAIN, ARTICLE, MAIN = 0, 1, 2  # an article in a main element is both
@@ -229,26 +231,56 @@ def page_lines(page: str) -> tuple[bool, list[str]]:
     return False, [text for text, _, links in found if links <= LINKS]
 
 
+def rows_of(mine: list[int], other: list[int]) -> list[int]:
+    """For each line of ``mine`` a number whose zero bits are the places of ``other`` at which the longest common subsequence of all up to here gets longer."""
+    match: dict[int, int] = defaultdict(int)
+    for j, key in enumerate(other):
+        match[key] |= 1 << j
+    every = (1 << len(other)) - 1
+    v, out = every, []
+    for key in mine:
+        u = v & match.get(key, 0)
+        v = (v + u | v - u) & every
+        out.append(v)
+    return out
+
+
+def aligned(mine: list[int], other: list[int]) -> list[int]:
+    """Places in ``mine`` of a longest common subsequence. Lines are compared many at a time, as bits; memory is bounded by splitting ``mine``."""
+    if not mine or not other:
+        return []
+    if len(mine) > 1 and len(mine) * len(other) > AT_ONCE_BITS:
+        half = len(mine) // 2
+        lengths = lambda v: [0, *np.cumsum(np.unpackbits(np.frombuffer((~v & (1 << len(other)) - 1).to_bytes(len(other) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(other)], dtype=np.int64).tolist()]
+        ahead = lengths(rows_of(mine[:half], other)[-1])
+        behind = lengths(rows_of(mine[half:][::-1], other[::-1])[-1])[::-1]
+        cut = max(range(len(other) + 1), key=lambda j: ahead[j] + behind[j])
+        return aligned(mine[:half], other[:cut]) + [half + i for i in aligned(mine[half:], other[cut:])]
+    rows = rows_of(mine, other)
+    found, i, j = [], len(mine), len(other)
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+            continue
+        i -= 1
+        if not i or rows[i - 1] >> (j - 1) & 1:
+            found.append(i)
+            j -= 1
+    return found[::-1]
+
+
 def common_subsequence(mine: list[int], other: list[int]) -> set[int]:
-    """Places in ``mine`` of a longest common subsequence, by patience over matching places."""
-    places: dict[int, list[int]] = defaultdict(list)
-    for j in range(len(other) - 1, -1, -1):
-        places[other[j]].append(j)
-    ends: list[int] = []  # least place in ``other`` at which a subsequence of each length ends
-    nodes: list[tuple] = []
-    for i, key in enumerate(mine):
-        for j in places.get(key, ()):
-            k = bisect_left(ends, j)
-            node = (i, nodes[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                nodes.append(node)
-            else:
-                ends[k], nodes[k] = j, node
-    found, node = set(), nodes[-1] if nodes else None
-    while node:
-        found.add(node[0])
-        node = node[1]
+    """Places in ``mine`` of a longest common subsequence: first the common head and tail, then what both have of the rest."""
+    head = 0
+    while head < min(len(mine), len(other)) and mine[head] == other[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(mine), len(other)) - head and mine[-1 - tail] == other[-1 - tail]:
+        tail += 1
+    found = {*range(head), *range(len(mine) - tail, len(mine))}
+    both = set(mine[head : len(mine) - tail]).intersection(other[head : len(other) - tail])
+    places = [i for i in range(head, len(mine) - tail) if mine[i] in both]
+    found.update(places[i] for i in aligned([mine[i] for i in places], [x for x in other[head : len(other) - tail] if x in both]))
     return found
 
 
