@@ -201,11 +201,11 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     k, tables = shape(largest, cosine, recall)
     placed = written(projected(nodes, k, tables, cosine), "projections")
     cells = placed.select("node", F.explode(F.arrays_zip("cells", "lines")).alias("c")).select("node", F.col("c.cells").alias("cell"), F.col("c.lines").alias("line"))
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1")
-    # what is joined here grows with the table: nothing is broadcast, at any size
+    # what is joined here grows with the table: nothing is broadcast, at any size; counts are written, so that Spark may split large groups
+    sizes = written(cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "cell-sizes")
     parts = cells.join(sizes.hint("merge"), "cell").join(placed.select("node", "sketch").hint("merge"), "node")
     clusters = written(components(colliding(in_blocks(parts, "cell", "node", "n", BLOCK, order="line"), cosine, least_count(recall))).withColumnRenamed("component", "cluster"), "vector-clusters")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    sizes = written(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "cluster-sizes")
     members = nodes.select("node", "copies", "embedding").join(clusters.hint("merge"), "node").join(sizes.hint("merge"), "cluster")
     links = written(linked(in_blocks(members, "cluster", "node", "n", BLOCK), cosine), "vector-links")
     counts = links.filter("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("other_links"))
