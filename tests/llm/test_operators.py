@@ -384,7 +384,7 @@ def jaccard_links(pairs):
 @pytest.mark.parametrize("blocks", [None, (8, 5, 16)])
 def test_jaccard(spark, docs, empty, monkeypatch, blocks):
     if blocks:  # small leaves and blocks: every path to split them runs
-        for name, value in zip(("SMALL", "TEXT_BLOCK", "VOCABULARY_BLOCK"), blocks, strict=True):
+        for name, value in zip(("SMALL", "DIFF_BLOCK", "VOCABULARY_BLOCK"), blocks, strict=True):
             monkeypatch.setattr(jaccard, name, value)
         monkeypatch.setattr(jaccard, "LEAF_BLOCK", 6)
     found = [(r[0], r[1]) for r in rows() if r[0] is not None]
@@ -479,14 +479,54 @@ def test_html_templates_in_articles(spark):
     assert all(got[30 + i] == "\n\n".join(story(k) + "!" * (k == i) for k in range(9)) for i in range(9))
 
 
-def test_common_subsequence():
+@pytest.mark.parametrize("bits", [1 << 27, 10])
+def test_common_subsequence(monkeypatch, bits):
+    monkeypatch.setattr(html, "AT_ONCE_BITS", bits)
     r = random.Random(3)
-    for _ in range(50):
+    for _ in range(200):
         a, b = ([r.randint(0, 5) for _ in range(r.randint(0, 12))] for _ in range(2))
         table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, j in itertools.product(range(len(a)), range(len(b))):
             table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
-        assert len(html.common_subsequence(a, b)) == table[-1][-1]
+        found = sorted(html.common_subsequence(a, b))
+        rest = iter(b)
+        assert len(found) == table[-1][-1] and all(a[i] in rest for i in found)  # in order in b too
+
+
+def test_common_subsequence_of_many_lines():
+    """Repeated lines of long pages: time that grows with the product of lengths, but 64 pairs of lines at a time."""
+    a, b = [1, *[7, 8] * 4000, 2], [3, *[7, 7, 8] * 3000, 4]
+    assert len(html.common_subsequence(a, b)) == 7000  # of 3000 triples 1000 take two pairs of lines, and the others one
+    assert len(html.common_subsequence([7] * 100_000, [7] * 90_000)) == 90_000
+
+
+def test_html_against_brute_force(spark, monkeypatch):
+    """The whole operator: hosts, copies and neighbours found by plain loops over all pages."""
+    r = random.Random(21)
+    notes = [f"A line {k} that the house puts on some of its pages" for k in range(6)]
+    pages = []
+    for i in range(160):
+        host = r.choice(("a.example", "b.example", "B.example"))
+        lines = [x for x in notes if r.random() < 0.5] + [f"Story {i if r.random() < 0.8 else 0}, part {k}, told in its own words" for k in range(r.randint(1, 4))] + [x for x in notes[:2] if r.random() < 0.3]
+        if r.random() < 0.2 and pages:
+            lines = r.choice(pages)[3]
+        body = "".join(f"<p>{x}</p>" for x in lines)
+        pages.append((i, f"http://{host}/{r.randint(0, 9)}/{i:03}?q={i}", f"<body><nav>menu</nav>{f'<article>{body}</article>' if i % 3 else body}</body>", lines))
+    monkeypatch.setattr(html, "BLOCK", 9)
+    groups: dict = {}
+    for i, url, page_html, _ in pages:
+        host, path = url.split("?")[0].removeprefix("http://").split("/", 1)
+        marked, lines = html.page_lines(page_html)
+        groups.setdefault((host.lower(), marked, tuple(lines)), []).append(("/" + path, i))
+    order = sorted((host, min(of), marked, lines) for (host, marked, lines), of in groups.items())
+    want = {}
+    for at, (host, _, marked, lines) in enumerate(order):
+        others = [list(x[3]) for k, x in enumerate(order) if k != at and abs(k - at) <= html.NEAR and x[0] == host]
+        gone = html.template(marked, list(lines), list(map(len, lines)), others) if others else []
+        for _, i in groups[host, marked, lines]:
+            want[i] = "\n\n".join(x for k, x in enumerate(lines) if k not in gone)
+    got = texts_of(spark, [p[:3] for p in pages])
+    assert got == want and sum("\n\n".join(p[3]) != want[p[0]] for p in pages) > 20
 
 
 # --- 9
