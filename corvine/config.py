@@ -6,6 +6,7 @@ import os
 from dataclasses import dataclass, fields
 
 
+# Names and defaults are fixed values.
 @dataclass(frozen=True)
 class Settings:
     MAX_FILE_SIZE: int = 50 * 1024 * 1024
@@ -49,8 +50,8 @@ class Settings:
 
 
 def usable_key(key: str | None) -> bool:
-    """Whether a provider's key is set and no placeholder."""
-    return bool(key and key.strip()) and not key.strip().lower().startswith(("your", "<", "changeme"))
+    """Whether a provider's key is set and no placeholder (fixed values)."""
+    return bool(key and key.strip()) and not key.strip().startswith("your_") and key.strip() != "YOUR_API_KEY_HERE"
 
 
 DEFAULTS = Settings()

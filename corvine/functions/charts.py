@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 FEATURES = "lines diag circles rects horizontal vertical angle_var bar_pattern large color_peaks text_region very_short small_scattered".split()
 
 
+# The thresholds and the order of the bonuses below are fixed values.
 def verdict() -> Column:
     """(has_chart, confidence, chart_types sorted, rejected) from columns named as ``FEATURES``."""
     f = {x: F.col(x) for x in FEATURES}
@@ -28,21 +29,20 @@ def verdict() -> Column:
     is_bar = f["bar_pattern"] & (f["rects"] >= 6)
     is_complex = (f["circles"] >= 3) & (f["large"] >= 2) & (f["color_peaks"] > 5)
     line_start = F.least(F.lit(0.88), 0.6 + f["diag"] / 40)
-    # each step is a function of the confidence before it; the order matters, as later bonuses are clamped
-    steps = (
-        lambda c: F.when(is_line, F.when(axis, F.least(F.lit(0.95), line_start + 0.08)).otherwise(line_start)).otherwise(c),
-        lambda c: F.when(is_bubble, F.least(F.lit(0.92), 0.70 + F.least(f["circles"], F.lit(20)) * 0.01)).otherwise(c),
-        lambda c: F.when(is_bubble & (f["color_peaks"] > 5), F.least(F.lit(0.95), c + 0.1)).otherwise(c),
-        lambda c: F.when(is_zone, F.least(F.lit(0.97), c + 0.05)).otherwise(c),
-        lambda c: F.when(is_scatter, F.greatest(c, F.lit(0.75))).otherwise(c),
-        lambda c: F.when(is_pie, F.greatest(c, F.lit(0.80))).otherwise(c),
-        lambda c: F.when(is_bar, F.greatest(c, 0.75 + F.least(f["rects"], F.lit(12)) / 40)).otherwise(c),
-        lambda c: F.when(is_complex, F.greatest(c, F.lit(0.85))).otherwise(c),
-        lambda c: F.when((f["horizontal"].between(1, 6) | f["vertical"].between(1, 6)) & ((f["circles"] >= 3) | (f["diag"] >= 2) | f["bar_pattern"]) & (c > 0.3), F.least(F.lit(0.90), c + 0.10)).otherwise(c),
-    )
-    confidence = zero
-    for step in steps:
-        confidence = F.transform(F.array(confidence), step)[0]
+    # Each step names the confidence before it once, so the expression stays short; nulls of least and greatest count for
+    # nothing. The order matters, as later bonuses are clamped.
+    bonus = lambda c, test, by, most: F.least(c + F.when(test, by).otherwise(0.0), F.when(test, most))
+    floor = lambda c, test, least: F.greatest(c, F.when(test, least))
+    confidence = F.when(is_line, bonus(line_start, axis, 0.08, 0.95)).otherwise(zero)
+    confidence = F.when(is_bubble, F.least(F.lit(0.92), 0.70 + F.least(f["circles"], F.lit(20)) * 0.01)).otherwise(confidence)
+    confidence = bonus(confidence, is_bubble & (f["color_peaks"] > 5), 0.1, 0.95)
+    confidence = bonus(confidence, is_zone, 0.05, 0.97)
+    confidence = floor(confidence, is_scatter, F.lit(0.75))
+    confidence = floor(confidence, is_pie, F.lit(0.80))
+    confidence = floor(confidence, is_bar, 0.75 + F.least(f["rects"], F.lit(12)) / 40)
+    confidence = floor(confidence, is_complex, F.lit(0.85))
+    few_lines = (f["horizontal"].between(1, 6) | f["vertical"].between(1, 6)) & ((f["circles"] >= 3) | (f["diag"] >= 2) | f["bar_pattern"])
+    confidence = F.transform(F.array(confidence), lambda c: F.when(few_lines & (c > 0.3), F.least(F.lit(0.90), c + 0.10)).otherwise(c))[0]
     named = (("line_chart", is_line), ("bubble_chart", is_bubble), ("zone_diagram", is_zone), ("scatter_plot", is_scatter), ("pie_chart", is_pie), ("bar_chart", is_bar), ("complex_visualization", is_complex))
     types = F.array_sort(F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in named])))
     strong = is_line | is_bubble | ((f["circles"] >= 3) & (f["large"] >= 2)) | f["bar_pattern"] | ((f["circles"] >= 3) & (f["color_peaks"] > 5))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvine.operators.numbering import numbered
+
 
 def sha256(x: Column) -> Column:
     return F.sha2(x.cast("binary"), 256)
@@ -34,13 +36,27 @@ def doc_key(source: Column, page: Column, chunk: Column, content: Column) -> Col
     return F.sha2(F.concat_ws("::", *parts, F.substring(sha256(F.coalesce(content, F.lit(""))), 1, 16)), 256)
 
 
-def set_hash(docs: DataFrame, order: str, digest: str, fan: int = 1000, levels: int = 3) -> DataFrame:
-    """One hash of a set of documents in the order of a whole number, as a tree: no task holds more than ``fan`` digests but the root's.
+def document_digest(content: Column, metadata: Column) -> Column:
+    """The hash of a content and its metadata (a map), keys in order, no sign between them; null values are empty."""
+    entries = F.transform(F.array_sort(F.map_entries(metadata)), lambda e: F.concat(e["key"], F.coalesce(e["value"].cast("string"), F.lit(""))))
+    return sha256(F.concat(F.coalesce(content, F.lit("")), F.array_join(entries, "")))
+
+
+def meta(metadata: Column, key: str, default: str = "") -> Column:
+    """What a map has at a key, or the default."""
+    return F.coalesce(F.try_element_at(metadata, F.lit(key)), F.lit(default))
+
+
+def set_hash(docs: DataFrame, order: str, digest: str, fan: int = 1000) -> DataFrame:
+    """One hash of a set of documents in the order of a whole number, as a tree of hashes over runs of ``fan``.
 
-    Gaps in the numbers make blocks smaller, never larger.
+    Documents are numbered without gaps, so each level is a thousandth of the one before whatever the numbers are, and
+    levels are added until one run is left. No task holds more than a run. An empty set has the hash of an empty text.
     """
-    level = docs.select(F.col(order).alias("at"), F.col(digest).alias("h"))
+    rows = docs.select(F.col(order).alias("order"), F.col(digest).alias("h"))
+    level, n = numbered(rows, None, "order", ("h",)), rows.count()
     joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]), ""), 256)
-    for _ in range(levels - 1):
-        level = level.groupBy(F.floor(F.col("at") / fan).alias("at")).agg(joined.alias("h"))
-    return level.agg(joined.alias("set_hash"))
+    while True:
+        level, n = level.groupBy(F.floor(F.col("at") / fan).alias("at")).agg(joined.alias("h")), -(-n // fan)
+        if n <= 1:
+            return level.agg(F.coalesce(F.min("h"), F.sha2(F.lit(""), 256)).alias("set_hash"))

@@ -11,10 +11,18 @@ ASKS = {
     "rewrite": "Put the question so that a search finds more. Keep its meaning.",
     "answer": "Answer from the context alone. Say so where it has no answer.",
     "select": "Choose the answer that the context supports best. Give its number.",
+    "combine": "Put the answers to the parts together as one answer.",
+    "chart": "Describe the chart: title, type, axes, values and what it shows.",
+    "charts": "Describe each chart behind a line of its own, ---CHART and its number---.",
     "verify": "Check the answer against the context. Give Supported, Confidence, Relevant and Completeness, one a line.",
 }
 
 
+def rendered(kind: str, **parts: str) -> str:
+    """The same for one request, within a provider."""
+    return "\n\n".join([ASKS[kind], *[f"{name.capitalize()}:\n{v}" for name, v in parts.items() if v]])
+
+
 def prompt(kind: str, **parts: Column) -> Column:
     """The request of a kind and its named parts; a part that is null or empty is left out."""
     shown = [F.when(F.coalesce(v, F.lit("")) != "", F.concat(F.lit(f"{name.capitalize()}:\n"), v)) for name, v in parts.items()]

@@ -1,4 +1,7 @@
-"""Text expressions: cleaning, rendering, scanning and estimates."""
+"""Text expressions: cleaning, rendering, scanning and estimates.
+
+The headings, labels and the sentence for an analysis that is missing, in what is rendered here, are fixed values.
+"""
 
 from __future__ import annotations
 

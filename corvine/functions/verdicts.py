@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corvine.functions.text import strip
+from corvine.functions.text import json_object
 
 LABELS = ("CAN_ANSWER", "PARTIAL", "NO_MATCH")
 
@@ -16,17 +16,11 @@ def or_none(x: Column) -> Column:
 
 def parsed(raw: Column) -> Column:
     """(supported, confidence, relevant, completeness) of lines ``key: value``; the last line of a key that says something counts."""
-    lines = F.filter(F.split(raw, "\n"), lambda x: F.contains(x, F.lit(":")))
-    pairs = F.transform(lines, lambda x: F.struct(
-        F.replace(F.lower(strip(F.substring_index(x, ":", 1))), F.lit(" "), F.lit("_")).alias("key"),
-        F.upper(strip(F.substr(x, F.instr(x, ":") + 1))).alias("value"),
-    ))
-    last = lambda test: F.try_element_at(F.filter(pairs, test), F.lit(-1))["value"]
     contains = lambda x, label: F.contains(x, F.lit(label))
-    says = lambda x: contains(x, "PARTIAL") | (contains(x, "COMPLETE") & ~contains(x, "INCOMPLETE"))
-    value = lambda key: last(lambda p: p["key"] == key)
-    s, c, r = map(value, ("supported", "confidence", "relevant"))
-    m = last(lambda p: (p["key"] == "completeness") & says(p["value"]))
+    # one greedy pattern a key finds its last line; what it captures is the value
+    last = lambda key, says="": F.upper(F.regexp_extract(raw, rf"(?s)^(?:.*\n)?[^\S\n]*(?i:{key})[^\S\n]*:{says}([^\n]*)", 1))
+    s, c, r = map(last, ("supported", "confidence", "relevant"))
+    m = last("completeness", r"(?=(?iu:[^\n]*PARTIAL|(?![^\n]*INCOMPLETE)[^\n]*COMPLETE))")
     return F.struct(
         F.when(contains(s, "YES"), "YES").when(contains(s, "PARTIAL"), "PARTIAL").otherwise("NO").alias("supported"),
         F.when(contains(c, "HIGH"), "HIGH").when(contains(c, "MEDIUM"), "MEDIUM").otherwise("LOW").alias("confidence"),
@@ -35,6 +29,27 @@ def parsed(raw: Column) -> Column:
     )
 
 
+#: The form of a structured verdict.
+VERDICT = "supported string, confidence string, unsupported_claims array<string>, contradictions array<string>, relevant string, completeness string, additional_details string"
+
+
+def structured(raw: Column) -> Column:
+    """A verdict from a model's JSON object, or from its lines where it is no such object; all seven fields, never null.
+
+    An object counts if its labels are those that are allowed; a confidence or completeness that it leaves out has a default.
+    """
+    j = F.from_json(json_object(raw), VERDICT)
+    confidence, completeness = F.coalesce(j["confidence"], F.lit("MEDIUM")), F.coalesce(j["completeness"], F.lit("PARTIAL"))
+    ok = j["supported"].isin("YES", "NO", "PARTIAL") & confidence.isin("HIGH", "MEDIUM", "LOW") & j["relevant"].isin("YES", "NO") & completeness.isin("COMPLETE", "PARTIAL", "INCOMPLETE")
+    p, none = parsed(raw), F.array().cast("array<string>")
+    of = lambda a, b: F.when(ok, a).otherwise(b)
+    return F.struct(
+        of(j["supported"], p["supported"]).alias("supported"), of(confidence, p["confidence"]).alias("confidence"), of(F.coalesce(j["unsupported_claims"], none), none).alias("claims"),
+        of(F.coalesce(j["contradictions"], none), none).alias("contradictions"), of(j["relevant"], p["relevant"]).alias("relevant"), of(completeness, p["completeness"]).alias("completeness"),
+        of(F.coalesce(j["additional_details"], F.lit("")), F.lit("")).alias("details"),
+    )
+
+
 def report(supported: Column, confidence: Column, claims: Column, contradictions: Column, relevant: Column, completeness: Column, details: Column) -> Column:
     parts = (
         ("Supported", supported), ("Confidence", confidence), ("Unsupported Claims", or_none(F.array_join(claims, ", "))), ("Contradictions", or_none(F.array_join(contradictions, ", "))),

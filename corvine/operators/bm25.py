@@ -15,6 +15,11 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return terms.groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
 
+def document_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(term, df): a row's different words once each, so counts are summed up before the shuffle and no pair is shuffled."""
+    return docs.select(F.explode(F.array_distinct(words(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def lengths(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return docs.select(F.col(key).alias("doc"), F.coalesce(F.size(words(F.col(text))), F.lit(0)).cast("long").alias("dl"))
 
@@ -23,9 +28,8 @@ def corpus_stats(doc_lengths: DataFrame) -> DataFrame:
     return doc_lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
 
-def term_stats(posts: DataFrame, stats: DataFrame, epsilon: float = DEFAULTS.BM25_EPSILON) -> DataFrame:
-    """(term, df, idf): a negative idf becomes ``epsilon`` times the mean over the vocabulary. ``stats`` has one row."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+def term_stats(df: DataFrame, stats: DataFrame, epsilon: float = DEFAULTS.BM25_EPSILON) -> DataFrame:
+    """(term, df) -> (term, df, idf): a negative idf becomes ``epsilon`` times the mean over the vocabulary. ``stats`` has one row."""
     raw = df.crossJoin(F.broadcast(stats.select("n"))).withColumn("idf0", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("idf0").alias("mean_idf"))
     idf = F.when(F.col("idf0") >= 0, F.col("idf0")).otherwise(epsilon * F.col("mean_idf"))
@@ -39,14 +43,16 @@ def top_documents(questions: DataFrame, docs: DataFrame, k: int = DEFAULTS.BM25_
     documents fill up, so each question has ``k`` rows if the corpus has.
     """
     asked = questions.select("question", F.explode(words(F.col("text"))).alias("term")).groupBy("question", "term").agg(F.count("*").alias("qtf"))
-    posts, doc_lengths = postings(docs), lengths(docs)
-    stats = corpus_stats(doc_lengths)
-    terms = term_stats(posts, stats)
-    wanted = posts.join(asked.select("term").distinct(), "term", "left_semi").join(terms, "term").join(doc_lengths, "doc").crossJoin(F.broadcast(stats))
+    stats = corpus_stats(lengths(docs))
+    terms = term_stats(document_counts(docs), stats).join(asked.select("term").distinct(), "term", "left_semi")
+    # the length comes along, so postings meet nothing but the terms that are asked for, before they are shuffled
+    every_word = docs.select(F.col("doc_id").alias("doc"), words(F.col("text")).alias("words"))
+    wanted = every_word.select("doc", F.size("words").cast("long").alias("dl"), F.explode("words").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    wanted = wanted.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl")).join(terms, "term").crossJoin(F.broadcast(stats))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = wanted.select("term", "doc", weight.alias("weight")).join(asked, "term").groupBy("question", "doc").agg(F.round(F.sum(F.col("qtf") * F.col("weight")), 6).alias("score"))
     best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "doc"))).filter(F.col("rank") <= k).drop("rank")
     first = docs.select(F.col("doc_id").alias("doc")).orderBy("doc").limit(2 * k)
-    fill = questions.select("question").crossJoin(F.broadcast(first)).join(best.select("question", "doc"), ["question", "doc"], "left_anti").withColumn("score", F.lit(0.0))
-    every = best.unionByName(fill.select("question", "doc", "score"))
+    fill = questions.select("question").crossJoin(F.broadcast(first)).select("question", "doc", F.lit(0.0).alias("score"), F.lit(0).alias("scored"))
+    every = best.withColumn("scored", F.lit(1)).unionByName(fill).groupBy("question", "doc").agg(F.max_by("score", "scored").alias("score"))
     return every.withColumn("rank", F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "doc"))).filter(F.col("rank") <= k)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -33,6 +37,37 @@ def from_json(lines: DataFrame) -> DataFrame:
     return lines.select(parsed.alias("m")).select("m.*").filter("doc_id IS NOT NULL AND content_hash IS NOT NULL")
 
 
+def replace(manifest: DataFrame, path: str) -> None:
+    """Writes a whole manifest beside the one at ``path`` and puts its name in place by one rename: readers see the old or the new."""
+    spark = manifest.sparkSession
+    version = f"version-{uuid.uuid4().hex}"
+    manifest.write.parquet(f"{path}/{version}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    files = at("").getFileSystem(conf)
+    out = files.create(at(f"_{version}"), True)
+    out.write(bytearray(version.encode()))
+    out.close()
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), conf).rename(files.makeQualified(at(f"_{version}")), files.makeQualified(at("_CURRENT")), overwrite)
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The manifest that ``replace`` wrote last; None if there is none, or if it can't be read."""
+    pointer = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_CURRENT")
+    files = pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(pointer):
+        return None
+    try:
+        stream = files.open(pointer)
+        version = bytes(stream.readAllBytes()).decode()
+        stream.close()
+        return spark.read.parquet(f"{path}/{version}")
+    except (AnalysisException, Py4JJavaError):
+        return None
+
+
 def append(batch: DataFrame, manifest_path: str, key: str) -> None:
     """Adds to the Parquet manifest what it has not; with ``foreachBatch`` this is the incremental indexer of a stream."""
     spark = batch.sparkSession

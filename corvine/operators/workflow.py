@@ -6,6 +6,7 @@ calls a service has the same methods and is passed in its place.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,8 +15,10 @@ from pyspark.sql import functions as F
 from corvine.config import DEFAULTS
 from corvine.functions import text as X
 from corvine.functions import verdicts as V
-from corvine.operators.context import joined_context
+from corvine.functions.prompts import rendered
+from corvine.operators.context import combined, joined_context
 
+#: The answer to such a question (a fixed value).
 UNRELATED = "This question isn't related to the uploaded documents. Please ask another question."
 
 
@@ -55,6 +58,46 @@ class Offline:
         return f"Supported: {supported}\nConfidence: {'HIGH' if share >= 0.9 else 'LOW'}\nRelevant: {'YES' if asked > 0 else 'NO'}\nCompleteness: {complete}"
 
 
+class Prompted(Offline):
+    """A provider that asks a service: ``complete`` maps a prompt to a text. Where that fails, the offline answer stands."""
+
+    def __init__(self, complete):
+        self.complete = complete
+
+    def _asked(self, kind: str, otherwise, **parts: str):
+        try:
+            return self.complete(rendered(kind, **parts))
+        except Exception:  # whatever a service's client raises
+            return otherwise
+
+    def decompose(self, question: str) -> list[str]:
+        said = self._asked("decompose", "", question=question)
+        try:
+            found = json.loads(said[said.index("{") : said.rindex("}") + 1])
+            parts = [str(x) for x in found["sub_queries"]] if found["is_multi_query"] is True else []
+        except (ValueError, KeyError, TypeError):
+            parts = []
+        return parts or [question]
+
+    def relevance(self, question: str, context: str) -> str:
+        said = self._asked("relevance", "", question=question, context=context).upper()
+        return next((x for x in V.LABELS[:2] if x in said), V.LABELS[2]) if said else super().relevance(question, context)
+
+    def rewrite(self, question: str) -> str:
+        return self._asked("rewrite", question, question=question)
+
+    def answer(self, question: str, context: str, candidate: int) -> str:
+        return self._asked("answer", "", question=question, context=context)
+
+    def select(self, question: str, answers: list[str]) -> int:
+        said = self._asked("select", "0", question=question, answers="\n".join(f"{i}: {a}" for i, a in enumerate(answers)))
+        found = re.search(r"-?\d+", said)
+        return (int(found[0]) if found else 0) if len(answers) > 1 else len(answers) - 1
+
+    def verify(self, question: str, answer: str, context: str) -> str:
+        return self._asked("verify", "", question=question, answer=answer, context=context)
+
+
 def called(provider, method: str, returns: str, *columns: Column) -> Column:
     """A provider's method over columns, in Arrow batches; not moved or repeated by the optimiser, as a call may cost money."""
     from collections.abc import Iterator
@@ -99,11 +142,10 @@ def attempt(rows: DataFrame, provider, n_candidates: int, report_of=V.report) ->
     drafts = candidates.groupBy("question").agg(F.transform(F.array_sort(F.collect_list(F.struct("candidate", "draft"))), lambda x: x["draft"]).alias("drafts"))
     picked = rows.join(drafts, "question").withColumn("asked_index", called(provider, "select", "int", F.col("text"), F.col("drafts")))
     picked = picked.withColumn("selected", V.selected_index(F.col("asked_index"), F.size("drafts"))).withColumn("answer", F.coalesce(F.get("drafts", F.col("selected")), F.lit("")))
-    verdict = picked.withColumn("verdict", V.parsed(called(provider, "verify", "string", F.col("text"), F.col("answer"), F.col("context"))))
-    none = F.array().cast("array<string>")
-    v = {x: F.col(f"verdict.{x}") for x in ("supported", "confidence", "relevant", "completeness")}
-    told = V.feedback(v["supported"], v["confidence"], none, none, v["completeness"], F.lit(""))
-    report = F.concat(V.report_header(F.size("drafts"), F.col("selected"), F.lit("MEDIUM"), F.lit("")), report_of(v["supported"], v["confidence"], none, none, v["relevant"], v["completeness"], F.lit("")))
+    verdict = picked.withColumn("verdict", called(provider, "verify", "string", F.col("text"), F.col("answer"), F.col("context"))).withColumn("verdict", V.structured(F.col("verdict")))
+    v = {x: F.col(f"verdict.{x}") for x in ("supported", "confidence", "claims", "contradictions", "relevant", "completeness", "details")}
+    told = V.feedback(v["supported"], v["confidence"], v["claims"], v["contradictions"], v["completeness"], v["details"])
+    report = F.concat(V.report_header(F.size("drafts"), F.col("selected"), F.lit("MEDIUM"), F.lit("")), report_of(*v.values()))
     return verdict.withColumn("feedback", told).withColumn("report", report).withColumn("retry", V.try_again(v["supported"], v["relevant"], F.col("feedback"))).select("question", "answer", "report", "retry")
 
 
@@ -139,6 +181,20 @@ def answer(questions: DataFrame, retrieve, provider=None, settings=DEFAULTS, sav
     return done
 
 
+def answer_parts(questions: DataFrame, retrieve, provider=None, settings=DEFAULTS, save=lambda df, name: df.checkpoint()) -> DataFrame:
+    """As ``answer``, of each part of a question by itself: (question, answer, report, attempts, parts).
+
+    A question of one part has its answer; the answers of several are numbered and joined, with the report of the first.
+    """
+    provider = provider or Offline()
+    parts = save(decompose(questions, provider).withColumn("part", F.concat_ws("#", F.col("question").cast("string"), F.col("idx").cast("string"))), "parts")
+    asked = parts.filter(F.trim("text") != "").select(F.col("part").alias("question"), "text")
+    done = answer(asked, retrieve, provider, settings, save).withColumnRenamed("question", "part").join(parts, "part")
+    several = combined(done.select(F.col("question").alias("key"), "idx", F.col("text").alias("question"), "answer"), "key").withColumnsRenamed({"key": "question", "answer": "all_answers"})
+    first = done.groupBy("question").agg(F.min_by("answer", "idx").alias("answer"), F.min_by("report", "idx").alias("report"), F.max("attempts").alias("attempts"), F.count("*").alias("parts"))
+    return first.join(several, "question").select("question", F.when(F.col("parts") > 1, F.col("all_answers")).otherwise(F.col("answer")).alias("answer"), "report", "attempts", "parts")
+
+
 def batches(rows: DataFrame, key: str, order: str, size: int) -> DataFrame:
     """Adds ``batch`` (from 1): runs of ``size`` rows of each key in order."""
     at = F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1

@@ -6,6 +6,9 @@ work grows with the table.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +19,7 @@ from corvine.functions import prompts as P
 from corvine.functions import tables as M
 from corvine.functions import text as X
 from corvine.functions import verdicts as V
-from corvine.operators import bm25, chart_flow, context, embed, fusion, manifest, splitter, vector, workflow
+from corvine.operators import bm25, chart_flow, context, embed, fusion, manifest, numbering, splitter, store, vector, workflow
 from corvine.sources import files
 from corvine.streaming import rate_limit as R
 
@@ -38,13 +41,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """A checkpoint in the folder that ``spark.checkpoint.dir`` names; where that is unset, in a new one."""
-    import tempfile
+def _shared(spark: SparkSession) -> str:
+    """The folder that the session has for checkpoints, which all executors share; on one machine, where it has none, a new one."""
+    context = spark.sparkContext
+    if not (found := spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()):
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(found := tempfile.mkdtemp(prefix="corvine-"))
+    return found
 
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        df.sparkSession.conf.set("spark.checkpoint.dir", made := tempfile.mkdtemp(prefix="corvine-"))
-        df.sparkSession.sparkContext.setCheckpointDir(made)
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """A checkpoint in the folder that the session has for them."""
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 
@@ -80,19 +89,19 @@ def dup_count(spark, sf):
 
 
 @query("""
-WITH d AS (SELECT doc_id AS i, sha256(coalesce(text, '')) AS h FROM documents),
-a AS (SELECT i // 1000 AS i, sha256(string_agg(h, '' ORDER BY d.i, h)) AS h FROM d GROUP BY 1),
-b AS (SELECT i // 1000 AS i, sha256(string_agg(h, '' ORDER BY a.i, h)) AS h FROM a GROUP BY 1)
-SELECT sha256(string_agg(h, '' ORDER BY i, h)) AS set_hash FROM b
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id, h) - 1 AS i, h FROM (SELECT doc_id, sha256(coalesce(text, '')) AS h FROM documents)),
+a AS (SELECT i // 1000 AS i, sha256(string_agg(h, '' ORDER BY d.i)) AS h FROM d GROUP BY 1),
+b AS (SELECT i // 1000 AS i, sha256(string_agg(h, '' ORDER BY a.i)) AS h FROM a GROUP BY 1)
+SELECT coalesce(min(h), sha256('')) AS set_hash FROM (SELECT * FROM b WHERE (SELECT count(*) FROM a) > 1 UNION ALL SELECT * FROM a WHERE (SELECT count(*) FROM a) = 1)
 """)
 def docset_hash(spark, sf):
     return I.set_hash(table(spark, sf, "documents").select("doc_id", I.sha256(F.coalesce("text", F.lit(""))).alias("h")), "doc_id", "h")
 
 
-@query("SELECT source, list_sort(list_distinct(list(substr(sha256(coalesce(text, '')), 1, 2)))) AS shards FROM documents GROUP BY source")
+@query("SELECT DISTINCT source, sha256(coalesce(text, '')) AS file_hash FROM documents")
 def file_hash_set(spark, sf):
-    docs = table(spark, sf, "documents").select("source", F.substring(I.sha256(F.coalesce("text", F.lit(""))), 1, 2).alias("h"))
-    return docs.groupBy("source").agg(F.array_sort(F.collect_set("h")).alias("shards"))
+    """The set of hashes of each source, as rows: a source may have any number."""
+    return table(spark, sf, "documents").select("source", I.sha256(F.coalesce("text", F.lit(""))).alias("file_hash")).distinct()
 
 
 _EXT = ("txt", "PDF", "docx", "md", "exe")
@@ -168,15 +177,21 @@ def batch_dedup(spark, sf):
     return rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"), (F.count("*") - 1).alias("repeats"))
 
 
-@query("SELECT doc_id, source, (row_number() OVER (PARTITION BY source, doc_id // 10000 ORDER BY doc_id) - 1) // 100 + 1 AS batch FROM documents")
+@query("SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 100 + 1 AS batch FROM documents")
 def chunk_batches(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source", F.struct("source", F.floor(F.col("doc_id") / 10000).alias("d")).alias("k"))
-    return workflow.batches(docs, "k", "doc_id", 100).drop("k")
+    docs = numbering.numbered(table(spark, sf, "documents").select("doc_id", "source"), "source", "doc_id")
+    return docs.select("doc_id", "source", (F.floor(F.col("at") / 100) + 1).cast("long").alias("batch"))
 
 
 # --- chunking and text
 
 
+@query("SELECT doc_id, sha256(coalesce(text, '') || 'lang' || coalesce(lang, '') || 'n_chars' || coalesce(CAST(n_chars AS VARCHAR), '') || 'source' || coalesce(source, '')) AS digest FROM documents")
+def document_digest(spark, sf):
+    meta = F.create_map(*[x for k in ("source", "n_chars", "lang") for x in (F.lit(k), F.col(k).cast("string"))])
+    return table(spark, sf, "documents").select("doc_id", I.document_digest(F.col("text"), meta).alias("digest"))
+
+
 @query()
 def chunk_documents(spark, sf):
     return splitter.chunks(table(spark, sf, "documents")).select("doc_id", "seq", F.length("content").alias("n_chars"), I.sha256(F.col("content")).alias("content_hash"))
@@ -229,10 +244,13 @@ top AS (SELECT question, doc, score, row_number() OVER (PARTITION BY question OR
 """
 
 
-@query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM t")
+_TERM_STATS = _BM25[: _BM25.index("qt AS")].rstrip().rstrip(",")
+
+
+@query(f"WITH {_TERM_STATS} SELECT term, df, round(idf, 6) AS idf FROM t")
 def bm25_stats(spark, sf):
     docs = table(spark, sf, "documents")
-    return bm25.term_stats(bm25.postings(docs), bm25.corpus_stats(bm25.lengths(docs))).select("term", "df", F.round("idf", 6).alias("idf"))
+    return bm25.term_stats(bm25.document_counts(docs), bm25.corpus_stats(bm25.lengths(docs))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _questions(spark, sf):
@@ -438,6 +456,20 @@ def verdict_parse(spark, sf):
     return _verdicts(spark, sf).select("l_orderkey", "l_linenumber", V.parsed(raw).alias("v")).select("l_orderkey", "l_linenumber", "v.*")
 
 
+@query(f"""WITH {_VERDICTS} SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 3 THEN 'NO' ELSE supported END AS supported,
+  CASE l_linenumber WHEN 1 THEN 'MEDIUM' WHEN 3 THEN 'LOW' ELSE confidence END AS confidence,
+  CASE WHEN l_linenumber IN (2, 3) THEN '' ELSE array_to_string(claims, ';') END AS claims, CASE WHEN l_linenumber = 3 THEN 'NO' ELSE relevant END AS relevant,
+  CASE WHEN l_linenumber IN (2, 3) THEN 'INCOMPLETE' ELSE completeness END AS completeness, CASE WHEN l_linenumber IN (2, 3) THEN '' ELSE details END AS details FROM f""")
+def verdict_structured(spark, sf):
+    """Verdicts as JSON objects; of a first line item without a confidence, of a second as lines, of a third with a label that is none."""
+    c = {x: F.col(x) for x in ("supported", "relevant", "completeness")}
+    n = F.col("l_linenumber")
+    whole = F.struct(F.when(n == 3, "MAYBE").otherwise(c["supported"]).alias("supported"), F.when(n != 1, F.col("confidence")).alias("confidence"), F.col("claims").alias("unsupported_claims"), "contradictions", c["relevant"].alias("relevant"), c["completeness"].alias("completeness"), F.col("details").alias("additional_details"))
+    lines = F.concat(F.lit("Supported: "), c["supported"], F.lit("\nConfidence: "), F.col("confidence"), F.lit("\nRelevant: "), c["relevant"])
+    rows = _verdicts(spark, sf).select("l_orderkey", "l_linenumber", F.when(n == 2, lines).otherwise(F.concat(F.lit("Verdict: "), F.to_json(whole))).alias("raw"))
+    return rows.select("l_orderkey", "l_linenumber", V.structured(F.col("raw")).alias("v")).select("l_orderkey", "l_linenumber", "v.supported", "v.confidence", F.array_join("v.claims", ";").alias("claims"), "v.relevant", "v.completeness", "v.details")
+
+
 @query("""
 SELECT doc_id, arg_max(label, rank) AS label FROM (
   SELECT doc_id, label, CASE label WHEN 'CAN_ANSWER' THEN 2 WHEN 'PARTIAL' THEN 1 ELSE 0 END AS rank FROM (SELECT doc_id, CASE WHEN quality = 1 THEN 'CAN_ANSWER' ELSE 'PARTIAL' END AS label FROM labels UNION ALL SELECT doc_id, CASE WHEN toxic = 1 THEN 'NO_MATCH' ELSE 'PARTIAL' END FROM labels)
@@ -653,16 +685,63 @@ def rate_limit_day(spark, sf):
     return R.limited(_calls(spark, sf), 86400, 2)
 
 
+def _chunk_rows(spark, sf):
+    """Documents as files, cut into the chunks that are indexed: doc_id is the chunk's id, and ``number`` a number for it."""
+    docs = _chunked(table(spark, sf, "documents").select("doc_id", "text", "source"))
+    pages = docs.select(F.col("stable_source").alias("source"), F.lit(1).alias("page"), F.lit("text").alias("type"), "file_hash", F.coalesce("text", F.lit("")).alias("content"))
+    return files.chunked(pages).dropDuplicates(["doc_id"]).withColumn("number", F.xxhash64("doc_id"))
+
+
+def _embedded(rows: DataFrame, key: str, text: str) -> DataFrame:
+    return embed.dense(embed.hashed(rows, key, text), key)
+
+
 @query()
 def answer_questions(spark, sf):
-    """The whole workflow with offline providers: every question of ``benchmark`` against all documents."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    """The whole workflow with offline providers: every question of ``benchmark``, part by part, against the chunks of all documents.
+
+    Chunks are retrieved by words and by vectors, and the two lists fused.
+    """
+    chunks = saved(_chunk_rows(spark, sf), "chunks")
+    vectors = saved(_embedded(chunks, "number", "content").withColumnRenamed("number", "id"), "vectors")
+    texts = chunks.select(F.col("number").alias("doc_id"), F.col("content").alias("text"))
 
     def retrieve(questions):
-        top = bm25.top_documents(questions, docs)
-        return top.join(docs.select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("content")), "doc").select("question", "rank", "content")
+        asked = questions.withColumn("query", F.xxhash64("question"))
+        queries = _embedded(asked, "query", "text")
+        by_vector = vector.diverse(vector.nearest(queries, vectors), queries, vectors)
+        by_words = bm25.top_documents(asked.select(F.col("query").alias("question"), "text"), texts)
+        one = by_words.select(F.col("question").alias("query"), F.lit(0).alias("retriever"), "rank", F.lit(DEFAULTS.BM25_WEIGHT).alias("weight"), F.col("doc").alias("id"))
+        fused = fusion.fuse(one.unionByName(by_vector.select("query", F.lit(1).alias("retriever"), "rank", F.lit(DEFAULTS.VECTOR_WEIGHT).alias("weight"), "id")))
+        found = fused.join(texts.withColumnRenamed("doc_id", "id"), "id").select("query", "rank", F.col("text").alias("content"))
+        return found.join(asked.select("query", "question"), "query").select("question", "rank", "content")
 
-    return workflow.answer(_questions(spark, sf), retrieve, save=saved)
+    return workflow.answer_parts(_questions(spark, sf), retrieve, save=saved)
+
+
+@query("""
+SELECT question, CAST(i - 1 AS INTEGER) AS idx, parts[CAST(i AS BIGINT)] AS text FROM (
+  SELECT question, parts, unnest(range(1, len(parts) + 1)) AS i FROM (
+    SELECT question, CASE WHEN length(text) - length(replace(text, '?', '')) > 1 THEN list_transform(list_filter(list_transform(string_split(text, '?'), lambda x: trim(regexp_replace(x, '^\\s+|\\s+$', '', 'g'))), lambda x: x <> ''), lambda x: x || '?') ELSE [text] END AS parts
+    FROM (SELECT conv_id * 1000 + turn AS question, coalesce(text, '') || CASE WHEN turn % 3 = 0 THEN '? And why? ' ELSE '' END AS text FROM conversations WHERE role = 'user')))
+""")
+def question_parts(spark, sf):
+    """What the users of ``conversations`` say, every third time as two questions, in parts."""
+    said = table(spark, sf, "conversations").filter("role = 'user'")
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("turn") % 3 == 0, "? And why? ").otherwise(""))
+    return workflow.decompose(said.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question"), text.alias("text")), workflow.Offline())
+
+
+@query("""
+SELECT doc_id, count(DISTINCT CAST(('0x' || substr(md5(lower(word)), 1, 4)) AS INTEGER) % 64) AS n_places FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS word FROM documents) GROUP BY doc_id
+""")
+def vector_store(spark, sf):
+    """A store that is opened, added to twice and read: the second time all documents come, and those that it has are left out."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    rows, path = saved(_embedded(docs, "doc_id", "text"), "vectors"), f"{_shared(spark)}/store-{uuid.uuid4().hex}"
+    store.append(rows.filter("doc_id % 3 = 0"), path)
+    store.append(rows, path)
+    return store.opened(spark, path, rows.schema).select("doc_id", F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("n_places"))
 
 
 @query(f"""
@@ -690,3 +769,15 @@ SELECT conv_id, turn, 'Can the context answer the question? Answer CAN_ANSWER, P
 """)
 def prompt_render(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", P.prompt("relevance", question=F.col("text"), context=F.when(F.col("turn") % 2 == 1, F.col("role"))).alias("prompt"))
+
+
+_KINDS = tuple(P.ASKS)
+
+
+@query(f"""
+SELECT conv_id, turn, [{', '.join("'" + x.replace("'", "''") + "'" for x in P.ASKS.values())}][CAST(turn % {len(_KINDS)} + 1 AS BIGINT)] || CASE WHEN coalesce(text, '') = '' THEN '' ELSE chr(10) || chr(10) || 'Question:' || chr(10) || text END AS prompt FROM conversations
+""")
+def prompt_kinds(spark, sf):
+    """Every kind of prompt in turn."""
+    kinds = F.coalesce(*[F.when(F.col("turn") % len(_KINDS) == i, P.prompt(kind, question=F.col("text"))) for i, kind in enumerate(_KINDS)])
+    return table(spark, sf, "conversations").select("conv_id", "turn", kinds.alias("prompt"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvine.config import DEFAULTS
 from corvine.functions import identity as I
-
-PAGE_DOC = "source string, page int, type string, chunk_id string, content string"
+from corvine.operators.splitter import chunks
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -62,14 +62,26 @@ def documents(rows: DataFrame) -> DataFrame:
     return plain.unionByName(docx).filter("content <> ''").select(I.stable_source(F.col("path"), F.col("file_hash")).alias("source"), F.lit(1).alias("page"), F.lit("text").alias("type"), "file_hash", "content")
 
 
+def chunked(docs: DataFrame, size: int = DEFAULTS.CHUNK_SIZE, overlap: int = DEFAULTS.CHUNK_OVERLAP) -> DataFrame:
+    """(source, page, type, file_hash, content) -> chunks (doc_id, source, page, type, chunk_id, content), the unit that is indexed."""
+    rows = docs.filter(F.trim("content") != "").select(F.struct("source", "page", "type", "file_hash").alias("doc"), "content")
+    found = chunks(rows, "doc", "content", size, overlap)
+    found = found.select("doc.*", I.chunk_id(F.col("doc.file_hash"), F.col("doc.page"), F.col("seq")).alias("chunk_id"), "content")
+    return found.select(I.doc_key(F.col("source"), F.col("page"), F.col("chunk_id"), F.col("content")).alias("doc_id"), "source", "page", "type", "chunk_id", "content")
+
+
 def write_cache(chunks: DataFrame, path: str) -> None:
     """Chunks by file hash; a file that comes again replaces its own part only."""
     chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_hash").parquet(path)
 
 
 def read_cache(spark: SparkSession, path: str, now: Column, days: int = DEFAULTS.CACHE_EXPIRE_DAYS) -> DataFrame:
-    """What is not expired; corrupt files are left out, as a miss."""
-    return spark.read.option("ignoreCorruptFiles", "true").parquet(path).filter(~expired(F.col("cached_at"), now, days))
+    """What is not expired; corrupt files are left out, as a miss, and a cache that isn't there yet is an empty one."""
+    try:
+        cached = spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+    except AnalysisException:  # no path, or no file with a schema
+        return spark.createDataFrame([], "content string, cached_at timestamp, file_hash string")
+    return cached.filter(~expired(F.col("cached_at"), now, days))
 
 
 def parse_pdf(*_):

@@ -50,16 +50,29 @@ def limited(calls: DataFrame, window: int = DEFAULTS.RATE_WINDOW_S, most: int =
     return rows.repartition("key").sortWithinPartitions("key", "at", "id").mapInArrow(run, f"id {kind}, admitted boolean")
 
 
-def limited_stream(calls: DataFrame, window: int = DEFAULTS.RATE_WINDOW_S, most: int = DEFAULTS.RATE_MAX_CALLS) -> DataFrame:
-    """The same over a stream of (key long, at timestamp, id long). State expires with the window."""
+def limited_stream(calls: DataFrame, window: int = DEFAULTS.RATE_WINDOW_S, most: int = DEFAULTS.RATE_MAX_CALLS, late: str = "1 hour") -> DataFrame:
+    """The same over a stream of (key long, at timestamp, id long).
+
+    The state of a key goes when the watermark passes the last call that it holds by more than the window; calls that are
+    later than ``late`` may be left out, as with every watermark. A key's calls of one micro-batch are sorted together (two
+    numbers a call), so the trigger's limits bound them.
+    """
+    import numpy as np
     import pandas as pd
 
     def step(key, frames, state):
-        rows = pd.concat(list(frames)).sort_values(["at", "id"])
+        if state.hasTimedOut:
+            state.remove()
+            return
+        found = [(f["micros"].to_numpy(), f["id"].to_numpy()) for f in frames]
+        times, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((ids, times))
         log = Log(window, most, state.get[0] if state.exists else ())
-        out = pd.DataFrame({"id": rows["id"], "admitted": [log.admit(t) for t in rows["at"]]})
+        admitted = [log.admit(t) for t in times[order].tolist()]
         state.update((list(log.times),))
-        yield out
+        over = (log.times[-1] + log.window) // 1000 + 1
+        state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"id": ids[order], "admitted": admitted})
 
-    rows = calls.select("key", F.unix_micros("at").alias("at"), "id")
-    return rows.groupBy("key").applyInPandasWithState(step, "id long, admitted boolean", "times array<long>", "append", "NoTimeout")
+    rows = calls.withWatermark("at", late).select("key", "at", F.unix_micros("at").alias("micros"), "id")
+    return rows.groupBy("key").applyInPandasWithState(step, "id long, admitted boolean", "times array<long>", "append", "EventTimeTimeout")

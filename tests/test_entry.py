@@ -27,7 +27,7 @@ def test_entry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", "doc_identity content_dedup incremental_changed bm25_topk rrf_fusion mmr_rerank chart_rules verdict_parse rate_limit_day table_markdown highlight_context".split())
+@pytest.mark.parametrize("name", "doc_identity content_dedup incremental_changed bm25_topk rrf_fusion mmr_rerank chart_rules verdict_parse rate_limit_day table_markdown highlight_context file_hash_set chunk_batches docset_hash document_digest verdict_structured question_parts vector_store prompt_kinds chart_flow_titles".split())
 def test_query_equals_sql(spark, name):
     import duckdb
 

@@ -281,7 +281,7 @@ def test_settings(monkeypatch):
     monkeypatch.setenv("CHUNK_OVERLAP", "900")
     with pytest.raises(ValueError):
         Settings.load()
-    assert usable_key("abc") and not usable_key(" ") and not usable_key("your-key")
+    assert usable_key("abc") and usable_key("your-key") and not usable_key(" ") and not usable_key("your_key") and not usable_key("YOUR_API_KEY_HERE")
 
 
 def test_workflow(spark):
@@ -303,3 +303,148 @@ def test_workflow(spark):
     assert sorted((r.question, r.idx, r.text) for r in parts) == [(1, 0, "one?"), (1, 1, "two?"), (2, 0, "just one")]
 
 
+
+
+def test_numbered(spark):
+    from corvine.operators.numbering import numbered
+
+    r = random.Random(5)
+    rows = [(r.choice(["a", "b", None]), r.choice([r.randint(0, 50), r.randint(0, 1 << 62), None]), i) for i in range(300)]
+    table = spark.createDataFrame(rows, "k string, o long, i long")
+    for parts in (1, 7, 65_536):
+        got = {x.i: x.at for x in numbered(table, "k", "o", ("i",), parts=parts).collect()}
+        for k in ("a", "b", None):
+            mine = sorted((x for x in rows if x[0] == k), key=lambda x: (x[1] is not None, x[1] or 0, x[2]))
+            assert [got[x[2]] for x in mine] == list(range(len(mine)))
+    whole = sorted(rows, key=lambda x: (x[1] is not None, x[1] or 0, x[2]))
+    assert [x.i for x in sorted(numbered(table, None, "o", ("i",)).collect(), key=lambda x: x.at)] == [x[2] for x in whole]
+    assert numbered(table.limit(0), "k", "o").count() == 0
+
+
+def test_set_hash_is_a_tree(spark):
+    rows = [(i * 977, sha(str(i))) for i in range(25)]
+    level = [h for _, h in rows]
+    while len(level) > 1:
+        level = [sha("".join(level[i : i + 4])) for i in range(0, len(level), 4)]
+    assert identity.set_hash(spark.createDataFrame(rows, "i long, h string"), "i", "h", fan=4).first()[0] == level[0]
+
+
+def brute_split(text, size, overlap):
+    """Recursive splitting as its rule says, on lists of pieces and with no running sums."""
+
+    def merge(pieces):
+        window = []
+        for p in pieces:
+            if window and sum(map(len, window)) + len(p) > size:
+                yield "".join(window).strip()
+                while window and (sum(map(len, window)) > overlap or sum(map(len, window)) + len(p) > size):
+                    window = window[1:]
+            window = [*window, p]
+        yield "".join(window).strip()
+
+    def cut(t, seps):
+        while seps[0] and seps[0] not in t:
+            seps = seps[1:]
+        sep, rest = seps[0], seps[1:]
+        parts = list(t) if not sep else [x for x in [t.split(sep)[0], *(sep + x for x in t.split(sep)[1:])] if x]
+        short = []
+        for p in parts:
+            if len(p) < size:
+                short.append(p)
+            else:
+                yield from merge(short)
+                short = []
+                yield from cut(p, rest) if rest else [p]
+        yield from merge(short)
+
+    return [c for c in cut(text, ("\n\n", "\n", " ", "")) if c]
+
+
+def test_chunk_queries_against_brute_force(spark, tmp_path):
+    from corvine.plans.queries import QUERIES
+
+    r = random.Random(6)
+    texts = [None, "", "  \n ", "x" * 4500, "\n\n".join("word " * r.randint(1, 700) for _ in range(4))] + ["".join(r.choice(["some words here ", "\n", "\n\n", "é" * 50, "longer" * 40]) for _ in range(r.randint(1, 200))) for _ in range(12)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {(i, j): c for i, t in enumerate(texts) for j, c in enumerate(brute_split(t, 2000, 100) if t else [])}
+    got = {(x.doc_id, x.seq): (x.n_chars, x.content_hash) for x in QUERIES["chunk_documents"](spark, str(tmp_path)).collect()}
+    assert got == {k: (len(c), sha(c)) for k, c in want.items()}
+    stats = QUERIES["chunk_stats"](spark, str(tmp_path)).first()
+    assert (stats.n_chunks, stats.longest, stats.n_chars, stats.n_docs) == (len(want), max(map(len, want.values())), sum(map(len, want.values())), len({i for i, _ in want}))
+
+
+def test_manifest_replaced_at_once(spark, tmp_path):
+    path = str(tmp_path / "manifest")
+    assert manifest.current(spark, path) is None
+    for n in (3, 5):
+        manifest.replace(spark.range(n).withColumnRenamed("id", "doc_id"), path)
+        assert manifest.current(spark, path).count() == n
+    (tmp_path / "manifest" / "_CURRENT").write_text("version-lost")
+    assert manifest.current(spark, path) is None
+
+
+def test_store(spark, tmp_path):
+    from corvine.operators import store
+
+    path, schema = str(tmp_path / "store"), "doc_id long, content string, embedding array<float>"
+    assert store.opened(spark, path, schema).count() == 0
+
+    class Sizes:
+        def embed_all(self, texts):
+            assert len(texts) <= store.BATCH
+            return [[float(len(t)), 1.0] for t in texts]
+
+    rows = spark.createDataFrame([(i, "x" * i) for i in range(250)] + [(3, "again")], "doc_id long, content string").repartition(2)
+    vectors = store.embedded(rows.dropDuplicates(["doc_id"]), Sizes()).select("doc_id", "content", "embedding")
+    store.append(vectors.filter("doc_id < 100"), path)
+    store.append(vectors, path)
+    store.append(vectors, path)
+    got = store.opened(spark, path, schema)
+    assert got.count() == 250 and {x.embedding[0] for x in got.filter("doc_id > 240").collect()} == {float(i) for i in range(241, 250)}
+    assert store.without(got, spark.range(10).withColumnRenamed("id", "doc_id")).count() == 240
+
+
+def test_chunks_have_metadata(spark):
+    docs = spark.createDataFrame([("f.txt::h", 1, "text", "h", "word " * 900), ("g.md::i", 1, "text", "i", "short"), ("e.md::j", 1, "text", "j", " ")], "source string, page int, type string, file_hash string, content string")
+    got = files.chunked(docs).orderBy("chunk_id").collect()
+    assert [x.chunk_id for x in got] == ["txt_h_1_0", "txt_h_1_1", "txt_h_1_2", "txt_i_1_0"]
+    assert got[3].doc_id == sha(f"g.md::i::1::txt_i_1_0::{sha('short')[:16]}") and {x.type for x in got} == {"text"}
+
+
+def test_cache_that_is_not_there(spark, tmp_path):
+    assert files.read_cache(spark, str(tmp_path / "none"), F.current_timestamp()).count() == 0
+
+
+def test_metadata(spark):
+    row = spark.createDataFrame([({"b": "2", "a": "1", "c": None}, "text")], "m map<string,string>, t string")
+    assert value(row, identity.document_digest(F.col("t"), F.col("m"))) == sha("texta1b2c")
+    assert value(row, identity.meta(F.col("m"), "b")) == "2" and value(row, identity.meta(F.col("m"), "c")) == "" and value(row, identity.meta(F.col("m"), "z", "?")) == "?"
+
+
+def test_prompted_provider():
+    seen = []
+
+    def complete(prompt):
+        seen.append(prompt)
+        if "several" in prompt:
+            return 'Well: {"is_multi_query": true, "sub_queries": ["one", "two"]}'
+        if "search finds" in prompt:
+            raise OSError
+        return "I think 1, so CAN_ANSWER"
+
+    p = workflow.Prompted(complete)
+    assert p.decompose("q") == ["one", "two"] and p.relevance("q", "c") == "CAN_ANSWER" and p.rewrite("q") == "q"
+    assert p.select("q", ["a", "b"]) == 1 and p.select("q", []) == -1 and p.select("q", ["a"]) == 0
+    assert seen[1].endswith("Question:\nq\n\nContext:\nc")
+
+
+def test_questions_in_parts(spark):
+    asked = spark.createDataFrame([(1, "Where is the fox? Who is lazy?"), (2, "Where is the fox?"), (3, " ")], "question long, text string")
+    corpus = spark.createDataFrame([("1", "the fox is where the river is. who is lazy is the dog.")], "k string, content string")
+
+    def retrieve(questions):
+        return questions.crossJoin(corpus).select("question", F.lit(1).alias("rank"), "content")
+
+    got = {x.question: x for x in workflow.answer_parts(asked, retrieve, save=lambda df, name: df).collect()}
+    assert set(got) == {1, 2} and got[1].parts == 2 and got[2].parts == 1
+    assert got[1].answer.startswith("Q1: Where is the fox?\nA: ") and "\n\nQ2: Who is lazy?\nA: " in got[1].answer
