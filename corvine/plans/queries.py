@@ -20,7 +20,7 @@ from corvine.functions import tables as M
 from corvine.functions import text as X
 from corvine.functions import verdicts as V
 from corvine.operators import bm25, chart_flow, context, embed, fusion, manifest, numbering, splitter, store, vector, workflow
-from corvine.sources import files
+from corvine.sources import files, pages
 from corvine.streaming import rate_limit as R
 
 QUERIES: dict = {}
@@ -657,6 +657,24 @@ def document_union(spark, sf):
     return texts.unionByName(charts, allowMissingColumns=True).select("type", "id", F.coalesce("kind", F.lit("none")).alias("kind"), F.coalesce("page", F.lit(1)).alias("page"))
 
 
+@query("""
+WITH p AS (SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS page FROM orders),
+c AS (SELECT *, sum(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM p)
+SELECT o_custkey || '.pdf::h' AS source, CAST(page AS INTEGER) AS page, CAST(n AS BIGINT) AS tables_count, 'txt_h_' || page || '_0' AS chunk_id,
+  '## Page ' || page || CASE WHEN o_orderkey % 2 = 0 THEN chr(10) || chr(10) || '### Table ' || n || ' (Page ' || page || ')' || chr(10) || '| a | ' || o_orderkey || ' |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || o_orderstatus || ' |  |' ELSE '' END
+  || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE chr(10) || chr(10) || 'order ' || o_orderkey END AS content
+FROM c WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 <> 0
+""")
+def page_documents(spark, sf):
+    """A customer as a file and each order as a page of it, as a reader gives them: tables found twice, tables of one row, empty texts."""
+    k = F.col("o_orderkey").cast("string")
+    one = F.array(F.array(F.lit("a"), k), F.array(F.col("o_orderstatus")))
+    found = F.when(F.col("o_orderkey") % 2 == 0, F.array(one, F.array(F.array(F.lit("x"))), one))
+    rows = table(spark, sf, "orders").withColumn("page", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")))
+    read = rows.select(F.concat(F.lit("in/"), F.col("o_custkey").cast("string"), F.lit(".pdf")).alias("path"), F.lit("h").alias("file_hash"), "page", F.when(F.col("o_orderkey") % 3 != 0, F.concat(F.lit(" order "), k, F.lit("\n"))).alias("text"), found.alias("tables"))
+    return pages.documents(read).select("source", "page", "tables_count", "chunk_id", "content")
+
+
 # --- streams and workflow
 
 _LIMIT = """

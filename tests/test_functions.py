@@ -448,3 +448,39 @@ def test_questions_in_parts(spark):
     got = {x.question: x for x in workflow.answer_parts(asked, retrieve, save=lambda df, name: df).collect()}
     assert set(got) == {1, 2} and got[1].parts == 2 and got[2].parts == 1
     assert got[1].answer.startswith("Q1: Where is the fox?\nA: ") and "\n\nQ2: Who is lazy?\nA: " in got[1].answer
+
+
+def reader():
+    class Reader:
+        def pages(self, content):
+            if content == b"broken":
+                raise ValueError
+            grid = [["h", "k"], ["1", None]]
+            return [("first", [grid, grid, [["one"]]]), (None, []), (" ", [[["", ""], [None, ""]]]), ("last ", [[["a"], ["b"]]])]
+
+        def render(self, content, first, last):
+            return [f"{content.decode()}{i}".encode() for i in range(first, last + 1)]
+
+        def features(self, image):
+            import json
+
+            from corvine.functions.charts import FEATURES
+
+            return json.dumps({x: x in ("bar_pattern",) and image.endswith(b"3") if x in ("bar_pattern", "text_region") else 9 if x == "rects" else 0 for x in FEATURES})
+
+    return Reader()  # of a class that is sent along
+
+
+def test_pages_of_providers(spark):
+    from corvine.sources import pages
+
+    rows = spark.createDataFrame([("in/f.pdf", bytearray(b"ok")), ("in/g.pdf", bytearray(b"broken"))], "path string, content binary")
+    got = pages.documents(pages.read_pages(rows, reader())).orderBy("page").collect()
+    h = hashlib.sha256(b"ok").hexdigest()
+    assert [(x.source, x.page, x.tables_count, x.chunk_id) for x in got] == [(f"f.pdf::{h}", 1, 1, f"txt_{h}_1_0"), (f"f.pdf::{h}", 4, 3, f"txt_{h}_4_0")]
+    assert got[0].content == "## Page 1\n\n### Table 1 (Page 1)\n| h | k |\n| --- | --- |\n| 1 |  |\n\nfirst" and got[1].content.startswith("## Page 4\n\n### Table 3 (Page 4)")
+    parts = pages.ranges(rows.filter("path = 'in/f.pdf'").withColumn("n_pages", F.lit(45)))
+    assert [(x.first, x.last) for x in parts.orderBy("first").collect()] == [(1, 20), (21, 40), (41, 45)]
+    seen = pages.charts(pages.images(parts, reader()), reader()).orderBy("page").collect()
+    assert [x.page for x in seen] == list(range(1, 46)) and bytes(seen[20].image) == b"ok21"
+    assert [x.page for x in seen if x.has_chart] == [3, 13, 23, 33, 43] and seen[2].chart_types == ["bar_chart"]
