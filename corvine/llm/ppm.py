@@ -9,8 +9,8 @@ a sum over its bytes; the language with the shortest code wins.
 The trees are fitted on a sample of labelled texts of about ``SAMPLE_BYTES`` bytes a language (different texts in the order
 of a hash, the last one cut, so that each language is learned and the bound holds whatever the lengths and copies; of a
 smaller corpus each text is used once). Spark counts contexts
-over the sample; contexts seen fewer than ``MIN_COUNT`` times are pruned, and at most ``MAX_NODES`` of the most frequent
-are kept. The trees share their nodes: a table leads from a node to the one with one more byte of context, and a table
+over the sample; contexts seen fewer than ``MIN_COUNT`` times are pruned, and of the most frequent ``NODES`` a language are
+kept, or as many fewer as keep the tables, which are broadcast, within ``MODEL_BYTES`` for any number of languages. The trees share their nodes: a table leads from a node to the one with one more byte of context, and a table
 for each language has the code length of each byte at each node, so that scoring is a few vectorised look-ups a byte.
 Texts are scored whole, in segments of ``SEGMENT`` bytes that overlap by the longest context.
 
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from corvine.llm.common import packed, read, unpacked
 
-ORDER, MIN_COUNT, MAX_NODES, SAMPLE_BYTES, SEGMENT = 4, 24, 12_000, 800_000, 1 << 19
+ORDER, MIN_COUNT, NODES, MODEL_BYTES, SAMPLE_BYTES, SEGMENT = 4, 24, 3_000, 1 << 27, 800_000, 1 << 19
 #: What stands before a text.
 BEFORE = b"\n" * ORDER
 UNDETERMINED = "und"
@@ -96,12 +96,14 @@ def count_contexts(texts: DataFrame) -> DataFrame:
 class Model:
     """The trees of all languages as look-up tables."""
 
-    def __init__(self, langs: list[str], k: np.ndarray, key: np.ndarray, lang: np.ndarray, n: np.ndarray, max_nodes: int = MAX_NODES):
+    def __init__(self, langs: list[str], k: np.ndarray, key: np.ndarray, lang: np.ndarray, n: np.ndarray, max_nodes: int | None = None):
         self.langs = langs
         seen = np.unique(np.append(key[k == 0], list(BEFORE)))
         self.symbol = np.full(256, len(seen), dtype=np.int32)  # bytes that were never seen share one symbol
         self.symbol[seen] = np.arange(len(seen))
         width = len(seen) + 1
+        if max_nodes is None:
+            max_nodes = min(NODES * len(langs), MODEL_BYTES // (4 * width * (len(langs) + 2)))
         context = key >> 8
         (tags, inverse) = np.unique(np.stack([k, context], axis=1), axis=0, return_inverse=True)
         inverse = inverse.reshape(-1)
@@ -167,7 +169,7 @@ class Model:
             np.add.at(out[:, j], which, total[ends] - total[begins])
 
 
-def fit(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES, min_count: int = MIN_COUNT, max_nodes: int = MAX_NODES) -> Model | None:
+def fit(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES, min_count: int = MIN_COUNT, max_nodes: int | None = None) -> Model | None:
     """The trees of (text, lang), bounded by the sample; None if there is no labelled text."""
     known = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text")
     counts = count_contexts(sample(known, sample_bytes))
