@@ -368,3 +368,28 @@ def with_text(joined: DataFrame) -> DataFrame:
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard_join(docs).select("doc_id", "component_id", "n_links", "kept")
+
+
+#: All pairs that share a shingle, and their exact similarity.
+ORACLE = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+), s AS (
+  SELECT r, md5(array_to_string(w[i:i + 4], ' ')) AS shingle FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0) GROUP BY ALL
+), n AS (
+  SELECT r, count(*) AS n FROM s GROUP BY r
+), link AS (
+  SELECT p.a, p.b FROM (SELECT x.r AS a, y.r AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.r <> y.r GROUP BY ALL) p JOIN n na ON na.r = p.a JOIN n nb ON nb.r = p.b
+  WHERE c >= 0.8::DOUBLE * (na.n + nb.n - c) - 1e-6::DOUBLE
+), degree AS (
+  SELECT a AS r, count(*) AS n_links FROM link GROUP BY a
+), reach AS (
+  SELECT r, r AS to_r FROM d
+  UNION
+  SELECT reach.r, link.b FROM reach JOIN link ON reach.to_r = link.a
+), least AS (
+  SELECT reach.r, min(d.doc_id) AS component_id FROM reach JOIN d ON reach.to_r = d.r GROUP BY reach.r
+)
+SELECT d.doc_id, least.component_id, CAST(coalesce(degree.n_links, 0) AS BIGINT) AS n_links, d.doc_id = least.component_id AS kept
+FROM d JOIN least USING (r) LEFT JOIN degree USING (r)
+"""

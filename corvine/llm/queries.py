@@ -21,5 +21,7 @@ ORACLES = {
     "op1_mix": mix.ORACLE,
     "op2_licenses": licenses.ORACLE,
     "op3_embeddings": embeddings.ORACLE,
+    "op6_jaccard": jaccard.ORACLE,
+    "op9_repeats": repeats.ORACLE,
     "op10_quality": quality.ORACLE,
 }

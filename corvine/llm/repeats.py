@@ -344,3 +344,30 @@ def repeats(docs: DataFrame, length: int = LENGTH, many: int = MANY, characters:
 def op9_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+#: Windows of all texts by hash; each text is cut to segments first, as a substring far into a long text is slow there.
+ORACLE = """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), seg AS (
+  SELECT r, n, k, substr(h, 2000 * k + 1, 2398) AS s FROM (SELECT r, n, h, unnest(range(0, n // 1000 + 1)) AS k FROM d)
+), win AS (
+  SELECT r, 1000 * k + i AS at_byte, md5(substr(s, 2 * i + 1, 400)) AS w FROM (SELECT r, n, k, s, unnest(range(0, 1000)) AS i FROM seg) WHERE 1000 * k + i <= n - 200
+), twice AS (
+  SELECT r, at_byte FROM win JOIN (SELECT w FROM win GROUP BY w HAVING count(*) > 1) USING (w)
+), runs AS (
+  SELECT r, at_byte, sum(fresh) OVER (PARTITION BY r ORDER BY at_byte) AS run
+  FROM (SELECT r, at_byte, CASE WHEN at_byte <= lag(at_byte) OVER (PARTITION BY r ORDER BY at_byte) + 200 THEN 0 ELSE 1 END AS fresh FROM twice)
+), spans AS (
+  SELECT r, min(at_byte) AS a, max(at_byte) + 200 AS b FROM runs GROUP BY r, run
+), cut AS (
+  SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM spans
+), kept AS (
+  SELECT d.r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans,
+         string_agg(substr(h, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) || substr(any_value(h), CAST(2 * max(b) + 1 AS BIGINT)) AS left_over
+  FROM d JOIN cut USING (r) GROUP BY d.r
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(left_over, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
