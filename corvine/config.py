@@ -6,6 +6,15 @@ import os
 from dataclasses import dataclass, fields
 
 
+def from_file(path: str) -> dict[str, str]:
+    """NAME=value a line; blank lines and comments count for nothing, quotes around a value go."""
+    if not os.path.isfile(path):
+        return {}
+    with open(path, encoding="utf-8") as f:
+        pairs = [line.strip().removeprefix("export ").split("=", 1) for line in f if "=" in line and not line.lstrip().startswith("#")]
+    return {k.strip(): v.strip().strip("\"'") for k, v in pairs}
+
+
 # Names and defaults are fixed values.
 @dataclass(frozen=True)
 class Settings:
@@ -36,11 +45,11 @@ class Settings:
     RATE_MAX_CALLS: int = 5
 
     @classmethod
-    def load(cls) -> Settings:
-        """Defaults, overridden by the environment; a value of the wrong type raises."""
-        found = {}
+    def load(cls, file: str = ".env") -> Settings:
+        """Defaults, overridden by a file of settings where there is one, and by the environment; a value of the wrong type raises."""
+        found, given = {}, from_file(file) | os.environ
         for f in fields(cls):
-            if (value := os.environ.get(f.name)) is not None:
+            if (value := given.get(f.name)) is not None:
                 kind = type(f.default)
                 found[f.name] = tuple(value.split(",")) if kind is tuple else kind(value)
         out = cls(**found)

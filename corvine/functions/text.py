@@ -17,6 +17,11 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 
 
+def said(x: Column) -> Column:
+    """Whether a text says anything: neither null nor white space alone."""
+    return F.coalesce(F.regexp_like(x, F.lit(r"\S")), F.lit(False))
+
+
 def words(x: Column) -> Column:
     """The pieces between ASCII white space, empty ones dropped."""
     return F.array_remove(F.split(x, r"[\x20\x09-\x0D]+"), "")

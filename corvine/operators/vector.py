@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corvine.config import DEFAULTS
 
-QUERY_BLOCK, VECTOR_BLOCK = 256, 8192
+QUERY_BLOCK, VECTOR_BLOCK = 1024, 8192
 
 
 def _groups(batches, n_keys: int):
@@ -62,9 +62,15 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = DEFAULTS.VECTOR_FET
             if n in (0, len(ids)):
                 continue
             similar = np.round(points[:n] @ points[n:].T, 9)
-            own = ids[n:]
-            order = np.lexsort((np.broadcast_to(own, similar.shape), -similar), axis=1)[:, :k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[:n], order.shape[1])), pa.array(own[order].reshape(-1)), pa.array(np.take_along_axis(similar, order, axis=1).reshape(-1))], names=["query", "id", "similarity"])
+            # what is at least as similar as the k-th, and of that the first k: only ties at the end are more than k
+            least = np.partition(similar, -k, axis=1)[:, -k] if similar.shape[1] > k else np.full(n, -np.inf)
+            query, place = np.nonzero(similar >= least[:, None])
+            found, own = similar[query, place], ids[n:][place]
+            order = np.lexsort((own, -found, query))
+            query = query[order]
+            among = np.arange(len(query)) - np.searchsorted(query, query) < k
+            query, first = query[among], order[among]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[:n][query]), pa.array(own[first]), pa.array(found[first])], names=["query", "id", "similarity"])
 
     found = units.mapInArrow(run, "query long, id long, similarity double")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), "id"))).filter(F.col("rank") <= k)

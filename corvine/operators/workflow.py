@@ -188,7 +188,7 @@ def answer_parts(questions: DataFrame, retrieve, provider=None, settings=DEFAULT
     """
     provider = provider or Offline()
     parts = save(decompose(questions, provider).withColumn("part", F.concat_ws("#", F.col("question").cast("string"), F.col("idx").cast("string"))), "parts")
-    asked = parts.filter(F.trim("text") != "").select(F.col("part").alias("question"), "text")
+    asked = parts.filter(X.said(F.col("text"))).select(F.col("part").alias("question"), "text")
     done = answer(asked, retrieve, provider, settings, save).withColumnRenamed("question", "part").join(parts, "part")
     several = combined(done.select(F.col("question").alias("key"), "idx", F.col("text").alias("question"), "answer"), "key").withColumnsRenamed({"key": "question", "answer": "all_answers"})
     first = done.groupBy("question").agg(F.min_by("answer", "idx").alias("answer"), F.min_by("report", "idx").alias("report"), F.max("attempts").alias("attempts"), F.count("*").alias("parts"))

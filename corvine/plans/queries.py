@@ -737,6 +737,13 @@ def answer_questions(spark, sf):
     return workflow.answer_parts(_questions(spark, sf), retrieve, save=saved)
 
 
+@query("SELECT conv_id, turn FROM conversations WHERE regexp_matches(coalesce(text, ''), '[^\\s]') AND turn % 7 <> 1")
+def non_empty(spark, sf):
+    """The guard for empty inputs; every seventh turn is blanked first."""
+    said = table(spark, sf, "conversations").withColumn("text", F.when(F.col("turn") % 7 == 1, " \n").otherwise(F.col("text")))
+    return said.filter(X.said(F.col("text"))).select("conv_id", "turn")
+
+
 @query("""
 SELECT question, CAST(i - 1 AS INTEGER) AS idx, parts[CAST(i AS BIGINT)] AS text FROM (
   SELECT question, parts, unnest(range(1, len(parts) + 1)) AS i FROM (

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corvine.config import DEFAULTS
 from corvine.functions import identity as I
+from corvine.functions.text import said
 from corvine.operators.splitter import chunks
 
 
@@ -16,6 +17,12 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of a few paths that are there, in any store that Spark reads."""
+    conf, path_of = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return [p for p in paths if path_of(p).getFileSystem(conf).exists(path_of(p))]
+
+
 def size_ok(length: Column, most: int = DEFAULTS.MAX_FILE_SIZE) -> Column:
     return F.coalesce(length <= most, F.lit(False))
 
@@ -64,7 +71,7 @@ def documents(rows: DataFrame) -> DataFrame:
 
 def chunked(docs: DataFrame, size: int = DEFAULTS.CHUNK_SIZE, overlap: int = DEFAULTS.CHUNK_OVERLAP) -> DataFrame:
     """(source, page, type, file_hash, content) -> chunks (doc_id, source, page, type, chunk_id, content), the unit that is indexed."""
-    rows = docs.filter(F.trim("content") != "").select(F.struct("source", "page", "type", "file_hash").alias("doc"), "content")
+    rows = docs.filter(said(F.col("content"))).select(F.struct("source", "page", "type", "file_hash").alias("doc"), "content")
     found = chunks(rows, "doc", "content", size, overlap)
     found = found.select("doc.*", I.chunk_id(F.col("doc.file_hash"), F.col("doc.page"), F.col("seq")).alias("chunk_id"), "content")
     return found.select(I.doc_key(F.col("source"), F.col("page"), F.col("chunk_id"), F.col("content")).alias("doc_id"), "source", "page", "type", "chunk_id", "content")
@@ -84,5 +91,20 @@ def read_cache(spark: SparkSession, path: str, now: Column, days: int = DEFAULTS
     return cached.filter(~expired(F.col("cached_at"), now, days))
 
 
+def remove_corrupt(spark: SparkSession, path: str) -> int:
+    """Removes the cache's files that are no Parquet files, so that their chunks are made anew; how many these were.
+
+    Tasks look at the ends of the files, and only the names of broken ones come to the driver.
+    """
+    if not existing(spark, [path]):
+        return 0
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    whole = (F.substring("content", 1, 4) == F.lit(b"PAR1")) & (F.substring("content", -4, 4) == F.lit(b"PAR1"))
+    broken = [r["path"] for r in found.filter(~whole).select("path").collect()]
+    for p in map(spark.sparkContext._jvm.org.apache.hadoop.fs.Path, broken):
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, False)
+    return len(broken)
+
+
 def parse_pdf(*_):
     raise NotImplementedError("reading PDF needs pdfplumber, which is not installed; pass text or chunks instead")

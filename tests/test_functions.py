@@ -484,3 +484,23 @@ def test_pages_of_providers(spark):
     seen = pages.charts(pages.images(parts, reader()), reader()).orderBy("page").collect()
     assert [x.page for x in seen] == list(range(1, 46)) and bytes(seen[20].image) == b"ok21"
     assert [x.page for x in seen if x.has_chart] == [3, 13, 23, 33, 43] and seen[2].chart_types == ["bar_chart"]
+
+
+def test_settings_file(tmp_path, monkeypatch):
+    (tmp_path / ".env").write_text("# none\nCHUNK_SIZE=700\nexport MMR_K = '9'\n\nALLOWED_TYPES=.txt,.md\n")
+    got = Settings.load(str(tmp_path / ".env"))
+    assert (got.CHUNK_SIZE, got.MMR_K, got.ALLOWED_TYPES) == (700, 9, (".txt", ".md"))
+    monkeypatch.setenv("CHUNK_SIZE", "800")
+    assert Settings.load(str(tmp_path / ".env")).CHUNK_SIZE == 800 and Settings.load(str(tmp_path / "none")).MMR_K == 15
+
+
+def test_existing_and_corrupt(spark, tmp_path):
+    path = str(tmp_path / "cache")
+    assert files.remove_corrupt(spark, path) == 0 and files.existing(spark, [path, str(tmp_path)]) == [str(tmp_path)]
+    rows = spark.createDataFrame([("h1", "x", datetime.datetime(2024, 1, 1))], "file_hash string, content string, cached_at timestamp")
+    files.write_cache(rows, path)
+    (tmp_path / "cache" / "file_hash=h2").mkdir()
+    (tmp_path / "cache" / "file_hash=h2" / "part-0.parquet").write_bytes(b"PAR1 broken off")
+    now = F.lit(datetime.datetime(2024, 1, 2))
+    assert files.read_cache(spark, path, now).count() == 1 and files.remove_corrupt(spark, path) == 1
+    assert not (tmp_path / "cache" / "file_hash=h2" / "part-0.parquet").exists() and files.read_cache(spark, path, now).count() == 1
