@@ -195,10 +195,11 @@ def _statuses(places: DataFrame, many: int) -> DataFrame:
 
     ``open``: a context of the gram occurs once, and another is there to compare it with; ``crowded``: there are more than ``many``.
     """
-    counts = places.groupBy("gram", "code").agg(F.count("*").alias("n"), F.min("r_id").alias("r_id"))
+    counts = written(places.groupBy("gram", "code").agg(F.count("*").alias("n"), F.min("r_id").alias("r_id")), "repeats-counts")
     grams = counts.groupBy("gram").agg(F.sum("n").alias("total"), F.count("*").alias("codes"), F.min("n").alias("least")).filter("total > 1")
     grams = grams.select("gram", ((F.col("codes") > 1) & (F.col("least") == 1)).alias("open"), (F.col("codes") > many).alias("crowded"))
-    return written(counts.join(grams, "gram"), "repeats-statuses")
+    # both written, so that Spark may split the contexts of a frequent gram in the join; neither side is broadcast
+    return written(counts.join(written(grams, "repeats-grams").hint("merge"), "gram"), "repeats-statuses")
 
 
 def _contexts(stored: DataFrame, statuses: DataFrame, length: int) -> DataFrame:
