@@ -9,7 +9,8 @@ character, and a space goes with the match behind it. So a text may be cut
 * between a letter and ASCII punctuation but the apostrophe, where white space or the end follows that (``TAIL``),
 
 and the pieces may be encoded one by one. Texts that have white space in another place are encoded whole; those with tabs
-or carriage returns beside line ends are cut at spaces alone.
+or carriage returns beside line ends are cut at spaces alone. A tokenizer that looks for some strings before it applies the
+pattern (added tokens) names them, and texts that hold one are encoded whole too.
 
 Cutting and telling pieces apart are Arrow's work over many texts at once, so only different pieces become Python objects.
 The memory has two generations: what was met since the last turn, and what was met between the last two. When the young
@@ -41,8 +42,11 @@ def odd(key: str) -> bool:
     return key == "" or key[0].isspace() or key[-1].isspace()
 
 
-def cut(texts: pa.Array) -> pa.ListArray:
-    """The pieces of each text, without the space in front of them, or with ``BARE`` in front where there is none."""
+def cut(texts: pa.Array, uncut: tuple[str, ...] = ()) -> pa.ListArray:
+    """The pieces of each text, without the space in front of them, or with ``BARE`` in front where there is none.
+
+    Texts that hold one of the strings ``uncut`` are one odd piece.
+    """
     has = lambda x: pc.match_substring(texts, x)
     at_lines = has("\n")
     for x in ("\r", "\n\t", "\n\n\n", "\n\n "):
@@ -51,17 +55,20 @@ def cut(texts: pa.Array) -> pa.ListArray:
     marked = pc.if_else(at_lines, pc.replace_substring(texts, "\n", f" {BARE}\n {BARE}"), texts)
     marked = pc.replace_substring_regex(marked, TAIL, rf"\1 {BARE}\2\3")
     marked = pc.binary_join_element_wise(BARE, marked, "")
-    return pc.split_pattern(pc.if_else(has(BARE), " ", marked), " ")
+    whole = has(BARE)
+    for x in uncut:
+        whole = pc.or_(whole, has(x))
+    return pc.split_pattern(pc.if_else(whole, " ", marked), " ")
 
 
 class Pieces:
     """A bounded memory from piece to its ids as bytes of 32-bit integers.
 
-    ``encode`` maps pieces (with their leading space) to ids, and ``whole`` texts that can't be cut.
+    ``encode`` maps pieces (with their leading space) to ids, and ``whole`` texts that can't be cut, as those with a string of ``uncut``.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[list[str]], list[bytes]], limit: int):
-        self.encode, self.whole, self.limit = encode, whole, limit
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[list[str]], list[bytes]], limit: int, uncut: tuple[str, ...] = ()):
+        self.encode, self.whole, self.limit, self.uncut = encode, whole, limit, uncut
         self.young: dict[str, bytes | None] = {}
         self.old: dict[str, bytes | None] = {}
 
@@ -78,7 +85,7 @@ class Pieces:
         return np.frombuffer(b"".join(found), "<i4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
     def _ids(self, texts: pa.Array) -> list[bytes]:
-        lists = cut(texts)
+        lists = cut(texts, self.uncut)
         coded = lists.flatten().dictionary_encode()
         values = self._values(coded.dictionary.to_pylist())
         joined = pa.array(values, pa.binary()).take(coded.indices)

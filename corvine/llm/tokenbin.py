@@ -10,7 +10,7 @@ A shard holds the ids of consecutive documents (little-endian throughout)::
 The base is the least id of the block, and the width what ``PERCENTILE`` of the differences fit in; the others are the
 exceptions. The index of block starts lets a reader take any block on its own.
 
-Documents are dealt by ranges of doc_id and sorted, and each task cuts its documents into shards: a shard ends behind the
+Documents are dealt by ranges of doc_id (of one doc_id, by how their texts begin) and sorted, and each task cuts its documents into shards: a shard ends behind the
 document that fills it. Shards are rows of a Parquet table in the shared folder (part, shard, ids of its documents, their
 lengths, the body), so Spark's commit protocol covers lost executors, and the writer needs no file system but Spark's.
 Where a document starts in the whole stream follows from sums over shards: in a part by a window over its shards, and
@@ -37,6 +37,8 @@ from corvine.llm.pieces import Pieces
 VOCABULARY = "byte_bpe_50k.json"
 END_ID, BLOCK, PERCENTILE, SHARD_IDS = 0, 1024, 97, 1 << 18
 REMEMBERED = 500_000
+#: Characters of a text that rows of one doc_id are dealt by.
+RANGED = 32
 MAGIC = b"TKB1"
 SHARDS = "part int, shard int, n_ids long, doc_ids array<long>, lengths array<int>, body binary"
 
@@ -107,7 +109,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size_of = self._sizes()
-        self.pieces = Pieces(self.encode_all, self.encode_whole, limit)
+        # the library finds these before it cuts a text by its pattern
+        added = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.joined = 1 if any(" " in x for x in added) else 256
+        self.pieces = Pieces(self.encode_all, self.encode_whole, limit, added)
 
     def _sizes(self) -> np.ndarray:
         """The bytes that each id stands for: of an ordinary token as many as it has characters, as each is a byte."""
@@ -118,14 +123,14 @@ class Encoder:
             sizes[i] = special.get(i) or len(token)
         return sizes
 
-    def encode_all(self, pieces: list[str], joined: int = 256) -> list[bytes]:
+    def encode_all(self, pieces: list[str]) -> list[bytes]:
         """The ids of each piece as bytes. Pieces that begin with a space are encoded many in one text and cut apart again."""
         alone = [i for i, p in enumerate(pieces) if p[:1] != " "]
         rest = [i for i, p in enumerate(pieces) if p[:1] == " "]
         out: list[bytes] = [b""] * len(pieces)
         for i, e in zip(alone, self.tokenizer.encode_batch_fast([pieces[i] for i in alone], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, dtype="<u4").tobytes()
-        groups = [rest[i : i + joined] for i in range(0, len(rest), joined)]
+        groups = [rest[i : i + self.joined] for i in range(0, len(rest), self.joined)]
         encoded = self.tokenizer.encode_batch_fast(["".join([pieces[i] for i in g]) for g in groups], add_special_tokens=False)
         for group, e in zip(groups, encoded, strict=True):
             ids = np.array(e.ids, dtype="<u4")
@@ -179,7 +184,8 @@ def write_tokens(docs: DataFrame, to: str, vocabulary: str, end_id: int = END_ID
         if doc_ids:
             yield row()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # a prefix has the order of the texts, so many rows of one doc_id need not meet in one task
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id", F.substring("text", 1, RANGED)).sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(run, SHARDS).write.parquet(to)
 
 

@@ -327,6 +327,22 @@ def test_pieces():
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
 
 
+def test_added_tokens():
+    """An added token, whole and in part, beside punctuation, letters and line ends in all places."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_files.path(tokenbin.VOCABULARY)
+    library, own = Tokenizer.from_file(path), tokenbin.Encoder(path)
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    assert added
+    r = random.Random(13)
+    parts = [*added, *added, added[0][:-1], added[0][1:], "a", "Word", " ", "\n", "\n\n", ".", "|>", "<|", "é", "'s", "12"]
+    texts = ["".join(r.choices(parts, k=r.randint(1, 9))) for _ in range(6000)]
+    ids, counts = own.pieces.of(pa.array(texts))
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
 def test_table():
     r = np.random.default_rng(4)
     keys = np.unique(r.integers(0, 1 << 40, 20_000))
