@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvine.llm import bpe, embeddings, html, jaccard, licenses, mix, ppm, quality, repeats, tokenbin
+from corvine.llm import bpe, embeddings, html, jaccard, licenses, mix, ppm, quality, repeats, runs, tokenbin
 
 QUERIES = {
     "op1_mix": mix.op1_mix,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_html": html.op8_html,
     "op9_repeats": repeats.op9_repeats,
     "op10_quality": quality.op10_quality,
+    "op12_runs": runs.op12_runs,
 }
 
 ORACLES = {
