@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvine.llm import bpe, embeddings, html, jaccard, licenses, mix, ppm, quality, repeats, runs, tokenbin
+from corvine.llm import bpe, embeddings, html, jaccard, licenses, mix, partitions, ppm, quality, repeats, runs, signatures, tokenbin
 
 QUERIES = {
     "op1_mix": mix.op1_mix,
@@ -15,7 +15,9 @@ QUERIES = {
     "op8_html": html.op8_html,
     "op9_repeats": repeats.op9_repeats,
     "op10_quality": quality.op10_quality,
+    "op11_signatures": signatures.op11_signatures,
     "op12_runs": runs.op12_runs,
+    "op13_partitions": partitions.op13_partitions,
 }
 
 ORACLES = {
@@ -25,4 +27,5 @@ ORACLES = {
     "op6_jaccard": jaccard.ORACLE,
     "op9_repeats": repeats.ORACLE,
     "op10_quality": quality.ORACLE,
+    "op11_signatures": signatures.ORACLE,
 }

@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 import pytest
 
-from corvine.llm import runs
+from corvine.llm import partitions, runs
 
 DOCS = "doc_id long, text string, lang string, runs string, n_words int, rest string, collapsed string, item_id int, score string"
 
@@ -128,3 +128,75 @@ def test_runs_keep_columns(docs):
     rows = found.filter("doc_id = 6").collect()
     assert [(r.runs[0].asDict(), r.n_words, r.collapsed, r.rest, r.score) for r in rows] == [({"start": 0, "length": 8, "period": 2}, 8, "a b", "y", "s")]
     assert runs.periodic_runs(docs.limit(0)).count() == 0
+
+
+# --- 13
+
+
+def nearest_by_comparison(rows: list, asked, k: int) -> dict:
+    fine = list({(v, tuple(e)): (v, np.array(e, dtype=np.float64)) for v, e in rows if e is not None and all(x is not None and np.isfinite(x) for x in e) and any(e)}.values())
+    out = {}
+    for v, e in fine:
+        if v is not None and asked(v):
+            near = [(-float((e * x).sum()), w is None, w or 0) for w, x in fine if w != v and len(x) == len(e)]
+            out.setdefault(v, []).append([(None if none else w, -s) for s, none, w in sorted(near)[:k]])
+    return out
+
+
+def found_by_query(frame) -> dict:
+    out = {}
+    for r in sorted(frame.collect(), key=lambda r: (r.query_id, r["rank"])):
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+        assert r["rank"] == len(out[r.query_id])
+    return out
+
+
+def test_nearest_small(spark):
+    """So few vectors that one part holds them: exact, with ties, copies, odd vectors and clashing names."""
+    r = np.random.default_rng(3)
+    rows = [(i, r.integers(-2, 3, 4).astype(float).tolist()) for i in range(60)]
+    rows += [(60 + i, [1.0, 2.0, 0.0, -1.0]) for i in range(40)] + [rows[3], (None, [2.0, 2.0, 2.0, 2.0]), (200, None), (220, [0.0] * 4), (240, [1.0, None, 0.0, 0.0]), (260, [float("nan"), 1.0, 0.0, 0.0]), (280, [float("inf"), 0.0, 0.0, 0.0]), (300, [5.0, 1.0]), (301, [1.0, 1.0])]
+    frame = spark.createDataFrame([(v, e, 1, "x", 2) for v, e in rows], "vec_id long, embedding array<float>, rank int, score string, part int").repartition(3)
+    for k in (20, 5):
+        got = found_by_query(partitions.nearest(frame, partitions.F.col("vec_id") % 20 == 0, k))
+        want = {v: some[0] for v, some in nearest_by_comparison(rows, lambda v: v % 20 == 0, k).items() if some[0]}
+        assert got == want
+    assert partitions.nearest(frame.limit(0), partitions.F.lit(True)).count() == 0
+    assert partitions.nearest(frame.filter("vec_id = 7"), partitions.F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("clusters", [40, 0])
+def test_nearest_recall(spark, monkeypatch, clusters):
+    """Recall over all queries against brute force, of vectors in clusters and of vectors without any structure."""
+    r = np.random.default_rng(5)
+    n, size = 3000, 32
+    x = r.standard_normal((n, size))
+    if clusters:
+        x = 0.5 * x + 2 * r.standard_normal((clusters, size))[r.integers(0, clusters, n)]
+    x = x.astype(np.float32)
+    x[50] *= 4
+    x[100:300] = x[50]  # a group of copies
+    monkeypatch.setattr(partitions, "BLOCK", 128)
+    frame = spark.createDataFrame([(i, e) for i, e in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(4)
+    got = found_by_query(partitions.nearest(frame, partitions.F.col("vec_id") % 20 == 0))
+    want = nearest_by_comparison([(i, e) for i, e in enumerate(x.tolist())], lambda v: v % 20 == 0, 20)
+    assert set(got) == set(want) and all(len(v) == 20 for v in got.values())
+    exact = {(q, v): s for q, some in want.items() for v, s in some[0]}
+    assert sum((q, v) in exact for q, some in got.items() for v, _ in some) / len(exact) >= 0.9
+    assert all(s == exact[q, v] for q, some in got.items() for v, s in some if (q, v) in exact)
+    assert [v for v, _ in got[100]] == [50, *range(101, 120)]
+
+
+def test_learned_partitions():
+    """Parts of one size that cut few links, and few parts for a query where vectors have clusters."""
+    r = np.random.default_rng(6)
+    centres = 3 * r.standard_normal((64, 24))
+    x = r.standard_normal((4096, 24)) + centres[r.integers(0, 64, 4096)]
+    links = partitions.neighbours(x, x, 10, same=True)
+    part = partitions.bisected(links, 16)
+    assert np.bincount(part).tolist() == [256] * 16
+    assert (part[:, None] == part[links]).mean() > 0.8
+    model = partitions.fitted(x, 16)
+    assert model.probes <= 4
+    again = partitions.Classifier.unpacked(model.packed())
+    assert again.probes == model.probes and np.allclose(again.scores(partitions.unit(x)), model.scores(partitions.unit(x)), atol=1e-3)
