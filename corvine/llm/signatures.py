@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvine.llm.common import read, written
+from corvine.llm.shingles import portions
 
 K = 20
 #: Documents an item that give the threshold.
@@ -104,42 +105,47 @@ def index(docs: DataFrame) -> DataFrame:
         schema = pa.schema([("doc", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("terms", pa.binary()), ("term", pa.binary()), ("df", pa.int64()), ("rows", pa.int32()), ("docs", pa.list_(pa.int64())), ("ns", pa.list_(pa.int64())), ("slices", pa.binary())])
 
         def batch_of(length: int, **columns):
-            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(length, f.type) for f in schema], schema=schema)
+            return pa.RecordBatch.from_arrays([(c if isinstance(c := columns[f.name], pa.Array) else pa.array(c, f.type)) if f.name in columns else pa.nulls(length, f.type) for f in schema], schema=schema)
+
+        def block_of(block: tuple):
+            return batch_of(1, **{k: [v] for k, v in zip(("rows", "docs", "ns", "slices"), block, strict=True)})
 
         doc, blocks, df, known = TaskContext.get().partitionId() << 33, Blocks(), Counter(), {}
         levels = np.array(LEVELS)
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            out: dict[str, list] = {"doc": [], "doc_id": [], "n": [], "terms": []}
-            for doc_id, text in zip(ids, batch.column(1).cast(pa.binary()), strict=True):
-                found = terms(text.as_py())
-                if not found:
+            at = 0
+            for some in portions([t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]):
+                ids, at = batch.column(0).slice(at, len(some)), at + len(some)
+                found = [terms(t) for t in some]
+                there = [i for i, x in enumerate(found) if x]
+                if not there:
                     continue
-                doc += 1
-                counts = Counter(found)
-                df.update(counts.keys())
-                own, tf = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+                counts = [Counter(found[i]) for i in there]
+                ns, own = [len(found[i]) for i in there], [t for c in counts for t in c]
+                for c in counts:
+                    df.update(c.keys())
                 if len(known) > COUNTED:
                     known.clear()
-                new = [t for t in own if t not in known]
+                new = list({t for t in own if t not in known})
                 known.update(zip(new, hashed(new).tolist(), strict=True))
                 hashes = np.fromiter(map(known.__getitem__, own), np.uint64, len(own))
-                reached = np.searchsorted(levels, tf, side="right")
-                level = np.concatenate([np.arange(x) for x in reached]) if reached.max() > 1 else np.zeros(len(own), dtype=np.int64)
-                rows, full = rows_of(len(level))
-                at = places(np.repeat(hashes, reached), level, rows).reshape(-1)
-                out["doc"].append(doc)
-                out["doc_id"].append(doc_id)
-                out["n"].append(len(found))
-                out["terms"].append(b"\n".join([b" ".join(own), b" ".join(map(b"%d".__mod__, counts.values()))]))
-                for b in blocks.add(rows, full, doc, len(found), at):
-                    yield batch_of(1, **{k: [v] for k, v in zip(("rows", "docs", "ns", "slices"), b, strict=True)})
+                reached = np.searchsorted(levels, np.fromiter((x for c in counts for x in c.values()), np.int64, len(own)), side="right")
+                level = np.arange(reached.sum()) - np.repeat(np.cumsum(reached) - reached, reached)
+                keys = np.add.reduceat(reached, np.cumsum([0, *map(len, counts)])[:-1])
+                shapes = [rows_of(n) for n in keys.tolist()]
+                places_of = np.split(places(np.repeat(hashes, reached), level, np.repeat([rows for rows, _ in shapes], keys)), np.cumsum(keys)[:-1])
+                rows_named = range(doc, doc + len(there))
+                doc += len(there)
+                held = [b" ".join(c) + b"\n" + b" ".join(map(b"%d".__mod__, c.values())) for c in counts]
+                yield batch_of(len(there), doc=list(rows_named), doc_id=ids.take(pa.array(there)), n=ns, terms=held)
+                for (rows, full), name, n, set_by in zip(shapes, rows_named, ns, places_of, strict=True):
+                    for b in blocks.add(rows, full, name, n, set_by.reshape(-1)):
+                        yield block_of(b)
                 if len(df) > COUNTED:
                     yield batch_of(len(df), term=list(df), df=list(df.values()))
                     df.clear()
-            yield batch_of(len(out["doc"]), **out)
         for rows in list(blocks.open):
-            yield batch_of(1, **{k: [v] for k, v in zip(("rows", "docs", "ns", "slices"), blocks.closed(rows), strict=True)})
+            yield block_of(blocks.closed(rows))
         if df:
             yield batch_of(len(df), term=list(df), df=list(df.values()))
 
@@ -292,10 +298,10 @@ def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
     asked = written(asked.join(df, "term"), "weighted")
     sizes = asked.groupBy("item").agg(F.count("*").alias("size"))
     running = F.sum("size").over(Window.orderBy("item").rowsBetween(Window.unboundedPreceding, -1))
-    portions = written(sizes.select("item", F.floor(F.coalesce(running, F.lit(0)) / PORTION).alias("portion")), "portions")
+    dealt = written(sizes.select("item", F.floor(F.coalesce(running, F.lit(0)) / PORTION).alias("portion")), "portions")
     results = []
-    for r in portions.groupBy("portion").count().orderBy("portion").toLocalIterator():
-        own = portions.filter(F.col("portion") == r["portion"])
+    for r in dealt.groupBy("portion").count().orderBy("portion").toLocalIterator():
+        own = dealt.filter(F.col("portion") == r["portion"])
         made = Portion(asked.join(own, "item").select("item", "term", "times", "df").collect(), n_docs, length, k)
         shared = spark.sparkContext.broadcast(made)
         first = max(FIRST, k)
