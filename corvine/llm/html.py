@@ -9,7 +9,9 @@
    ``NEAR`` pages before and behind it on its host, all of which have another text.
 3. A page's lines are aligned with those of each of these by longest common subsequence, and lines that several of them
    share are deleted (``template``). Pages that share more than half of the text may be near copies, which tell nothing
-   about a template; how they share it decides.
+   about a template; how they share it decides. In text that a page marks as its article a line goes only if it stands on
+   nearly all pages around, which have to be ``MANY`` different texts at least: a passage that some articles of a host
+   share is theirs.
 
 The element rules come first since differencing alone fails on pages whose menus and adverts differ from page to page.
 Where a page marks its article, what is outside goes, and what is inside meets the neighbours like any other text.
@@ -56,13 +58,16 @@ LINKS = 0.8
 WRAPS = 0.8
 #: Pages that share more than this of a text may be copies of it.
 COPIES = 0.5
+#: In a marked article a line goes if so many neighbours of different texts have it, and this share of all that differ.
+MANY, NEARLY_ALL = 4, 0.75
 #: A page with less than this share of its text to itself is a copy with a changed line.
 OWN = 0.1
 #: How many pages before and behind each it meets, and how many rows of their order make a block of work.
 NEAR, BLOCK = 4, 1024
 #: Bits of an alignment that are held at once.
 AT_ONCE_BITS = 1 << 27
-TAG = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|$)|<[!?/][^>]*(?:>|$)""", re.S)
+#: A quote that nothing closes takes the rest of the page with it, as in HTML; so no place is read twice.
+TAG = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*+(?:"|$)|'[^']*+(?:'|$)|[^>"'])*+)(?:>|$)|<[!?/][^>]*(?:>|$)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 PLAIN, ARTICLE, MAIN = 0, 1, 2  # an article in a main element is both
 STAYS, GOES, GOES_UNLESS_WRAPPER = 0, 1, 2
@@ -109,10 +114,12 @@ def wrappers(found: list[tuple[str, int, float, int]], drops: list[tuple[int, in
             out.add(i)
             i = drops[i][0]
 
-    def stays(i: int) -> bool:
-        while i >= 0 and i in out:
-            i = drops[i][0]
-        return i < 0
+    def staying() -> list[bool]:
+        """Whether each of ``drops`` stays, as those around it do; the last value is that of no such place (-1)."""
+        found = [True] * (len(drops) + 1)
+        for i, (around, _) in enumerate(drops):  # the one around comes first
+            found[i] = i in out and found[around]
+        return found
 
     whole = 0.0
     unlinked: dict[int, float] = defaultdict(float)
@@ -122,11 +129,13 @@ def wrappers(found: list[tuple[str, int, float, int]], drops: list[tuple[int, in
             unlinked[i] += len(text) * (1 - links)
             if zone & ~drops[i][1] & MAIN:
                 add(i)
-    marked = any(zone and stays(i) for _, zone, _, i in found)
+    stays = staying()
+    marked = any(zone and stays[i] for _, zone, _, i in found)
     for i, n in unlinked.items():
         if n > WRAPS * whole and (drops[i][1] or not marked):
             add(i)
-    if not any(zone and stays(i) for _, zone, _, i in found):
+    stays = staying()
+    if not any(zone and stays[i] for _, zone, _, i in found):
         articles: dict[int, int] = defaultdict(int)
         for text, zone, _, i in found:
             if i >= 0 and zone & ~drops[i][1] & ARTICLE:
@@ -144,6 +153,9 @@ def blocks(page: str) -> list[tuple[str, int, float]]:
     stack: list[tuple[str, bool, int, int]] = []  # (tag, dropped, zone, the innermost of ``drops``)
     drops: list[tuple[int, int]] = []  # elements that go unless they hold the main text
     gone, zone, links, within = False, PLAIN, 0, -1
+    # how many elements of a name are open, and where in the stack block elements are, so that no tag walks through all
+    opened: Counter[str] = Counter()
+    block_at: list[int] = []
 
     def close_block() -> None:
         nonlocal linked
@@ -159,6 +171,9 @@ def blocks(page: str) -> list[tuple[str, int, float]]:
         links -= sum(e[0] == "a" for e in stack[depth:])
         if (stack[depth - 1][3] if depth else -1) != within:
             close_block()
+        opened.subtract(e[0] for e in stack[depth:])
+        while block_at and block_at[-1] >= depth:
+            block_at.pop()
         del stack[depth:]
         gone, zone, within = stack[-1][1:] if stack else (False, PLAIN, -1)
 
@@ -182,9 +197,8 @@ def blocks(page: str) -> list[tuple[str, int, float]]:
         elif tag in ("br", "td", "th") and parts:
             parts.append(" ")
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                pop_to(depth)
+            if opened[tag] > 0:
+                pop_to(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag))
             continue
         if tag in RAW_TAGS:
             over = re.compile(rf"</{tag}(?=[\s>/])[^>]*>?", re.I).search(page, at)
@@ -192,14 +206,9 @@ def blocks(page: str) -> list[tuple[str, int, float]]:
             continue
         if tag in VOID_TAGS:
             continue
-        if tag in BLOCK_TAGS and stack:  # what HTML closes by itself
-            same = ("p",) if tag not in ("li", "dt", "dd") else ("p", tag)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in same:
-                    pop_to(i)
-                    break
-                if stack[i][0] in BLOCK_TAGS:
-                    break
+        if tag in BLOCK_TAGS and block_at:  # what HTML closes by itself
+            if stack[block_at[-1]][0] in (("p",) if tag not in ("li", "dt", "dd") else ("p", tag)):
+                pop_to(block_at[-1])
         own = ARTICLE if tag == "article" else MAIN if tag == "main" or re.search(r"""role\s*=\s*["']?main\b""", attributes) else PLAIN
         how = STAYS if gone else dropped(tag, attributes, bool(zone & ARTICLE))
         if how == GOES_UNLESS_WRAPPER and tag not in BLOCK_TAGS:
@@ -211,6 +220,9 @@ def blocks(page: str) -> list[tuple[str, int, float]]:
             within = len(drops) - 1
         zone |= own
         links += tag == "a"
+        opened[tag] += 1
+        if tag in BLOCK_TAGS:
+            block_at.append(len(stack))
         stack.append((tag, gone, zone, within))
     close_block()
     if drops:
@@ -284,24 +296,40 @@ def common_subsequence(mine: list[int], other: list[int]) -> set[int]:
     return found
 
 
+def different(texts: list[list[int]]) -> int:
+    """How many texts there are that don't share half of the lines of the shorter with one before."""
+    found: list[set[int]] = []
+    for text in map(set, texts):
+        if not any(2 * len(text & x) > min(len(text), len(x)) for x in found):
+            found.append(text)
+    return len(found)
+
+
 def template(marked: bool, keys: list[int], sizes: list[int], others: list[list[int]]) -> list[int]:
-    """Places of the lines that are a template's: those that two of ``others`` (all with another text) share.
+    """Places of the lines that are a template's, by those that ``others`` (all with another text) share.
+
+    Two of them are enough where the page doesn't mark its text, or the only one. Others that share more than half of the
+    text count there only if no other page says anything, and if they look like pages of one template rather than near
+    copies: all share the same lines, and the page has a good part to itself.
 
-    Others that share more than half of the text count only if no other page says anything, and if they look like pages
-    of one template rather than near copies: all share the same lines, and the page has a good part to itself. A single
-    neighbour is enough only where the page doesn't mark its text.
+    In marked text they never count, and a line goes if ``NEARLY_ALL`` of the others have it, of ``MANY`` different texts.
     """
     mine = set(keys)
     total = sum(sizes)
-    alike, votes, differ = [], Counter(), 0
-    for other in others:
+    alike, votes, differ = [], defaultdict(list), 0
+    for at, other in enumerate(others):
         shared = common_subsequence(keys, other) if not mine.isdisjoint(other) else set()
         if sum(sizes[i] for i in shared) > COPIES * total:
             alike.append(shared)
         else:
             differ += 1
-            votes.update(shared)
-    out = {i for i, n in votes.items() if n >= (2 if marked or differ > 1 else 1)}
+            for i in shared:
+                votes[i].append(at)
+    if marked:
+        often = {i: by for i, by in votes.items() if len(by) >= max(MANY, NEARLY_ALL * differ)}
+        lines = {keys[i] for i in often}
+        return sorted(i for i, by in often.items() if different([[x for x in others[k] if x not in lines] for k in by]) >= MANY)
+    out = {i for i, by in votes.items() if len(by) >= (2 if differ > 1 else 1)}
     if not votes and len(alike) > 1:
         common, some = set.intersection(*alike), set.union(*alike)
         partly = sum(sizes[i] for i in some - common)
