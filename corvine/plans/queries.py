@@ -707,7 +707,7 @@ def _chunk_rows(spark, sf):
     """Documents as files, cut into the chunks that are indexed: doc_id is the chunk's id, and ``number`` a number for it."""
     docs = _chunked(table(spark, sf, "documents").select("doc_id", "text", "source"))
     pages = docs.select(F.col("stable_source").alias("source"), F.lit(1).alias("page"), F.lit("text").alias("type"), "file_hash", F.coalesce("text", F.lit("")).alias("content"))
-    return files.chunked(pages).dropDuplicates(["doc_id"]).withColumn("number", F.xxhash64("doc_id"))
+    return files.chunked(pages).dropDuplicates(["doc_id"])
 
 
 def _embedded(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -720,12 +720,12 @@ def answer_questions(spark, sf):
 
     Chunks are retrieved by words and by vectors, and the two lists fused.
     """
-    chunks = saved(_chunk_rows(spark, sf), "chunks")
+    chunks = saved(_chunk_rows(spark, sf).withColumn("number", F.monotonically_increasing_id()), "chunks")
     vectors = saved(_embedded(chunks, "number", "content").withColumnRenamed("number", "id"), "vectors")
     texts = chunks.select(F.col("number").alias("doc_id"), F.col("content").alias("text"))
 
     def retrieve(questions):
-        asked = questions.withColumn("query", F.xxhash64("question"))
+        asked = saved(questions.withColumn("query", F.monotonically_increasing_id()), "asked")
         queries = _embedded(asked, "query", "text")
         by_vector = vector.diverse(vector.nearest(queries, vectors), queries, vectors)
         by_words = bm25.top_documents(asked.select(F.col("query").alias("question"), "text"), texts)
@@ -737,6 +737,18 @@ def answer_questions(spark, sf):
     return workflow.answer_parts(_questions(spark, sf), retrieve, save=saved)
 
 
+@query("""
+WITH q AS (SELECT item_id AS question, text, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '')) AS asked FROM benchmark),
+c AS (SELECT doc_id AS question, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\\s+'), lambda w: w <> '')) AS ws FROM documents),
+s AS (SELECT question, CASE WHEN len(asked) = 0 THEN 0 ELSE len(list_intersect(asked, coalesce(ws, []))) / len(asked) END AS share FROM q LEFT JOIN c USING (question))
+SELECT question, CASE WHEN share >= 0.3 THEN CASE WHEN share >= 0.6 THEN 'CAN_ANSWER' ELSE 'PARTIAL' END ELSE 'NO_MATCH' END AS classification FROM s
+""")
+def question_relevance(spark, sf):
+    """The offline provider's classification of every question of ``benchmark`` by the document with its number."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("question"), F.col("text").alias("context"))
+    return workflow.relevance(_questions(spark, sf), docs, workflow.Offline()).select("question", "classification")
+
+
 @query("SELECT conv_id, turn FROM conversations WHERE regexp_matches(coalesce(text, ''), '[^\\s]') AND turn % 7 <> 1")
 def non_empty(spark, sf):
     """The guard for empty inputs; every seventh turn is blanked first."""

@@ -305,6 +305,41 @@ def test_workflow(spark):
 
 
 
+def test_workflow_learns_from_feedback(spark):
+    """A provider that answers well only when it is told what was wrong; candidates and selections that fail; nulls."""
+
+    class Learning(workflow.Offline):
+        def answer(self, question, context, candidate, feedback="", previous=""):
+            if "fails" in question or ("half" in question and candidate == 0):
+                raise OSError("no answer")
+            return f"good: {feedback} / {previous}" if feedback else f"bad {candidate}"
+
+        def select(self, question, answers):
+            if "odd" in question:
+                raise OSError("no choice")
+            return {"index": 9 if "range" in question else 1, "confidence": "HIGH", "reasoning": "it is second"}
+
+        def relevance(self, question, context):
+            return "CAN_ANSWER"
+
+        def verify(self, question, answer, context):
+            return "Supported: YES\nRelevant: YES\nCompleteness: COMPLETE\nConfidence: HIGH" if answer.startswith("good") else "Supported: NO\nRelevant: YES\nConfidence: HIGH\nCompleteness: COMPLETE"
+
+    asked = spark.createDataFrame([(1, "plain"), (2, "odd"), (3, "fails"), (4, "half"), (5, None), (6, " \n"), (7, "range")], "question long, text string")
+    corpus = spark.createDataFrame([("the context",)], "content string")
+    retrieve = lambda questions: questions.crossJoin(corpus).select("question", F.lit(1).alias("rank"), "content")
+    got = {r.question: r for r in workflow.answer(asked, retrieve, Learning()).collect()}
+    why = "Answer lacks sufficient support from documents."
+    assert got[1].answer == f"good: {why} / bad 1" and got[1].attempts == 2
+    assert "**Selected Candidate:** 2\n**Selection Confidence:** HIGH\n**Selection Reasoning:** it is second\n" in got[1].report
+    assert got[2].answer == f"good: {why} / bad 0" and "**Selection Confidence:** LOW\n**Selection Reasoning:** Selection failed, using first candidate: no choice" in got[2].report
+    assert got[3].answer == workflow.NO_ANSWERS and got[3].attempts == 5 and "**Candidates Evaluated:** 0\n**Selected Candidate:** 0\n**Selection Confidence:** LOW\n**Selection Reasoning:** No candidates available" in got[3].report
+    assert got[4].answer == f"good: {why} / bad 1" and got[7].answer == f"good: {why} / bad 0"
+    assert got[5].answer == got[6].answer == workflow.SAYS_NOTHING and got[5].attempts == 0
+    first = workflow.attempt(asked.filter("question = 4").selectExpr("question", "text", "'c' AS context", "CAST(null AS string) AS feedback", "CAST(null AS string) AS previous"), Learning(), 2).first()
+    assert first.answer == "bad 1" and "**Selection Confidence:** MEDIUM\n**Selection Reasoning:** Only one candidate answer was provided" in first.report
+
+
 def test_numbered(spark):
     from corvine.operators.numbering import numbered
 
@@ -434,7 +469,8 @@ def test_prompted_provider():
 
     p = workflow.Prompted(complete)
     assert p.decompose("q") == ["one", "two"] and p.relevance("q", "c") == "CAN_ANSWER" and p.rewrite("q") == "q"
-    assert p.select("q", ["a", "b"]) == 1 and p.select("q", []) == -1 and p.select("q", ["a"]) == 0
+    assert p.select("q", ["a", "b"]) == {"index": 1, "confidence": "MEDIUM", "reasoning": "I think 1, so CAN_ANSWER"}
+    assert workflow.Prompted(lambda _: 'So: {"selected_index": 2, "index": 1, "confidence": "high", "reasoning": "r"}').select("q", ["a", "b"]) == {"index": 1, "confidence": "HIGH", "reasoning": "r"}
     assert seen[1].endswith("Question:\nq\n\nContext:\nc")
 
 
@@ -446,7 +482,8 @@ def test_questions_in_parts(spark):
         return questions.crossJoin(corpus).select("question", F.lit(1).alias("rank"), "content")
 
     got = {x.question: x for x in workflow.answer_parts(asked, retrieve, save=lambda df, name: df).collect()}
-    assert set(got) == {1, 2} and got[1].parts == 2 and got[2].parts == 1
+    assert set(got) == {1, 2, 3} and got[1].parts == 2 and got[2].parts == 1
+    assert (got[3].answer, got[3].report, got[3].attempts, got[3].parts) == (workflow.SAYS_NOTHING, "", 0, 1)
     assert got[1].answer.startswith("Q1: Where is the fox?\nA: ") and "\n\nQ2: Who is lazy?\nA: " in got[1].answer
 
 
