@@ -36,6 +36,16 @@ def term_stats(df: DataFrame, stats: DataFrame, epsilon: float = DEFAULTS.BM25_E
     return raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
 
 
+def filled(scored: DataFrame, questions: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(question, doc, score) -> the ``k`` best with ``rank``, filled up with the first documents where fewer score."""
+    ranked = Window.partitionBy("question").orderBy(F.desc("score"), "doc")
+    best = scored.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k).drop("rank")
+    first = docs.orderBy("doc").limit(2 * k)
+    fill = questions.select("question").crossJoin(F.broadcast(first)).select("question", "doc", F.lit(0.0).alias("score"), F.lit(0).alias("scored"))
+    every = best.withColumn("scored", F.lit(1)).unionByName(fill).groupBy("question", "doc").agg(F.max_by("score", "scored").alias("score"))
+    return every.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k)
+
+
 def top_documents(questions: DataFrame, docs: DataFrame, k: int = DEFAULTS.BM25_SEARCH_K, k1: float = DEFAULTS.BM25_K1, b: float = DEFAULTS.BM25_B) -> DataFrame:
     """(question, text) x (doc_id, text) -> (question, doc, score, rank) of the ``k`` best, ties by doc.
 
@@ -51,8 +61,4 @@ def top_documents(questions: DataFrame, docs: DataFrame, k: int = DEFAULTS.BM25_
     wanted = wanted.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl")).join(terms, "term").crossJoin(F.broadcast(stats))
     weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = wanted.select("term", "doc", weight.alias("weight")).join(asked, "term").groupBy("question", "doc").agg(F.round(F.sum(F.col("qtf") * F.col("weight")), 6).alias("score"))
-    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "doc"))).filter(F.col("rank") <= k).drop("rank")
-    first = docs.select(F.col("doc_id").alias("doc")).orderBy("doc").limit(2 * k)
-    fill = questions.select("question").crossJoin(F.broadcast(first)).select("question", "doc", F.lit(0.0).alias("score"), F.lit(0).alias("scored"))
-    every = best.withColumn("scored", F.lit(1)).unionByName(fill).groupBy("question", "doc").agg(F.max_by("score", "scored").alias("score"))
-    return every.withColumn("rank", F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "doc"))).filter(F.col("rank") <= k)
+    return filled(scored, questions, docs.select(F.col("doc_id").alias("doc")), k)

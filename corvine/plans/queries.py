@@ -19,7 +19,7 @@ from corvine.functions import prompts as P
 from corvine.functions import tables as M
 from corvine.functions import text as X
 from corvine.functions import verdicts as V
-from corvine.operators import bm25, chart_flow, context, embed, fusion, manifest, numbering, splitter, store, vector, workflow
+from corvine.operators import bm25, chart_flow, context, embed, fusion, manifest, numbering, postings, splitter, store, vector, workflow
 from corvine.sources import files, pages
 from corvine.streaming import rate_limit as R
 
@@ -51,6 +51,13 @@ def _shared(spark: SparkSession) -> str:
     return found
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """A table in the shared folder, read back: cheaper than a checkpoint, and Spark knows its size."""
+    path = f"{_shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """A checkpoint in the folder that the session has for them."""
     _shared(df.sparkSession)
@@ -247,10 +254,12 @@ top AS (SELECT question, doc, score, row_number() OVER (PARTITION BY question OR
 _TERM_STATS = _BM25[: _BM25.index("qt AS")].rstrip().rstrip(",")
 
 
-@query(f"WITH {_TERM_STATS} SELECT term, df, round(idf, 6) AS idf FROM t")
+@query(f"WITH {_TERM_STATS} SELECT df, count(*) AS terms, round(max(idf), 6) AS idf, round(sum(idf), 4) AS idf_sum FROM t GROUP BY df")
 def bm25_stats(spark, sf):
+    """The statistics of all terms, by the number of documents that a term is in."""
     docs = table(spark, sf, "documents")
-    return bm25.term_stats(bm25.document_counts(docs), bm25.corpus_stats(bm25.lengths(docs))).select("term", "df", F.round("idf", 6).alias("idf"))
+    terms = bm25.term_stats(bm25.document_counts(docs), bm25.corpus_stats(bm25.lengths(docs)))
+    return terms.groupBy("df").agg(F.count("*").alias("terms"), F.round(F.max("idf"), 6).alias("idf"), F.round(F.sum("idf"), 4).alias("idf_sum"))
 
 
 def _questions(spark, sf):
@@ -259,7 +268,19 @@ def _questions(spark, sf):
 
 @query(f"WITH {_BM25} SELECT question, doc, score, CAST(rank AS INTEGER) AS rank FROM top")
 def bm25_topk(spark, sf):
-    return bm25.top_documents(_questions(spark, sf), table(spark, sf, "documents"))
+    """By a stored word index; texts are read once, when it is made."""
+    at = f"{_shared(spark)}/words-{uuid.uuid4().hex}"
+    postings.append(table(spark, sf, "documents"), at)
+    return postings.search(postings.Index(spark, at), _questions(spark, sf), written)
+
+
+@query(f"WITH {_BM25} SELECT question, doc, score, CAST(rank AS INTEGER) AS rank FROM top")
+def bm25_appended(spark, sf):
+    """The same of an index that three parts of the documents were added to one after the other, in small zones."""
+    docs, at = table(spark, sf, "documents"), f"{_shared(spark)}/words-{uuid.uuid4().hex}"
+    for part in range(3):
+        postings.append(docs.filter(F.col("doc_id") % 3 == part), at, zone=16)
+    return postings.search(postings.Index(spark, at), _questions(spark, sf), written)
 
 
 @query(f"WITH {_BM25} SELECT count(DISTINCT term) AS vocabulary, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tokens FROM p")
@@ -723,12 +744,15 @@ def answer_questions(spark, sf):
     chunks = saved(_chunk_rows(spark, sf).withColumn("number", F.monotonically_increasing_id()), "chunks")
     vectors = saved(_embedded(chunks, "number", "content").withColumnRenamed("number", "id"), "vectors")
     texts = chunks.select(F.col("number").alias("doc_id"), F.col("content").alias("text"))
+    at = f"{_shared(spark)}/words-{uuid.uuid4().hex}"
+    postings.append(texts, at)
+    index = postings.Index(spark, at)
 
     def retrieve(questions):
         asked = saved(questions.withColumn("query", F.monotonically_increasing_id()), "asked")
         queries = _embedded(asked, "query", "text")
         by_vector = vector.diverse(vector.nearest(queries, vectors), queries, vectors)
-        by_words = bm25.top_documents(asked.select(F.col("query").alias("question"), "text"), texts)
+        by_words = postings.search(index, asked.select(F.col("query").alias("question"), "text"), written)
         one = by_words.select(F.col("question").alias("query"), F.lit(0).alias("retriever"), "rank", F.lit(DEFAULTS.BM25_WEIGHT).alias("weight"), F.col("doc").alias("id"))
         fused = fusion.fuse(one.unionByName(by_vector.select("query", F.lit(1).alias("retriever"), "rank", F.lit(DEFAULTS.VECTOR_WEIGHT).alias("weight"), "id")))
         found = fused.join(texts.withColumnRenamed("doc_id", "id"), "id").select("query", "rank", F.col("text").alias("content"))
