@@ -19,7 +19,7 @@ from corvine.functions import prompts as P
 from corvine.functions import tables as M
 from corvine.functions import text as X
 from corvine.functions import verdicts as V
-from corvine.operators import bm25, chart_flow, context, embed, fusion, manifest, numbering, postings, splitter, store, vector, workflow
+from corvine.operators import bm25, chart_flow, context, embed, fusion, ivf, manifest, numbering, postings, splitter, store, vector, workflow
 from corvine.sources import files, pages
 from corvine.streaming import rate_limit as R
 
@@ -384,6 +384,15 @@ fr AS (SELECT query, id, score, row_number() OVER (PARTITION BY query ORDER BY s
 """
 
 
+@query()
+def knn_indexed(spark, sf):
+    """What ``knn_topk`` finds, by an index of lists and codes; recall against it is measured in a test."""
+    vectors, at = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), f"{_shared(spark)}/vectors-{uuid.uuid4().hex}"
+    ivf.build(vectors, at)
+    asked = vectors.filter(F.col("id") % 100 == 0).select(F.col("id").alias("query"), "embedding")
+    return ivf.search(asked, at, written)
+
+
 @query(f"WITH {_RRF} SELECT query, id, score, CAST(rank AS INTEGER) AS rank FROM fr")
 def rrf_fusion(spark, sf):
     return fusion.fuse(_lists(spark, sf))

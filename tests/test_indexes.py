@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 import uuid
 
+import numpy as np
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvine.operators import bm25, postings
+from corvine.operators import bm25, ivf, postings, vector
 
 
 @pytest.fixture
@@ -57,3 +58,37 @@ def test_stored_words(spark, folder, save):
     assert looked_at["left"] + 4 * 4 < looked_at["zones"]  # zones that no search has read
     postings.append(docs.limit(0), folder)
     assert postings.Index(spark, folder).stats().first().n == len(texts)
+
+
+@pytest.mark.parametrize("clusters", [30, 0])
+def test_vector_index(spark, folder, save, clusters):
+    """Recall of all queries against the exact search, of vectors with and without clusters; null vectors; later additions."""
+    r = np.random.default_rng(2)
+    x = r.standard_normal((4000, 32))
+    if clusters:
+        x = 0.4 * x + r.standard_normal((clusters, 32))[r.integers(0, clusters, 4000)]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.astype(np.float32).tolist())] + [(5000, None)], "id long, embedding array<float>").repartition(4)
+    ivf.build(rows.filter("id % 4 <> 3"), folder, k=20)
+    ivf.add(rows.filter("id % 4 = 3"), folder)
+    asked = rows.filter("id % 50 = 0").select(F.col("id").alias("query"), "embedding")
+    found = ivf.search(asked, folder, save, k=20, block=300)
+    got, want = {(a.query, a.id): a for a in found.collect()}, {(a.query, a.id): a for a in vector.nearest(asked, rows, 20).collect()}
+    assert len(got) == len(want) == 80 * 20
+    assert len(got.keys() & want.keys()) / len(want) >= 0.9
+    assert all(abs(got[k].similarity - want[k].similarity) < 1e-8 for k in got.keys() & want.keys())
+    assert ivf.model_at(spark, folder).probes < len(ivf.model_at(spark, folder).centres)
+    assert spark.read.parquet(f"{folder}/entries").count() == 4000
+
+
+def test_vector_index_of_given_vectors(spark):
+    from corvine.plans import queries
+
+    at = "/root/testdata/sf0.01"
+    got, want = ({(a["query"], a["id"]) for a in queries.QUERIES[name](spark, at).collect()} for name in ("knn_indexed", "knn_topk"))
+    assert len(got & want) / len(want) >= 0.9
+
+
+def test_empty_vector_index(spark, folder, save):
+    rows = spark.createDataFrame([], "id long, embedding array<float>")
+    ivf.build(rows, folder)
+    assert ivf.search(rows.withColumnRenamed("id", "query"), folder, save).count() == 0
