@@ -19,7 +19,7 @@ from corvine.functions import prompts as P
 from corvine.functions import tables as M
 from corvine.functions import text as X
 from corvine.functions import verdicts as V
-from corvine.operators import bm25, chart_flow, context, embed, fusion, ivf, manifest, numbering, postings, splitter, store, vector, workflow
+from corvine.operators import bm25, chart_flow, context, embed, fusion, ivf, manifest, numbering, postings, splitter, store, vector, versioned, workflow
 from corvine.sources import files, pages
 from corvine.streaming import rate_limit as R
 
@@ -851,3 +851,30 @@ def prompt_kinds(spark, sf):
     """Every kind of prompt in turn."""
     kinds = F.coalesce(*[F.when(F.col("turn") % len(_KINDS) == i, P.prompt(kind, question=F.col("text"))) for i, kind in enumerate(_KINDS)])
     return table(spark, sf, "conversations").select("conv_id", "turn", kinds.alias("prompt"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'again' WHEN doc_id % 5 = 0 THEN 'changed' ELSE coalesce(text, '') END AS text FROM documents
+WHERE doc_id % 11 = 0 OR ((doc_id % 3 <> 1 OR doc_id % 5 = 0) AND doc_id % 7 <> 0)
+""")
+def versioned_store(spark, sf):
+    """A table that documents are put into, changed, deleted from, compacted, and put into again; read at its last version."""
+    docs, at = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), f"{_shared(spark)}/versions-{uuid.uuid4().hex}"
+    versioned.write(docs.filter("doc_id % 3 <> 1"), at)
+    versioned.write(docs.filter("doc_id % 5 = 0").withColumn("text", F.lit("changed")), at)
+    versioned.delete(docs.filter("doc_id % 7 = 0").select("doc_id"), at)
+    versioned.compact(spark, at, docs.schema)
+    versioned.write(docs.filter("doc_id % 11 = 0").withColumn("text", F.lit("again")), at)
+    return versioned.read(spark, at, docs.schema)
+
+
+@query("SELECT doc_id, sha256(coalesce(text, '')) AS content_hash FROM documents")
+def stream_index(spark, sf):
+    """Documents read as a stream into a table with versions; a second stream over the same files repeats its epochs and adds nothing."""
+    folder, source = f"{_shared(spark)}/stream-{uuid.uuid4().hex}", f"{sf}/documents.parquet*"
+    schema = table(spark, sf, "documents").schema
+    made = lambda df: df.dropDuplicates(["doc_id"]).select("doc_id", I.sha256(F.coalesce("text", F.lit(""))).alias("content_hash"))
+    for turn in range(2):
+        rows = spark.readStream.schema(schema).parquet(source)
+        versioned.stream_into(rows, f"{folder}/table", f"{folder}/checkpoint-{turn}", "documents", made).awaitTermination()
+    return versioned.read(spark, f"{folder}/table", "doc_id long, content_hash string")

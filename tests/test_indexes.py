@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import random
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvine.operators import bm25, ivf, postings, vector
+from corvine.operators import bm25, ivf, postings, vector, versioned
 
 
 @pytest.fixture
@@ -92,3 +93,69 @@ def test_empty_vector_index(spark, folder, save):
     rows = spark.createDataFrame([], "id long, embedding array<float>")
     ivf.build(rows, folder)
     assert ivf.search(rows.withColumnRenamed("id", "query"), folder, save).count() == 0
+
+
+def contents(spark, at, **more):
+    return {r.doc_id: r.text for r in versioned.read(spark, at, "doc_id long, text string", **more).collect()}
+
+
+def test_versions(spark, folder):
+    put = lambda *rows: versioned.write(spark.createDataFrame(list(rows), "doc_id long, text string"), folder)
+    assert contents(spark, folder) == {} and versioned.compact(spark, folder, "doc_id long, text string") is None
+    assert put((1, "a"), (2, "b"), (None, "n")) == 1 and put((2, "c"), (3, None)) == 2
+    assert versioned.delete(spark.createDataFrame([(1,), (9,)], "doc_id long"), folder) == 3
+    assert contents(spark, folder) == {2: "c", 3: None, None: "n"} and contents(spark, folder, version=1) == {1: "a", 2: "b", None: "n"}
+    assert versioned.compact(spark, folder, "doc_id long, text string") == 4 and put((1, "back")) == 5
+    assert contents(spark, folder) == {1: "back", 2: "c", 3: None, None: "n"} and contents(spark, folder, version=2) == {1: "a", 2: "c", 3: None, None: "n"}
+    # a version that came while a compaction worked stays on top of it
+    merged = versioned.read
+    try:
+        versioned.read = lambda *a, **k: (put((2, "between")), merged(*a, **k))[1]
+        versioned.compact(spark, folder, "doc_id long, text string")
+    finally:
+        versioned.read = merged
+    assert contents(spark, folder)[2] == "between"
+
+
+def test_versions_of_many_writers(spark, folder):
+    """Writers at once, each with rows of its own and one row that all of them write: nothing is lost, one of them is the last."""
+    with ThreadPoolExecutor(6) as pool:
+        got = list(pool.map(lambda i: versioned.write(spark.createDataFrame([(i, f"w{i}"), (100, f"w{i}")], "doc_id long, text string"), folder), range(6)))
+    assert sorted(got) == [1, 2, 3, 4, 5, 6]
+    found = contents(spark, folder)
+    assert {i: found[i] for i in range(6)} == {i: f"w{i}" for i in range(6)} and found[100] == f"w{got.index(6)}"
+    # two that carry the same epoch: one commit
+    with ThreadPoolExecutor(4) as pool:
+        again = list(pool.map(lambda i: versioned.write(spark.createDataFrame([(200 + i, "e")], "doc_id long, text string"), folder, ("stream", 7)), range(4)))
+    assert sorted(x is None for x in again) == [False, True, True, True] and len(contents(spark, folder)) == 8
+
+
+def test_stream_that_fails_between_write_and_commit(spark, folder, monkeypatch):
+    for i in range(3):
+        spark.createDataFrame([(i, f"t{i}"), (10 + i, f"u{i}")], "doc_id long, text string").write.parquet(f"{folder}/in/{i}")
+    start = lambda checkpoint: versioned.stream_into(
+        spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*"), f"{folder}/table", f"{folder}/{checkpoint}", "docs"
+    )
+    commit = versioned._committed
+    calls = []
+
+    def failing(*a):
+        calls.append(a)
+        if len(calls) == 2:
+            raise OSError("lost before the commit")
+        out = commit(*a)
+        if len(calls) == 4:
+            raise OSError("lost behind the commit")
+        return out
+
+    monkeypatch.setattr(versioned, "_committed", failing)
+    for _ in range(2):
+        with pytest.raises(Exception, match="lost"):
+            start("checkpoint").awaitTermination()
+    monkeypatch.setattr(versioned, "_committed", commit)
+    start("checkpoint").awaitTermination()
+    versions = versioned.log(spark, f"{folder}/table")
+    assert len(versions) == len({r.epoch for r in versions}) >= 3
+    assert contents(spark, f"{folder}/table") == {k + i: f"{c}{i}" for i in range(3) for k, c in ((0, "t"), (10, "u"))}
+    start("another").awaitTermination()  # without the checkpoint: the same epochs once more
+    assert len(versioned.log(spark, f"{folder}/table")) == len(versions)
