@@ -20,7 +20,7 @@ from corvine.functions import tables as M
 from corvine.functions import text as X
 from corvine.functions import verdicts as V
 from corvine.operators import bm25, chart_flow, context, embed, fusion, ivf, manifest, numbering, postings, splitter, store, vector, versioned, workflow
-from corvine.sources import files, pages
+from corvine.sources import files, page_format, pages
 from corvine.streaming import rate_limit as R
 
 QUERIES: dict = {}
@@ -878,3 +878,14 @@ def stream_index(spark, sf):
         rows = spark.readStream.schema(schema).parquet(source)
         versioned.stream_into(rows, f"{folder}/table", f"{folder}/checkpoint-{turn}", "documents", made).awaitTermination()
     return versioned.read(spark, f"{folder}/table", "doc_id long, content_hash string")
+
+
+@query("SELECT doc_id, replace(coalesce(text, ''), chr(12), ' ') AS text FROM documents")
+def page_files(spark, sf):
+    """Documents written as files of pages, a page a document, and read back by the page source in partitions of a file's pages."""
+    docs, at = table(spark, sf, "documents"), f"{_shared(spark)}/pages-{uuid.uuid4().hex}"
+    page = F.concat(F.col("doc_id").cast("string"), F.lit("\n"), F.replace(F.coalesce("text", F.lit("")), F.lit("\f"), F.lit(" ")))
+    docs.select(page.alias("value")).write.option("lineSep", "\f").text(at)
+    page_format.register(spark)
+    read = spark.read.format("corvine_pages").option("share", 4 << 20).load(at)
+    return read.select(F.substring_index("text", "\n", 1).cast("long").alias("doc_id"), F.expr("substring(text, locate('\n', text) + 1)").alias("text"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import random
 import uuid
 from concurrent.futures import ThreadPoolExecutor
@@ -12,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvine.operators import bm25, ivf, postings, vector, versioned
+from corvine.sources import page_format
 
 
 @pytest.fixture
@@ -159,3 +162,43 @@ def test_stream_that_fails_between_write_and_commit(spark, folder, monkeypatch):
     assert contents(spark, f"{folder}/table") == {k + i: f"{c}{i}" for i in range(3) for k, c in ((0, "t"), (10, "u"))}
     start("another").awaitTermination()  # without the checkpoint: the same epochs once more
     assert len(versioned.log(spark, f"{folder}/table")) == len(versions)
+
+
+def test_page_source(spark, tmp_path):
+    page_format.register(spark)
+    at = tmp_path / "pages"
+    (at / "deep").mkdir(parents=True)
+    (at / "a.txt").write_bytes(b"one\ftwo \xff\fthree\f")
+    (at / "deep" / "b.txt").write_bytes("ü\f\fx".encode())
+    (at / "empty.txt").write_bytes(b"")
+    (at / "_hidden.txt").write_bytes(b"no")
+    read = lambda **o: spark.read.format("corvine_pages").options(**o).load(str(at))
+    want = [("a.txt", 1, 3, "one"), ("a.txt", 2, 3, "two �"), ("a.txt", 3, 3, "three"), ("b.txt", 1, 3, "ü"), ("b.txt", 2, 3, ""), ("b.txt", 3, 3, "x")]
+    for share in ("2", "1000"):
+        got = read(share=share).select(F.substring_index("path", "/", -1), "page", "n_pages", "text")
+        assert sorted(map(tuple, got.collect())) == want
+    assert read(share="2").rdd.getNumPartitions() > 6
+    one = read().filter(F.col("path") == str(at / "a.txt")).filter("page >= 2")
+    assert one.rdd.getNumPartitions() == 1 and sorted(r.text for r in one.collect()) == ["three", "two �"]
+    assert {r.file_hash for r in one.collect()} == {hashlib.sha256(b"one\ftwo \xff\fthree\f").hexdigest()}
+    (tmp_path / "none").mkdir()
+    assert spark.read.format("corvine_pages").load(str(tmp_path / "none")).count() == 0
+
+
+def test_page_stream(spark, tmp_path):
+    """Files that arrive, a restart between them, and no file twice."""
+    page_format.register(spark)
+    at = tmp_path / "pages"
+    at.mkdir()
+
+    def run():
+        rows = spark.readStream.format("corvine_pages").load(str(at))
+        rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.text for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    for i, text in enumerate((b"a\fb", b"c", b"d\f")):
+        (at / f"{9 - i}.txt").write_bytes(text)
+        os.utime(at / f"{9 - i}.txt", (1000 + i, 1000 + i))
+        if i == 1:
+            assert run() == ["a", "b", "c"]
+    assert run() == ["a", "b", "c", "d"] and run() == ["a", "b", "c", "d"]
