@@ -76,3 +76,42 @@ def limited_stream(calls: DataFrame, window: int = DEFAULTS.RATE_WINDOW_S, most:
 
     rows = calls.withWatermark("at", late).select("key", "at", F.unix_micros("at").alias("micros"), "id")
     return rows.groupBy("key").applyInPandasWithState(step, "id long, admitted boolean", "times array<long>", "append", "EventTimeTimeout")
+
+
+def limited_keys(calls: DataFrame, window: int = DEFAULTS.RATE_WINDOW_S, most: int = DEFAULTS.RATE_MAX_CALLS, late: str = "1 hour") -> DataFrame:
+    """``limited_stream`` with a list of times and a timer as state of each key, over a RocksDB state store.
+
+    The list has at most ``most`` times, so a key's state is small whatever its number of calls; only what changes is written.
+    A timer stands a window behind the last time that the list has; when the watermark passes it, the state is removed.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Limiter(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle, self.times = handle, handle.getListState("times", "at long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            found = [(f["micros"].to_numpy(), f["id"].to_numpy()) for f in rows]
+            times, ids = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.lexsort((ids, times))
+            log = Log(window, most, [x[0] for x in self.times.get()])
+            admitted = [log.admit(t) for t in times[order].tolist()]
+            self.times.put([(t,) for t in log.times])
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            over = (log.times[-1] + log.window) // 1000 + 1
+            self.handle.registerTimer(max(over, timerValues.getCurrentWatermarkInMs() + 1))
+            yield pd.DataFrame({"id": ids[order], "admitted": admitted})
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            self.times.clear()
+            yield pd.DataFrame({"id": np.zeros(0, np.int64), "admitted": np.zeros(0, bool)})
+
+        def close(self) -> None:
+            pass
+
+    calls.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = calls.withWatermark("at", late).select("key", "at", F.unix_micros("at").alias("micros"), "id")
+    return rows.groupBy("key").transformWithStateInPandas(Limiter(), "id long, admitted boolean", "Append", "EventTime")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import os
 import random
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from corvine.operators import bm25, ivf, postings, vector, versioned
 from corvine.sources import page_format
+from corvine.streaming import rate_limit
 
 
 @pytest.fixture
@@ -202,3 +204,30 @@ def test_page_stream(spark, tmp_path):
         if i == 1:
             assert run() == ["a", "b", "c"]
     assert run() == ["a", "b", "c", "d"] and run() == ["a", "b", "c", "d"]
+
+
+def test_limiter_with_list_state(spark, tmp_path):
+    """Micro-batches with a restart in between, equal to the batch; the state of keys goes with the watermark."""
+    start = datetime.datetime(2024, 1, 1)
+    calls = [(i % 3, start + datetime.timedelta(minutes=7 * i), i) for i in range(90)] + [(9, start + datetime.timedelta(days=3), 1000)]
+    frame = spark.createDataFrame(calls, "key long, at timestamp, id long")
+    (tmp_path / "in").mkdir()
+
+    def run(first, last, turn):
+        frame.filter(F.col("id").between(first, last)).coalesce(1).write.parquet(str(tmp_path / "in" / str(turn)))
+        stream = spark.readStream.schema(frame.schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        out = rate_limit.limited_keys(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        out.awaitTermination(120)
+        return out.lastProgress
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    try:
+        run(0, 40, 0)
+        assert run(41, 89, 1)["stateOperators"][0]["numRowsTotal"] > 0
+        run(1000, 1000, 2)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert rows_of(got, "id", "admitted") == rows_of(rate_limit.limited(frame), "id", "admitted")
+    state = spark.read.format("statestore").option("stateVarName", "times").load(str(tmp_path / "c"))
+    assert {r.key[0] for r in state.select("key").collect()} == {9}
