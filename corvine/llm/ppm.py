@@ -9,9 +9,12 @@ a sum over its bytes; the language with the shortest code wins.
 The trees are fitted on a sample of labelled texts of about ``SAMPLE_BYTES`` bytes a language (different texts in the order
 of a hash, the last one cut, so that each language is learned and the bound holds whatever the lengths and copies; of a
 smaller corpus each text is used once). Spark counts contexts
-over the sample; contexts seen fewer than ``MIN_COUNT`` times are pruned, and of the most frequent ``NODES`` a language are
-kept, or as many fewer as keep the tables, which are broadcast, within ``MODEL_BYTES`` for any number of languages. The trees share their nodes: a table leads from a node to the one with one more byte of context, and a table
-for each language has the code length of each byte at each node, so that scoring is a few vectorised look-ups a byte.
+over the sample. Languages go in groups of up to ``GROUP``. Of a group, contexts seen fewer than ``MIN_COUNT`` times are
+pruned and the ``NODES`` times its languages most frequent kept, so a tree has the same size among two languages as among
+hundreds. Only the counts at these contexts are broadcast, some hundred kilobytes a language. A worker makes tables of one
+group at a time (at most about ``MODEL_BYTES``; a single group's stay): the trees of a group share their nodes, a table leads
+from a node to the one with one more byte of context, and a table for each language has the code length of each byte at each
+node, so that scoring is a few vectorised look-ups a byte.
 Texts are scored whole, in segments of ``SEGMENT`` bytes that overlap by the longest context.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0 and no code length; if nothing can be
@@ -25,9 +28,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvine.llm.common import packed, read, unpacked
+from corvine.llm.common import packed, read, unpacked, written
 
-ORDER, MIN_COUNT, NODES, MODEL_BYTES, SAMPLE_BYTES, SEGMENT = 4, 24, 3_000, 1 << 27, 800_000, 1 << 19
+ORDER, MIN_COUNT, NODES, SAMPLE_BYTES, SEGMENT = 4, 24, 3_000, 800_000, 1 << 19
+#: Bytes of the tables of one group, and languages in it: five times ``NODES`` nodes, with tables for all bytes, stay within.
+MODEL_BYTES = 1 << 27
+GROUP = next(g for g in range(99, 0, -1) if 4 * 257 * NODES * g * (g + 2) <= MODEL_BYTES)
 #: What stands before a text.
 BEFORE = b"\n" * ORDER
 UNDETERMINED = "und"
@@ -94,23 +100,18 @@ def count_contexts(texts: DataFrame) -> DataFrame:
 
 
 class Model:
-    """The trees of all languages as look-up tables."""
+    """The trees of a group of languages as look-up tables."""
 
-    def __init__(self, langs: list[str], k: np.ndarray, key: np.ndarray, lang: np.ndarray, n: np.ndarray, max_nodes: int | None = None):
+    def __init__(self, langs: list[str], k: np.ndarray, key: np.ndarray, lang: np.ndarray, n: np.ndarray):
         self.langs = langs
         seen = np.unique(np.append(key[k == 0], list(BEFORE)))
         self.symbol = np.full(256, len(seen), dtype=np.int32)  # bytes that were never seen share one symbol
         self.symbol[seen] = np.arange(len(seen))
         width = len(seen) + 1
-        if max_nodes is None:
-            max_nodes = min(NODES * len(langs), MODEL_BYTES // (4 * width * (len(langs) + 2)))
         context = key >> 8
         (tags, inverse) = np.unique(np.stack([k, context], axis=1), axis=0, return_inverse=True)
         inverse = inverse.reshape(-1)
-        total = np.bincount(inverse, weights=n)
-        # frequent contexts first, of equal ones the shorter: a context's suffixes always come before it
-        order = np.lexsort((tags[:, 1], tags[:, 0], -total))[:max_nodes]
-        order = order[np.lexsort((tags[order, 1], tags[order, 0]))]
+        order = np.lexsort((tags[:, 1], tags[:, 0]))
         node_of = {(int(a), int(b)): i for i, (a, b) in enumerate(tags[order])}
         nodes = len(order)
         self.bits = np.empty((len(langs), nodes, width), dtype=np.float32)
@@ -169,21 +170,43 @@ class Model:
             np.add.at(out[:, j], which, total[ends] - total[begins])
 
 
-def fit(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES, min_count: int = MIN_COUNT, max_nodes: int | None = None) -> Model | None:
-    """The trees of (text, lang), bounded by the sample; None if there is no labelled text."""
+class Trees:
+    """The counts of all groups of languages: (langs, k, key, lang, n) each, of which tables are made as they are needed."""
+
+    def __init__(self, groups: list[tuple]):
+        self.groups = groups
+        self.langs = [x for g in groups for x in g[0]]
+        self.only: Model | None = None
+
+    def code_lengths(self, texts: list[bytes]) -> np.ndarray:
+        """Bits of each text under each language."""
+        if len(self.groups) == 1:
+            self.only = self.only or Model(*self.groups[0])
+            return self.only.code_lengths(texts)
+        return np.concatenate([Model(*g).code_lengths(texts) for g in self.groups], axis=1)
+
+
+def fit(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES, min_count: int = MIN_COUNT, max_nodes: int | None = None) -> Trees | None:
+    """The trees of (text, lang), bounded by the sample; None if there is no labelled text. ``max_nodes`` is of a group."""
     known = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "text")
-    counts = count_contexts(sample(known, sample_bytes))
-    context = F.shiftright("key", 8)
-    common = counts.groupBy("k", context.alias("context")).agg(F.sum("n").alias("m")).filter((F.col("m") >= min_count) | (F.col("k") == 0)).select("k", "context")
-    table = counts.withColumn("context", context).join(common, ["k", "context"], "left_semi").select("lang", "k", "key", "n").toArrow()
-    langs = sorted(set(table.column("lang").to_pylist()))
-    index = {x: i for i, x in enumerate(langs)}
+    counts = written(count_contexts(sample(known, sample_bytes)), "contexts")
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
     if not langs:
         return None
-    return Model(langs, table.column("k").to_numpy().astype(np.int64), table.column("key").to_numpy(), np.array([index[x] for x in table.column("lang").to_pylist()]), table.column("n").to_numpy().astype(np.float64), max_nodes)
-
-
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+    place = F.create_map(*[x for i, lang in enumerate(langs) for x in (F.lit(lang), F.lit(i))])[F.col("lang")]
+    counts = counts.withColumns({"at": place, "context": F.shiftright("key", 8)}).withColumn("group", F.floor(F.col("at") / GROUP).cast("int"))
+    common = counts.groupBy("group", "k", "context").agg(F.sum("n").alias("m")).filter((F.col("m") >= min_count) | (F.col("k") == 0))
+    # frequent contexts first, of equal ones the shorter: a context's suffixes always come before it
+    order = F.row_number().over(Window.partitionBy("group").orderBy(F.desc("m"), "k", "context"))
+    sizes = F.least(F.lit(GROUP), F.lit(len(langs)) - F.col("group") * GROUP)
+    kept = common.withColumn("order", order).filter(F.col("order") <= (F.lit(max_nodes) if max_nodes else NODES * sizes)).select("group", "k", "context")
+    # the counts at a bounded number of contexts a language
+    table = counts.join(kept, ["group", "k", "context"], "left_semi").select("group", "at", F.col("k").cast("long").alias("k"), "key", F.col("n").cast("double").alias("n")).toArrow()
+    group, at, k, key, n = (table.column(c).to_numpy() for c in ("group", "at", "k", "key", "n"))
+    return Trees([(langs[g * GROUP : (g + 1) * GROUP], k[own], key[own], at[own] - g * GROUP, n[own]) for g in range(-(-len(langs) // GROUP)) for own in (group == g,)])
+
+
+def identify(docs: DataFrame, model: Trees | None) -> DataFrame:
     """Adds lang_pred, score (how sure the winner is, given equal odds before) and bits_per_byte of the winner."""
     made = T.StructType.fromDDL("lang_pred string, score double, bits_per_byte double")
     if model is None:

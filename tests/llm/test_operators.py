@@ -252,6 +252,23 @@ def test_ppm_segments(spark, monkeypatch):
     assert np.allclose(model.code_lengths([text, b"hi"])[0], whole[0])
 
 
+@pytest.mark.parametrize("n_langs", [3, 23])
+def test_ppm_many_languages(spark, n_langs):
+    """Invented languages, told apart by which syllables they use; very long texts; the same code lengths in any company."""
+    r = random.Random(17)
+    syllables = ["".join(x) for x in itertools.product("bdfgklmnprstvz", "aeiouäé", ("", "n", "s"))]
+    own = {f"l{i:02}": r.sample(syllables, 30) for i in range(n_langs)}
+    say = lambda lang, n: " ".join("".join(r.choices(own[lang], k=r.randint(1, 3))) for _ in range(n))
+    model = ppm.fit(spark.createDataFrame([(lang, say(lang, 150)) for lang in own for _ in range(8)], "lang string, text string"))
+    assert len(model.groups) == -(-n_langs // ppm.GROUP) and model.langs == sorted(own)
+    held_out = [(lang, say(lang, 12)) for lang in own for _ in range(5)] + [("l01", say("l01", 120_000))]
+    got = ppm.identify(spark.createDataFrame(held_out, "want string, text string"), model).collect()
+    assert len(got) == len(held_out) and sum(x.want == x.lang_pred for x in got) >= 0.98 * len(got)
+    assert all(x.score > 0.9 for x in got if len(x.text) > 1000)
+    sizes = [sum(len({(k, key >> 8) for k, key in zip(g[1].tolist(), g[2].tolist(), strict=True)}) for g in [group]) for group in model.groups]
+    assert all(n <= ppm.NODES * len(g[0]) for n, g in zip(sizes, model.groups, strict=True)) and min(sizes) > 500
+
+
 def test_ppm_identify(docs, empty):
     model = ppm.fit(docs)
     got = ppm.identify(docs, model)
