@@ -19,7 +19,7 @@ from corvine.functions import prompts as P
 from corvine.functions import tables as M
 from corvine.functions import text as X
 from corvine.functions import verdicts as V
-from corvine.operators import bm25, chart_flow, context, embed, fusion, ivf, manifest, numbering, postings, splitter, store, vector, versioned, workflow
+from corvine.operators import bm25, chart_flow, context, embed, fusion, hash_tree, ivf, manifest, numbering, postings, splitter, store, vector, versioned, workflow
 from corvine.sources import files, page_format, pages
 from corvine.streaming import rate_limit as R
 
@@ -889,3 +889,17 @@ def page_files(spark, sf):
     page_format.register(spark)
     read = spark.read.format("corvine_pages").option("share", 4 << 20).load(at)
     return read.select(F.substring_index("text", "\n", 1).cast("long").alias("doc_id"), F.expr("substring(text, locate('\n', text) + 1)").alias("text"))
+
+
+@query("""
+SELECT doc_id AS id, 'gone' AS change FROM documents WHERE doc_id % 97 = 0
+UNION ALL SELECT doc_id, 'changed' FROM documents WHERE doc_id % 89 = 0 AND doc_id % 97 <> 0
+UNION ALL SELECT doc_id + 1000000000, 'new' FROM documents WHERE doc_id % 101 = 0
+""")
+def docset_difference(spark, sf):
+    """What has changed between two kept sets of documents: some are left out of the second, some have another text, some are new."""
+    docs, at = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), I.sha256(F.coalesce("text", F.lit(""))).alias("digest")), f"{_shared(spark)}/sets-{uuid.uuid4().hex}"
+    changed = docs.filter("id % 97 <> 0").withColumn("digest", F.when(F.col("id") % 89 == 0, "other").otherwise(F.col("digest")))
+    hash_tree.keep(docs, f"{at}/before")
+    hash_tree.keep(changed.unionByName(docs.filter("id % 101 = 0").withColumn("id", F.col("id") + 1_000_000_000)), f"{at}/after")
+    return hash_tree.difference(spark, f"{at}/before", f"{at}/after")

@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvine.operators import bm25, ivf, postings, vector, versioned
+from corvine.operators import bm25, hash_tree, ivf, postings, vector, versioned
 from corvine.sources import page_format
 from corvine.streaming import rate_limit
 
@@ -231,3 +231,24 @@ def test_limiter_with_list_state(spark, tmp_path):
     assert rows_of(got, "id", "admitted") == rows_of(rate_limit.limited(frame), "id", "admitted")
     state = spark.read.format("statestore").option("stateVarName", "times").load(str(tmp_path / "c"))
     assert {r.key[0] for r in state.select("key").collect()} == {9}
+
+
+@pytest.mark.parametrize("more", [0, 3000])
+def test_difference_by_hash_tree(spark, folder, more):
+    """As the full comparison; few leaves are read; trees of different depth; empty sets, nulls and repeated ids."""
+    rows = [(i, f"d{i}") for i in range(2000)] + [(None, "n"), (7, "twice"), (8, None)]
+    other = [r for r in rows if r[0] not in (3, 500)] + [(i, "more") for i in range(9000, 9000 + more)]
+    other[20] = (other[20][0], "changed")
+    keep = lambda some, name, **o: hash_tree.keep(spark.createDataFrame(some, "id long, digest string").repartition(3), f"{folder}/{name}", **o)
+    keep(rows, "a", leaf=10)
+    keep(other, "b", leaf=10)
+    keep(list(reversed(rows)), "c", leaf=10)
+    keep([], "none")
+    keep(rows, "deep", leaf=1)
+    found = lambda x, y: sorted(map(tuple, hash_tree.difference(spark, f"{folder}/{x}", f"{folder}/{y}").collect()), key=str)
+    want = [(3, "gone"), (500, "gone"), (other[20][0], "changed")] + [(i, "new") for i in range(9000, 9000 + more)]
+    assert found("a", "b") == sorted(want, key=str) and found("deep", "b") == sorted(want, key=str)
+    assert hash_tree.root(spark, f"{folder}/a") == hash_tree.root(spark, f"{folder}/c") != hash_tree.root(spark, f"{folder}/b") and found("a", "c") == []
+    if not more:
+        assert hash_tree.changed_leaves(spark, f"{folder}/a", f"{folder}/b")[1].count() <= 3
+    assert len(found("none", "a")) == len(found("a", "none")) == 2001 and {c for _, c in found("none", "a")} == {"new"}
