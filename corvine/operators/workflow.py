@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import re
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,7 +67,12 @@ class Offline:
 
 
 class Prompted(Offline):
-    """A provider that asks a service: ``complete`` maps a prompt to a text. Where that fails, the offline answer stands."""
+    """A provider that asks a service: ``complete`` maps a prompt to a text. Where that fails, the offline answer stands.
+
+    A service takes time rather than processors, so some calls run at a time in each task.
+    """
+
+    AT_ONCE = 16
 
     def __init__(self, complete):
         self.complete = complete
@@ -113,6 +119,7 @@ class Prompted(Offline):
 def called(provider, method: str, returns: str, *columns: Column, failing=None) -> Column:
     """A provider's method over columns, in Arrow batches; not moved or repeated by the optimiser, as a call may cost money.
 
+    Of a batch, as many rows are asked at a time as the provider's ``AT_ONCE`` says.
     ``failing`` maps an error to a value in its place; without it an error ends the job. A method that returns fields has
     them in ``returns`` and gives a dict.
     """
@@ -120,7 +127,7 @@ def called(provider, method: str, returns: str, *columns: Column, failing=None)
 
     import pandas as pd
 
-    fields = " " in returns
+    fields, at_once = " " in returns, getattr(provider, "AT_ONCE", 1)
 
     def one(row: tuple):
         try:
@@ -133,7 +140,12 @@ def called(provider, method: str, returns: str, *columns: Column, failing=None)
     def run(batches):
         for parts in batches:
             parts = parts if isinstance(parts, tuple) else (parts,)
-            said = [one(row) for row in zip(*(p.tolist() for p in parts), strict=True)]
+            rows = list(zip(*(p.tolist() for p in parts), strict=True))
+            if at_once > 1 and len(rows) > 1:
+                with ThreadPoolExecutor(at_once) as pool:
+                    said = list(pool.map(one, rows))
+            else:
+                said = [one(row) for row in rows]
             yield pd.DataFrame(said, columns=[x.split()[0] for x in returns.split(", ")]) if fields else pd.Series(said, dtype=object if returns == "string" else None)
 
     found = Iterator[pd.DataFrame if fields else pd.Series]

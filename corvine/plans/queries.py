@@ -19,7 +19,7 @@ from corvine.functions import prompts as P
 from corvine.functions import tables as M
 from corvine.functions import text as X
 from corvine.functions import verdicts as V
-from corvine.operators import bm25, chart_flow, context, embed, fusion, hash_tree, ivf, manifest, numbering, postings, splitter, store, vector, versioned, workflow
+from corvine.operators import answers, bm25, chart_flow, context, embed, fusion, hash_tree, ivf, manifest, numbering, postings, splitter, store, vector, versioned, workflow
 from corvine.sources import files, page_format, pages
 from corvine.streaming import rate_limit as R
 
@@ -903,3 +903,19 @@ def docset_difference(spark, sf):
     hash_tree.keep(docs, f"{at}/before")
     hash_tree.keep(changed.unionByName(docs.filter("id % 101 = 0").withColumn("id", F.col("id") + 1_000_000_000)), f"{at}/after")
     return hash_tree.difference(spark, f"{at}/before", f"{at}/after")
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 5 = 3 THEN NULL ELSE length(p) || ':' || substr(p, 1, 12) END AS answer, CASE WHEN turn % 5 = 3 THEN 'ValueError: no answer' END AS error FROM (SELECT conv_id, turn, (turn % 5) || ' ' || coalesce(text, '') AS p FROM conversations)")
+def remembered_answers(spark, sf):
+    """Prompts from ``conversations`` for a provider, with a memory: first a third of them, then all; some prompts fail."""
+
+    def complete(prompt: str) -> str:
+        if prompt.startswith("3"):
+            raise ValueError("no answer")
+        return f"{len(prompt)}:{prompt[:12]}"
+
+    memory = f"{_shared(spark)}/answers-{uuid.uuid4().hex}"
+    said = table(spark, sf, "conversations")
+    prompts = said.select("conv_id", "turn", F.concat((F.col("turn") % 5).cast("string"), F.lit(" "), F.coalesce("text", F.lit(""))).alias("prompt"))
+    answers.answered(prompts.filter("conv_id % 3 = 0"), memory, complete, written)
+    return answers.answered(prompts, memory, complete, written).select("conv_id", "turn", "answer", "error")

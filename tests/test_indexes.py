@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvine.operators import bm25, hash_tree, ivf, postings, vector, versioned
+from corvine.operators import answers, bm25, hash_tree, ivf, postings, vector, versioned
 from corvine.sources import page_format
 from corvine.streaming import rate_limit
 
@@ -252,3 +252,33 @@ def test_difference_by_hash_tree(spark, folder, more):
     if not more:
         assert hash_tree.changed_leaves(spark, f"{folder}/a", f"{folder}/b")[1].count() <= 3
     assert len(found("none", "a")) == len(found("a", "none")) == 2001 and {c for _, c in found("none", "a")} == {"new"}
+
+
+def test_memory_of_answers(spark, tmp_path, save):
+    """Every prompt is asked once in all, over repeated rows, two runs and a task that is lost; failures have a reason and another turn."""
+    calls, memory, broken = tmp_path / "calls.txt", str(tmp_path / "memory"), tmp_path / "broken"
+
+    def complete(prompt):
+        with open(calls, "a") as f:
+            f.write(prompt + "\n")
+        if prompt == "bad" and broken.exists():
+            raise ValueError("out of order")
+        return prompt.upper()
+
+    def lost(prompt):
+        if prompt == "p30" and broken.exists():
+            broken.unlink()
+            os._exit(1)  # the worker, with all that it holds
+        return complete(prompt)
+
+    prompts = [f"p{i}" for i in range(40)] + ["bad"]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(prompts * 2)] + [(99, None)], "id long, prompt string").repartition(3)
+    broken.touch()
+    first = {r.id: r for r in answers.answered(rows.filter("id < 20 OR id = 40"), memory, complete, save, at_a_time=3).collect()}
+    assert first[3].answer == "P3" and first[3].error is None and first[40].answer is None and first[40].error == "ValueError: out of order"
+    with pytest.raises(Exception, match="(?i)worker|exit"):
+        answers.answered(rows, memory, lost, save, at_a_time=1).collect()
+    again = {r.id: r for r in answers.answered(rows, memory, complete, save, at_a_time=1).collect()}
+    assert len(again) == 83 and all(r.answer == (r.prompt and r.prompt.upper()) and r.error is None for r in again.values())
+    asked = calls.read_text().split()
+    assert sorted(x for x in asked if x != "bad") == sorted(prompts[:40]) and 2 <= asked.count("bad") <= 3
