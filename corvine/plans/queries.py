@@ -19,7 +19,7 @@ from corvine.functions import prompts as P
 from corvine.functions import tables as M
 from corvine.functions import text as X
 from corvine.functions import verdicts as V
-from corvine.operators import answers, bm25, chart_flow, context, embed, fusion, hash_tree, ivf, manifest, numbering, postings, splitter, store, vector, versioned, workflow
+from corvine.operators import answers, bm25, chart_flow, context, embed, fusion, hash_tree, ivf, line_voting, manifest, numbering, postings, splitter, store, vector, versioned, workflow
 from corvine.sources import files, page_format, pages
 from corvine.streaming import rate_limit as R
 
@@ -919,3 +919,36 @@ def remembered_answers(spark, sf):
     prompts = said.select("conv_id", "turn", F.concat((F.col("turn") % 5).cast("string"), F.lit(" "), F.coalesce("text", F.lit(""))).alias("prompt"))
     answers.answered(prompts.filter("conv_id % 3 = 0"), memory, complete, written)
     return answers.answered(prompts, memory, complete, written).select("conv_id", "turn", "answer", "error")
+
+
+_TURNS = ", ".join(f"({i}, {c}, {s})" for i, (c, s) in enumerate(line_voting.TURNS))
+
+
+@query(f"""
+WITH px AS (
+  SELECT image, x0 + k * ([1, 0, 1, 2])[d] AS x, y0 + k * ([0, 1, 1, 1])[d] AS y, value FROM (
+    SELECT l_orderkey AS image, l_partkey % 60 AS x0, l_suppkey % 60 AS y0, l_linenumber % 4 + 1 AS d, l_partkey % 256 AS value, unnest(range(0, CAST(l_quantity AS BIGINT) // 2)) AS k FROM lineitem)
+), t(angle, c, s) AS (VALUES {_TURNS}), v AS (
+  SELECT image, angle, CAST(floor((x * c + y * s + 512) / 1024.0::DOUBLE) AS BIGINT) AS distance, count(*) AS votes, min(y * c - x * s) AS low, max(y * c - x * s) AS high FROM px, t GROUP BY ALL HAVING count(*) >= {line_voting.LEAST}
+), p AS (
+  SELECT * FROM v WHERE NOT EXISTS (SELECT 1 FROM v o WHERE o.image = v.image AND abs(o.angle - v.angle) <= 1 AND abs(o.distance - v.distance) <= 1
+    AND (o.votes > v.votes OR (o.votes = v.votes AND (o.angle < v.angle OR (o.angle = v.angle AND o.distance < v.distance)))))
+), l AS (
+  SELECT image, (angle * {line_voting.STEP} + 90) % 180 AS direction, (high - low) / 1024.0::DOUBLE * {line_voting.SCALE} AS length, atan2(c / 1024.0::DOUBLE, -s / 1024.0::DOUBLE) * 180 / pi() AS a, c, s FROM p JOIN t USING (angle)
+), k AS (
+  SELECT *, CASE WHEN length * sqrt(c * c + s * s) / 1024.0::DOUBLE < 50 THEN 'short' WHEN length * sqrt(c * c + s * s) / 1024.0::DOUBLE < 80 THEN 'ignored' WHEN abs(a) < 10 OR abs(a) > 170 THEN 'horizontal' WHEN abs(a) > 80 AND abs(a) < 100 THEN 'vertical' ELSE 'diagonal' END AS kind FROM l
+), n AS (SELECT image, CAST(value // 16 AS BIGINT) AS bin, count(*) AS n FROM px GROUP BY ALL),
+h AS (SELECT image, count(*) FILTER (n > 0.05::DOUBLE * total) AS color_peaks FROM (SELECT *, sum(n) OVER (PARTITION BY image) AS total FROM n) GROUP BY image)
+SELECT image, count(*) AS lines, count(*) FILTER (kind = 'horizontal') AS horizontal, count(*) FILTER (kind = 'vertical') AS vertical, count(*) FILTER (kind = 'diagonal') AS diag, count(*) FILTER (kind = 'short') AS very_short,
+  round(CASE WHEN count(*) > 2 THEN var_pop(direction) ELSE 0 END, 6) AS angle_var, any_value(color_peaks) AS color_peaks
+FROM k JOIN h USING (image) GROUP BY image
+""")
+def picture_features(spark, sf):
+    """Orders as pictures, in which each line item draws a stroke: lines by voting, their classes and spread, and histogram peaks."""
+    d = F.col("l_linenumber") % 4
+    pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (d + 1).cast("int"))
+    rows = table(spark, sf, "lineitem").filter("l_quantity >= 2")
+    strokes = rows.select(F.col("l_orderkey").alias("image"), (F.col("l_partkey") % 60).alias("x0"), (F.col("l_suppkey") % 60).alias("y0"), pick(1, 0, 1, 2).alias("dx"), pick(0, 1, 1, 1).alias("dy"), (F.col("l_partkey") % 256).alias("value"), F.explode(F.expr("sequence(0L, CAST(l_quantity AS BIGINT) DIV 2 - 1)")).alias("k"))
+    pixels = strokes.select("image", (F.col("x0") + F.col("k") * F.col("dx")).alias("x"), (F.col("y0") + F.col("k") * F.col("dy")).alias("y"), "value")
+    found = line_voting.features(line_voting.lines(line_voting.peaks(line_voting.votes(pixels))))
+    return found.join(line_voting.colour_peaks(pixels), "image").withColumn("angle_var", F.round("angle_var", 6))

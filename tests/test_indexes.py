@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvine.operators import answers, bm25, hash_tree, ivf, postings, vector, versioned
+from corvine.operators import answers, bm25, hash_tree, ivf, line_voting, postings, vector, versioned
 from corvine.sources import page_format
 from corvine.streaming import rate_limit
 
@@ -282,3 +282,29 @@ def test_memory_of_answers(spark, tmp_path, save):
     assert len(again) == 83 and all(r.answer == (r.prompt and r.prompt.upper()) and r.error is None for r in again.values())
     asked = calls.read_text().split()
     assert sorted(x for x in asked if x != "bad") == sorted(prompts[:40]) and 2 <= asked.count("bad") <= 3
+
+
+def test_line_voting(spark):
+    """A square, a diagonal and noise: votes and peaks as by plain loops; nothing of an empty picture."""
+    r = random.Random(3)
+    drawn = {1: [(x, 5) for x in range(30)] + [(5, y) for y in range(25)], 2: [(i, i) for i in range(20)], 3: [(r.randint(0, 40), r.randint(0, 40)) for _ in range(60)], 4: [(1, 1), (None, 2)]}
+    pixels = spark.createDataFrame([(i, x, y) for i, some in drawn.items() for x, y in some], "image int, x int, y int")
+    want = {}
+    for i, some in drawn.items():
+        cells: dict = {}
+        for x, y in some:
+            for a, (c, s) in enumerate(line_voting.TURNS):
+                if x is not None:
+                    cells.setdefault((a, (x * c + y * s + 512) // 1024), []).append(y * c - x * s)
+        cells = {k: v for k, v in cells.items() if len(v) >= line_voting.LEAST}
+        for (a, d), v in cells.items():
+            near = [(-len(cells[k]), k) for k in ((a + p, d + q) for p in (-1, 0, 1) for q in (-1, 0, 1)) if k in cells]
+            if min(near)[1] == (a, d):
+                want[i, a, d] = (len(v), min(v), max(v))
+    found = line_voting.peaks(line_voting.votes(pixels.filter("x IS NOT NULL")))
+    assert {(x.image, x.angle, x.distance): (x.votes, x.low, x.high) for x in found.collect()} == want
+    kinds = sorted((x.image, x.kind) for x in line_voting.lines(found).filter("votes >= 20 AND image < 3").collect())
+    assert (1, "horizontal") in kinds and (1, "vertical") in kinds and (2, "diagonal") in kinds
+    assert line_voting.features(line_voting.lines(found)).filter("image = 4").count() == 0
+    boxes = spark.createDataFrame([(1, 10.0, 20.0)] * 6 + [(2, 100.0, 60.0)], "image int, width double, height double")
+    assert sorted((x.image, x.rects, x.large, x.mean_w, x.std_h) for x in line_voting.rectangles(boxes).collect()) == [(1, 6, 0, 10.0, 0.0), (2, 1, 1, 100.0, 0.0)]
