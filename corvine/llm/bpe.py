@@ -37,7 +37,7 @@ from corvine.llm.pieces import Pieces
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: States and pieces that a Python worker remembers.
-STATES, PIECES = 400_000, 400_000
+STATES, PIECES = 200_000, 200_000
 ROOT, NEVER = 0, 1 << 40
 #: With fewer matches than this left, each is read to its end by itself.
 IN_STEP = 16

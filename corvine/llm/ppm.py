@@ -220,9 +220,8 @@ def identify(docs: DataFrame, model: Trees | None) -> DataFrame:
 
         trees = shared.value
         for batch in batches:
-            texts = batch.column(0)
             has = batch.column(1).to_pylist()
-            data = [t.encode() if ok else b"" for t, ok in zip(texts.to_pylist(), has, strict=True)]
+            data = [t if ok else b"" for t, ok in zip(batch.column(0).cast(pa.binary()).to_pylist(), has, strict=True)]
             bits = trees.code_lengths(data)
             best = bits.argmin(axis=1)
             least = bits[np.arange(len(bits)), best]
