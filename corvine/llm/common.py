@@ -72,6 +72,28 @@ def cleaned(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
+def forget() -> None:
+    """Frees what tokenizers remember in this Python worker: it serves one stage after the other, and the next needs the memory."""
+    import ctypes
+    import gc
+    import sys
+
+    import pyarrow as pa
+
+    caches = [getattr(sys.modules.get(f"corvine.llm.{module}"), name, None) for module, name in (("bpe", "codec"), ("tokenbin", "encoder"))]
+    held = [c for c in caches if c is not None and c.cache_info().currsize]
+    for c in held:
+        c.cache_clear()
+    if held:
+        gc.unfreeze()  # their tables refer to each other
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            return
+
+
 def packed(df: DataFrame, *used: str) -> tuple[DataFrame, list[str]]:
     """The columns ``used`` and one struct ``rest`` of all others, so that no name of theirs meets one of an operator's; and their names."""
     rest = [c for c in df.columns if c not in used]

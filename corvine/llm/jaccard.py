@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvine.llm.common import packed, read, unpacked, written
+from corvine.llm.common import forget, packed, read, unpacked, written
 from corvine.llm.components import components
 from corvine.llm.shingles import portions, shingles
 
@@ -78,6 +78,7 @@ def _stored(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
         import zstandard
+        forget()
         from pyspark import TaskContext
 
         pack, at = zstandard.ZstdCompressor(level=3).compress, TaskContext.get().partitionId() << 33

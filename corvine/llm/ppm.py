@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvine.llm.common import packed, read, unpacked, written
+from corvine.llm.common import forget, packed, read, unpacked, written
 
 ORDER, MIN_COUNT, NODES, SAMPLE_BYTES, SEGMENT = 4, 24, 3_000, 800_000, 1 << 19
 #: Bytes of the tables of one group, and languages in it: five times ``NODES`` nodes, with tables for all bytes, stay within.
@@ -80,6 +80,8 @@ def count_contexts(texts: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        forget()
+
         for batch in batches:
             by: dict[str, list[bytes]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -218,6 +220,8 @@ def identify(docs: DataFrame, model: Trees | None) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        forget()
+
         trees = shared.value
         for batch in batches:
             has = batch.column(1).to_pylist()

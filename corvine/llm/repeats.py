@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvine.llm.common import packed, read, unpacked, written
+from corvine.llm.common import forget, packed, read, unpacked, written
 
 LENGTH, GRAM = 200, 32
 #: Bytes of text handled at once in a task; different contexts of one gram that are gathered; contexts sorted at once.
@@ -173,6 +173,7 @@ def _stored(docs: DataFrame, length: int) -> DataFrame:
         import pyarrow as pa
         import xxhash
         import zstandard
+        forget()
         from pyspark import TaskContext
 
         pack, row = zstandard.ZstdCompressor(level=3).compress, TaskContext.get().partitionId() << 33
