@@ -19,7 +19,7 @@ from corvine.functions import prompts as P
 from corvine.functions import tables as M
 from corvine.functions import text as X
 from corvine.functions import verdicts as V
-from corvine.operators import answers, bm25, chart_flow, context, embed, fusion, hash_tree, ivf, line_voting, manifest, numbering, postings, splitter, store, vector, versioned, workflow
+from corvine.operators import answers, bm25, chart_flow, context, embed, fusion, hash_tree, ivf, learned, line_voting, manifest, numbering, postings, splitter, store, vector, versioned, workflow
 from corvine.sources import files, page_format, pages
 from corvine.streaming import rate_limit as R
 
@@ -952,3 +952,28 @@ def picture_features(spark, sf):
     pixels = strokes.select("image", (F.col("x0") + F.col("k") * F.col("dx")).alias("x"), (F.col("y0") + F.col("k") * F.col("dy")).alias("y"), "value")
     found = line_voting.features(line_voting.lines(line_voting.peaks(line_voting.votes(pixels))))
     return found.join(line_voting.colour_peaks(pixels), "image").withColumn("angle_var", F.round("angle_var", 6))
+
+
+@query()
+def learned_embedding(spark, sf):
+    """Vectors of all documents in the directions that most of the corpus lies in; held against a full decomposition in a test."""
+    sparse = written(learned.rows(table(spark, sf, "documents").select("doc_id", "text"), written), "sparse")
+    return learned.embedded(sparse, learned.fit(sparse))
+
+
+@query("""
+WITH c AS (SELECT doc_id, doc_id // 2 AS name, doc_id % 5 AS kind, coalesce(text, '') AS text FROM documents),
+f AS (SELECT name, min(doc_id) AS number FROM c WHERE kind < 3 GROUP BY name)
+SELECT w.doc_id AS wanted, coalesce(f.number, -1) AS number, CASE WHEN c.kind < 2 THEN sha256(c.text) WHEN c.kind = 2 THEN sha256('stored ' || c.doc_id) END AS file_hash
+FROM (SELECT doc_id FROM documents) w LEFT JOIN f ON f.name = w.doc_id LEFT JOIN c ON c.doc_id = f.number
+""")
+def dataset_rows(spark, sf):
+    """Documents as rows of a data set with cells of four kinds and null ones; the first row with each wanted file name."""
+    docs = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("bytes"))
+    kind, path = F.col("doc_id") % 5, F.concat(F.lit("data/"), F.floor(F.col("doc_id") / 2).cast("string"), F.lit(".pdf"))
+    made = [F.struct(path.alias("path"), "bytes"), F.struct(F.struct(path.alias("name")).alias("stream"), "bytes"), path, F.col("bytes"), F.lit(None).cast("string")]
+    parts = [files.cells(docs.filter(kind == i).select("doc_id", cell.alias("pdf")), "pdf", "doc_id") for i, cell in enumerate(made)]
+    stored = docs.filter(kind == 2).groupBy(path.alias("path")).agg(F.min("doc_id").alias("n")).select("path", F.concat(F.lit("stored "), F.col("n").cast("string")).cast("binary").alias("content"))
+    wanted = docs.select(F.concat(F.lit("/tmp/x/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("wanted"))
+    found = files.extracted(wanted, parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).unionByName(parts[4]), stored)
+    return found.select(F.regexp_extract("wanted", r"(\d+)\.pdf", 1).cast("long").alias("wanted"), F.coalesce("number", F.lit(-1)).cast("long").alias("number"), F.sha2("content", 256).alias("file_hash"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvine.config import DEFAULTS
 from corvine.functions import identity as I
@@ -106,5 +107,39 @@ def remove_corrupt(spark: SparkSession, path: str) -> int:
     return len(broken)
 
 
+def cells(rows: DataFrame, column: str, number: str) -> DataFrame:
+    """Rows of a data set whose cell holds a file in one of four kinds -> (number, path, content); null cells are left out.
+
+    A struct with ``path`` and ``bytes``, one with a ``stream`` that has a ``name`` (an opened file), a path, or bytes alone,
+    which have no path. Content is null where the cell has none. Data sets of several kinds are told apart by their
+    column's type and put together by name.
+    """
+    kind, value = rows.schema[column].dataType, F.col(column)
+    none = F.lit(None)
+    if isinstance(kind, T.StructType):
+        path = value["stream"]["name"] if "stream" in kind.names else value["path"] if "path" in kind.names else none
+        content = value["bytes"] if "bytes" in kind.names else none
+    elif isinstance(kind, T.BinaryType):
+        path, content = none, value
+    else:
+        path, content = value.cast("string"), none
+    return rows.filter(value.isNotNull()).select(F.col(number).alias("number"), F.coalesce(path, F.lit("")).alias("path"), content.cast("binary").alias("content"))
+
+
+def extracted(wanted: DataFrame, found: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """(wanted path) x cells -> (wanted, number, path, content): the first row whose file has the same name; null if there is none.
+
+    Content that a cell lacks is taken from ``stored`` files (path, content), where they are given.
+    """
+    name = I.basename(F.col("path"))
+    first = found.filter("path <> ''").groupBy(name.alias("name")).agg(F.min_by(F.struct("number", "path", "content"), "number").alias("first"))
+    out = wanted.select("wanted", I.basename(F.col("wanted")).alias("name")).join(first, "name", "left").select("wanted", "first.*")
+    if stored is None:
+        return out
+    kept = stored.select(F.col("path").alias("s_path"), F.col("content").alias("s_content"))
+    lacking = out.join(kept, F.col("content").isNull() & (F.col("path") == F.col("s_path")), "left")
+    return lacking.select("wanted", "number", "path", F.coalesce("content", "s_content").alias("content"))
+
+
 def parse_pdf(*_):
     raise NotImplementedError("reading PDF needs pdfplumber, which is not installed; pass text or chunks instead")

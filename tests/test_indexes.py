@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvine.operators import answers, bm25, hash_tree, ivf, line_voting, postings, vector, versioned
+from corvine.operators import answers, bm25, hash_tree, ivf, learned, line_voting, postings, vector, versioned
 from corvine.sources import page_format
 from corvine.streaming import rate_limit
 
@@ -308,3 +308,28 @@ def test_line_voting(spark):
     assert line_voting.features(line_voting.lines(found)).filter("image = 4").count() == 0
     boxes = spark.createDataFrame([(1, 10.0, 20.0)] * 6 + [(2, 100.0, 60.0)], "image int, width double, height double")
     assert sorted((x.image, x.rects, x.large, x.mean_w, x.std_h) for x in line_voting.rectangles(boxes).collect()) == [(1, 6, 0, 10.0, 0.0), (2, 1, 1, 100.0, 0.0)]
+
+
+def test_learned_vectors(spark, save):
+    """The directions of the given documents against a full decomposition; texts without terms; similar texts lie together."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, None), (-2, " ")], "doc_id long, text string"))
+    sparse = save(learned.rows(docs, save, features=1024), "sparse")
+    held = {r.doc_id: r for r in sparse.collect()}
+    matrix = np.zeros((len(held), 1024))
+    for i, r in enumerate(held.values()):
+        matrix[i, r.places] = r.weights
+    lengths = np.sqrt((matrix**2).sum(axis=1))
+    assert ((abs(lengths - 1) < 1e-9) | (lengths == 0)).all() and not held[-1].places and not held[-2].places
+    basis = learned.fit(sparse, size=8, more=12, rounds=12, features=1024)
+    assert np.allclose(basis.T @ basis, np.eye(8), atol=1e-9)
+    _, strengths, directions = np.linalg.svd(matrix, full_matrices=False)
+    # what the best eight directions hold, and the angles between the two subspaces as far as they are told apart
+    assert ((matrix @ basis) ** 2).sum() >= 0.999 * (strengths[:8] ** 2).sum()
+    clear = next(k for k in range(8, 0, -1) if strengths[k - 1] > 1.03 * strengths[k])
+    assert np.linalg.svd(basis.T @ directions[:clear].T, compute_uv=False)[:clear].min() > 0.99
+    got = {r.doc_id: np.array(r.embedding) for r in learned.embedded(sparse, basis).collect()}
+    assert len(got) == len(held) and not got[-1].any()
+    want = matrix @ basis
+    for i, k in enumerate(held):
+        if want[i].any():
+            assert np.allclose(got[k], want[i] / np.linalg.norm(want[i]), atol=1e-5)
