@@ -24,8 +24,15 @@ COPYRIGHT = (
     r"^[^\p{L}\p{N}]*(?:(?i:all rights reserved)|©|\((?i:c)\)\s*(?:(?i:copyright)|©|[\[<{]|\d{4})"
     r"|(?i:copyright)[\s:,]*(?:$|©|\((?i:c)\)|[\[<{]|\d{4}|(?!(?i:" + NO_HOLDER + r")\b)(?:(?i:by|the)\s+)*(?!(?i:" + NO_HOLDER + r")\b)\p{Lu}))"
 )
-#: The wider pattern of the SQL, after lowering; the two agree on the given tables.
-SQL_COPYRIGHT = r"^[^\p{L}\p{N}]*(copyright|©|\(c\)|\(c\)copyright|all rights reserved)"
+#: The same for SQL, whose patterns can't look ahead: a line is dropped by the first, or by the second and not the third.
+SQL_COPYRIGHT = tuple(
+    r"^[^\p{L}\p{N}]*" + x
+    for x in (
+        r"((?i:all rights reserved)|©|\((?i:c)\)\s*((?i:copyright)|©|[\[<{]|\d{4})|(?i:copyright)[\s:,]*($|©|\((?i:c)\)|[\[<{]|\d{4}))",
+        r"(?i:copyright)[\s:,]*((?i:by|the)\s+)*\p{Lu}",
+        r"(?i:copyright)[\s:,]*((?i:by|the)\s+)*(?i:" + NO_HOLDER + r")\b",
+    )
+)
 #: Spellings that count as one (fixed values).
 SPELLINGS = (
     ("licence", "license"),
@@ -157,8 +164,9 @@ def _sql_line(x: str) -> str:
 
 
 def _sql_lines(text: str) -> str:
-    lines = f"list_filter(string_split(lower(coalesce({text}, '')), chr(10)), lambda x: NOT regexp_matches(x, '{SQL_COPYRIGHT}'))"
-    return f"list_filter(list_transform({lines}, lambda x: {_sql_line('x')}), lambda x: x <> '')"
+    stated, named, other = (f"regexp_matches(x, {_sql_text(p)})" for p in SQL_COPYRIGHT)
+    lines = f"list_filter(string_split(coalesce({text}, ''), chr(10)), lambda x: NOT ({stated} OR ({named} AND NOT {other})))"
+    return f"list_filter(list_transform({lines}, lambda x: {_sql_line('lower(x)')}), lambda x: x <> '')"
 
 
 def _sql_text(x: str) -> str:
@@ -166,9 +174,10 @@ def _sql_text(x: str) -> str:
 
 
 ORACLE = f"""
-WITH known(license, kind, text) AS (VALUES {", ".join(f"({_sql_text(a)}, {_sql_text(b)}, {_sql_text(c)})" for a, b, c in KNOWN)}
+WITH known(license, kind, text) AS (VALUES {", ".join(f"({_sql_text(a)}, {_sql_text(b)}, {_sql_text(c)})" for a, b, c in KNOWN + HEADERS)}
 ), k AS (
   SELECT license, kind, sha256(array_to_string({_sql_lines("text")}, ' ')) AS kd FROM known
+  UNION ALL SELECT * FROM (VALUES {", ".join(f"({_sql_text(a)}, 'text', {_sql_text(b)})" for a, b in DIGESTS)})
 ), d AS (
   SELECT row_number() OVER () AS r, doc_id, {_sql_lines("text")} AS ls FROM documents
 ), n AS (

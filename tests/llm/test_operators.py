@@ -138,6 +138,21 @@ def test_licenses_further(spark):
     assert {r.doc_id: r.license for r in licenses.scan(docs, known).collect()} == {i: k for i, (k, _) in enumerate(cases)}
 
 
+def test_licenses_by_sql(spark, tmp_path):
+    """The SQL over planted texts: every known text and header, with copyright lines of many kinds, wrapped lines and other spellings."""
+    import duckdb
+
+    stated = ["Copyright (c) 2024 A. Person", "copyright notice and this permission notice", "(c) Copyright Jane", "COPYRIGHT HOLDERS AND CONTRIBUTORS", "All rights reserved.", "Copyright by The Authors", "  * © 2001", "Copyright: Acme", "copyright holders be liable", "Copyright the author", "Copyright [yyyy] [name]", "Copyright"]
+    texts = [f"{stated[i % len(stated)]}\n{t}" for i, (_, _, t) in enumerate(licenses.KNOWN + licenses.HEADERS)]
+    texts += ["\n".join([x, "plain words", y]) for x in stated for y in stated[:3]] + [licenses.KNOWN[0][2].replace("license", "licence").upper(), None, "", "// SPDX-License-Identifier: MIT", "licence v2"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {tuple(r) for r in licenses.op2_licenses(spark, str(tmp_path)).collect()}
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = set(base.execute(f"SELECT doc_id, digest, license, notices, n_notices FROM ({licenses.ORACLE})").fetchall())
+    assert got == want and len({r[2] for r in want}) > 3 and len({r[3] for r in want}) > 30
+
+
 # --- 3
 
 
