@@ -254,12 +254,11 @@ top AS (SELECT question, doc, score, row_number() OVER (PARTITION BY question OR
 _TERM_STATS = _BM25[: _BM25.index("qt AS")].rstrip().rstrip(",")
 
 
-@query(f"WITH {_TERM_STATS} SELECT df, count(*) AS terms, round(max(idf), 6) AS idf, round(sum(idf), 4) AS idf_sum FROM t GROUP BY df")
+@query(f"WITH {_TERM_STATS} SELECT term, df, round(idf, 6) AS idf FROM t")
 def bm25_stats(spark, sf):
-    """The statistics of all terms, by the number of documents that a term is in."""
+    """A row for each term of the vocabulary."""
     docs = table(spark, sf, "documents")
-    terms = bm25.term_stats(bm25.document_counts(docs), bm25.corpus_stats(bm25.lengths(docs)))
-    return terms.groupBy("df").agg(F.count("*").alias("terms"), F.round(F.max("idf"), 6).alias("idf"), F.round(F.sum("idf"), 4).alias("idf_sum"))
+    return bm25.term_stats(bm25.document_counts(docs), bm25.corpus_stats(bm25.lengths(docs))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _questions(spark, sf):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -39,3 +41,20 @@ def test_query_equals_sql(spark, name):
     assert sorted(got.columns) == columns
     rows = lambda frame: sorted(tuple(map(plain, r)) for r in frame[columns].itertuples(index=False))
     assert rows(got) == rows(want)
+
+
+def test_bm25_stats_of_every_term(spark):
+    import duckdb
+    import pyarrow.parquet as pq
+
+    found = Counter()
+    for text in pq.read_table(SMALL / "documents.parquet", columns=["text"]).column(0).to_pylist():
+        found.update({w for w in re.split(r"[\x20\x09-\x0D]+", text or "") if w})
+    got = plans.QUERIES["bm25_stats"](spark, str(SMALL)).toPandas()
+    assert list(got.columns) == ["term", "df", "idf"]
+    assert len(got) == len(found) and dict(zip(got.term, got.df, strict=True)) == found
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL / 'documents.parquet'}'")
+    want = db.execute(plans.SQL["bm25_stats"]).df()
+    rows = lambda frame: sorted(tuple(map(plain, r)) for r in frame[["term", "df", "idf"]].itertuples(index=False))
+    assert rows(got) == rows(want)
