@@ -37,19 +37,51 @@ from corvine.llm.pieces import Pieces
 VOCABULARY = "byte_bpe_50k.json"
 END_ID, BLOCK, PERCENTILE, SHARD_IDS = 0, 1024, 97, 1 << 18
 REMEMBERED = 500_000
+#: Blocks that are packed together.
+TOGETHER = 64
 #: Characters of a text that rows of one doc_id are dealt by.
 RANGED = 32
 MAGIC = b"TKB1"
 SHARDS = "part int, shard int, n_ids long, doc_ids array<long>, lengths array<int>, body binary"
 
 
+def lanes(values: np.ndarray, width: int) -> np.ndarray:
+    """Rows of values, the low ``width`` bits of each packed from the low bit, as rows of bytes: 32 values fill ``width`` words."""
+    rows, n = values.shape
+    if n % 32:
+        values = np.pad(values, ((0, 0), (0, -n % 32)))
+    by_place = np.ascontiguousarray((values & np.uint32((1 << width) - 1)).reshape(-1, 32).T)
+    words = np.zeros((width, by_place.shape[1]), dtype=np.uint32)
+    for place in range(32 if width else 0):
+        at, shift = divmod(place * width, 32)
+        words[at] |= by_place[place] << np.uint32(shift)
+        if shift + width > 32:
+            words[at + 1] |= by_place[place] >> np.uint32(32 - shift)
+    return np.ascontiguousarray(words.T, dtype="<u4").view(np.uint8).reshape(rows, -1 if width else 0)
+
+
+def from_lanes(data: bytes, rows: int, n: int, width: int) -> np.ndarray:
+    """The rows of ``n`` values again."""
+    if not width:
+        return np.zeros((rows, n), dtype=np.uint32)
+    words = np.ascontiguousarray(np.frombuffer(data, "<u4").reshape(-1, width).T, dtype=np.uint32)
+    by_place = np.empty((32, words.shape[1]), dtype=np.uint32)
+    for place in range(32):
+        at, shift = divmod(place * width, 32)
+        by_place[place] = words[at] >> np.uint32(shift)
+        if shift + width > 32:
+            by_place[place] |= words[at + 1] << np.uint32(32 - shift)
+    by_place &= np.uint32((1 << width) - 1)
+    return by_place.T.reshape(rows, -1)[:, :n]
+
+
 def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> bytes:
-    """The ids as one shard."""
+    """The ids as one shard. Blocks of equal width are packed together."""
     ids = np.ascontiguousarray(ids, dtype=np.uint32)
     n_blocks = -(-len(ids) // block)
     bodies = []
-    for at in range(0, len(ids), block * 64):
-        some = ids[at : at + block * 64]
+    for at in range(0, len(ids), block * TOGETHER):
+        some = ids[at : at + block * TOGETHER]
         rows = -(-len(some) // block)
         grid = np.full((rows, block), some[-1] if len(some) else 0, dtype=np.uint32)
         grid.reshape(-1)[: len(some)] = some
@@ -57,19 +89,19 @@ def pack(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) ->
         over = grid - base[:, None]
         bound = np.partition(over, int(block * percentile / 100) - 1, axis=1)[:, int(block * percentile / 100) - 1].astype(np.uint64)
         width = np.ceil(np.log2(bound + 1.0)).astype(np.int64)
-        for row in range(rows):
-            count, w = min(block, len(some) - row * block), int(width[row])
-            values = over[row, :count]
-            low = values & np.uint32((1 << w) - 1) if w < 32 else values
-            bits = ((low[:, None] >> np.arange(w, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
-            high = values >> np.uint32(w) if w < 32 else np.zeros_like(values)
-            places = np.flatnonzero(high)
-            bodies.append(
-                b"".join(
-                    (int(base[row]).to_bytes(4, "little"), bytes((w, 0)), len(places).to_bytes(2, "little"), np.packbits(bits.reshape(-1), bitorder="little").tobytes())
-                    + (places.astype("<u2").tobytes(), high[places].astype("<u4").tobytes())
-                )
-            )
+        over.reshape(-1)[len(some) :] = 0
+        low: list[bytes] = [b""] * rows
+        for w in np.unique(width).tolist():
+            equal = np.flatnonzero(width == w)
+            for row, data in zip(equal.tolist(), lanes(over[equal], w), strict=True):
+                low[row] = data[: -(-min(block, len(some) - row * block) * w // 8)].tobytes()
+        high = np.where(width[:, None] < 32, over >> np.minimum(width, 31).astype(np.uint32)[:, None], np.uint32(0))
+        in_row, places = np.nonzero(high)
+        bounds = np.searchsorted(in_row, np.arange(rows + 1)).tolist()
+        above, places = high[in_row, places].astype("<u4"), places.astype("<u2")
+        for row, (least, w) in enumerate(zip(base.tolist(), width.tolist(), strict=True)):
+            a, b = bounds[row : row + 2]
+            bodies.append(b"".join((least.to_bytes(4, "little"), bytes((w, 0)), (b - a).to_bytes(2, "little"), low[row], places[a:b].tobytes(), above[a:b].tobytes())))
     starts = np.zeros(n_blocks + 1, dtype="<u4")
     np.cumsum([len(b) for b in bodies], out=starts[1:]) if bodies else None
     return b"".join([MAGIC, np.array([len(ids), block, n_blocks], dtype="<u4").tobytes(), starts.tobytes(), *bodies])
@@ -80,24 +112,24 @@ def unpack(shard: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     if shard[:4] != MAGIC:
         raise ValueError("not a token shard")
     n, block, n_blocks = (int(x) for x in np.frombuffer(shard, "<u4", 3, 4))
-    starts = np.frombuffer(shard, "<u4", n_blocks + 1, 16).astype(np.int64) + 16 + 4 * (n_blocks + 1)
+    starts = (np.frombuffer(shard, "<u4", n_blocks + 1, 16).astype(np.int64) + 16 + 4 * (n_blocks + 1)).tolist()
     last = n_blocks if last is None else min(last, n_blocks)
-    out = np.empty(max(0, min(n, last * block) - first * block), dtype=np.uint32)
-    for b in range(first, last):
-        at, count = int(starts[b]), min(block, n - b * block)
-        base, w, n_places = int.from_bytes(shard[at : at + 4], "little"), shard[at + 4], int.from_bytes(shard[at + 6 : at + 8], "little")
-        size = -(-count * w // 8)
-        values = np.zeros(count, dtype=np.uint32)
-        if w:
-            bits = np.unpackbits(np.frombuffer(shard, np.uint8, size, at + 8), count=count * w, bitorder="little").reshape(count, w)
-            wide = np.zeros((count, 32), dtype=np.uint8)
-            wide[:, :w] = bits
-            values = np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(-1).copy()
-        if n_places:
-            places = np.frombuffer(shard, "<u2", n_places, at + 8 + size)
-            values[places] |= np.frombuffer(shard, "<u4", n_places, at + 8 + size + 2 * n_places) << np.uint32(w)
-        out[(b - first) * block :][:count] = values + np.uint32(base)
-    return out
+    out = np.empty((max(0, last - first), block), dtype=np.uint32)
+    for begin in range(first, last, TOGETHER):
+        grid = out[begin - first :][:TOGETHER]
+        heads = [(at, int.from_bytes(shard[at : at + 4], "little"), shard[at + 4], int.from_bytes(shard[at + 6 : at + 8], "little")) for at in starts[begin : begin + len(grid)]]
+        sizes = [-(-min(block, n - b * block) * w // 8) for b, (_, _, w, _) in enumerate(heads, begin)]
+        for w in {w for _, _, w, _ in heads}:
+            equal = [row for row, head in enumerate(heads) if head[2] == w]
+            full = 4 * w * -(-block // 32)
+            data = b"".join([shard[heads[row][0] + 8 : heads[row][0] + 8 + sizes[row]].ljust(full, b"\0") for row in equal])
+            grid[equal] = from_lanes(data, len(equal), block, w)
+        for values, size, (at, _, w, n_places) in zip(grid, sizes, heads, strict=True):
+            if n_places:
+                places = np.frombuffer(shard, "<u2", n_places, at + 8 + size)
+                values[places] |= np.frombuffer(shard, "<u4", n_places, at + 8 + size + 2 * n_places) << np.uint32(w)
+        grid += np.array([base for _, base, _, _ in heads], dtype=np.uint32)[:, None]
+    return out.reshape(-1)[: max(0, min(n, last * block) - first * block)]
 
 
 class Encoder:
@@ -132,14 +164,13 @@ class Encoder:
             out[i] = np.array(e.ids, dtype="<u4").tobytes()
         groups = [rest[i : i + self.joined] for i in range(0, len(rest), self.joined)]
         encoded = self.tokenizer.encode_batch_fast(["".join([pieces[i] for i in g]) for g in groups], add_special_tokens=False)
-        for group, e in zip(groups, encoded, strict=True):
-            ids = np.array(e.ids, dtype="<u4")
-            ends = np.cumsum(self.size_of[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(pieces[i].encode()) for i in group]), side="right")
-            data, at = ids.tobytes(), 0
-            for i, cut in zip(group, (4 * cuts).tolist(), strict=True):
-                out[i] = data[at:cut]
-                at = cut
+        # each group's ids stand for all its bytes, so sums may run through all groups
+        ids = np.concatenate([np.array(e.ids, dtype="<u4") for e in encoded] or [np.empty(0, "<u4")])
+        cuts = np.searchsorted(np.cumsum(self.size_of[ids]), np.cumsum([len(pieces[i].encode()) for i in rest]), side="right")
+        data, at = ids.tobytes(), 0
+        for i, cut in zip(rest, (4 * cuts).tolist(), strict=True):
+            out[i] = data[at:cut]
+            at = cut
         return out
 
     def encode_whole(self, texts: list[str]) -> list[bytes]:

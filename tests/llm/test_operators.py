@@ -419,6 +419,41 @@ def test_pack(n):
         assert (tokenbin.unpack(shard) == ids).all() and (tokenbin.unpack(shard, 1, 3) == ids[1024:3072]).all()
 
 
+@pytest.mark.parametrize("n, block", [(3, 64), (1000, 64), (1025, 1024), (300, 100)])
+def test_pack_format(n, block):
+    """Each byte of a shard as the format says, made with whole numbers of any length."""
+    r = np.random.default_rng(n)
+    for ids in (r.integers(0, 50_000, n), np.where(r.random(n) < 0.01, (1 << 32) - 1, r.integers(5, 90, n)), np.full(n, 9)):
+        shard = tokenbin.pack(ids.astype(np.uint32), block)
+        bodies, starts = b"", [0]
+        for some in (ids[i : i + block].tolist() for i in range(0, n, block)):
+            base = min(some)
+            over = sorted(x - base for x in some + some[-1:] * (block - len(some)))
+            width = over[int(block * tokenbin.PERCENTILE / 100) - 1].bit_length()
+            low = sum((x - base) % (1 << width) << width * i for i, x in enumerate(some)).to_bytes(-(-len(some) * width // 8), "little")
+            high = [(i, (x - base) >> width) for i, x in enumerate(some) if (x - base) >> width]
+            head = base.to_bytes(4, "little") + bytes((width, 0)) + len(high).to_bytes(2, "little")
+            bodies += head + low + b"".join(i.to_bytes(2, "little") for i, _ in high) + b"".join(x.to_bytes(4, "little") for _, x in high)
+            starts.append(len(bodies))
+        numbers = [n, block, len(starts) - 1, *starts]
+        assert shard == tokenbin.MAGIC + b"".join(x.to_bytes(4, "little") for x in numbers) + bodies
+        assert (tokenbin.unpack(shard) == ids).all()
+
+
+def test_pack_is_no_work_by_bits():
+    """Writing and reading a shard takes about as long as laying out the bits of its ids one by one; by bits it took three times that."""
+    ids = np.random.default_rng(8).integers(0, 50_000, 1 << 18).astype(np.uint32)
+    bits = np.arange(16, dtype=np.uint32)
+
+    def took(f):
+        began = time.process_time()
+        f()
+        return time.process_time() - began
+
+    by_bits = lambda: [np.packbits(((some[:, None] >> bits) & np.uint32(1)).astype(np.uint8), bitorder="little") for some in ids.reshape(-1, 1024)]
+    assert min(took(lambda: tokenbin.unpack(tokenbin.pack(ids))) for _ in range(7)) < 1.6 * min(took(by_bits) for _ in range(7))
+
+
 # --- 6
 
 
