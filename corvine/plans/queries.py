@@ -947,10 +947,11 @@ def picture_features(spark, sf):
     d = F.col("l_linenumber") % 4
     pick = lambda *v: F.element_at(F.array(*map(F.lit, v)), (d + 1).cast("int"))
     rows = table(spark, sf, "lineitem").filter("l_quantity >= 2")
-    strokes = rows.select(F.col("l_orderkey").alias("image"), (F.col("l_partkey") % 60).alias("x0"), (F.col("l_suppkey") % 60).alias("y0"), pick(1, 0, 1, 2).alias("dx"), pick(0, 1, 1, 1).alias("dy"), (F.col("l_partkey") % 256).alias("value"), F.explode(F.expr("sequence(0L, CAST(l_quantity AS BIGINT) DIV 2 - 1)")).alias("k"))
+    strokes = rows.select(F.col("l_orderkey").alias("image"), (F.col("l_partkey") % 60).alias("x0"), (F.col("l_suppkey") % 60).alias("y0"), pick(1, 0, 1, 2).alias("dx"), pick(0, 1, 1, 1).alias("dy"), (F.col("l_partkey") % 256).alias("value"), F.expr("CAST(l_quantity AS BIGINT) DIV 2").alias("n"))
+    # strokes are shuffled, not their pixels
+    strokes = strokes.repartition("image").sortWithinPartitions("image").select("*", F.explode(F.expr("sequence(0L, n - 1)")).alias("k"))
     pixels = strokes.select("image", (F.col("x0") + F.col("k") * F.col("dx")).alias("x"), (F.col("y0") + F.col("k") * F.col("dy")).alias("y"), "value")
-    found = line_voting.features(line_voting.lines(line_voting.peaks(line_voting.votes(pixels))))
-    return found.join(line_voting.colour_peaks(pixels), "image").withColumn("angle_var", F.round("angle_var", 6))
+    return line_voting.picture_features(line_voting.pictures(pixels)).withColumn("angle_var", F.round("angle_var", 6))
 
 
 @query()
