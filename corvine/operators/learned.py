@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvine.functions.text import words
+from corvine.session import cleaned
 
 FEATURES, SIZE, MORE, ROUNDS = 1 << 15, 64, 16, 3
 #: Places that are summed together.
@@ -41,32 +42,42 @@ def rows(docs: DataFrame, save, key: str = "doc_id", text: str = "text", feature
         import pyarrow as pa
 
         for batch in batches:
-            at, weights = [], []
-            for own in batch.column(1).to_pylist():
-                p, tf = np.unique(np.array(own, dtype=np.int32), return_counts=True)
-                w = (1 + np.log(tf)) * shared.value[p]
-                at.append(p)
-                weights.append(w / (np.sqrt((w * w).sum()) or 1.0))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float64()))], names=["key", "places", "weights"])
+            row, at = _entries(batch.column(1))
+            terms = np.sort(row * features + at)
+            new = np.flatnonzero(np.append(True, terms[1:] != terms[:-1])[: len(terms)])
+            tf, row, at = np.diff(np.append(new, len(terms))), terms[new] // features, terms[new] % features
+            w = (1 + np.log(tf)) * shared.value[at]
+            length = np.sqrt(np.bincount(row, w * w, minlength=len(batch)))
+            w /= np.where(length > 0, length, 1.0)[row]
+            offsets = pa.array(np.searchsorted(row, np.arange(len(batch) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, x) for x in (pa.array(at, pa.int32()), pa.array(w))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["key", "places", "weights"])
 
     return read.mapInArrow(weigh, f"key {docs.schema[key].dataType.simpleString()}, places array<int>, weights array<double>").withColumnRenamed("key", key)
 
 
+def _entries(lists) -> tuple[np.ndarray, np.ndarray]:
+    """Row number and value of each entry of a batch's lists."""
+    return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy()
+
+
 def _flat(batch, places: str = "places", weights: str = "weights"):
     """The rows of a batch one behind the other: row number, place and weight of each entry."""
-    lists = batch.column(batch.schema.get_field_index(places))
-    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
-    values = batch.column(batch.schema.get_field_index(weights)).flatten().to_numpy()
-    return np.repeat(np.arange(len(batch)), sizes), lists.flatten().to_numpy(), values
+    row, at = _entries(batch.column(batch.schema.get_field_index(places)))
+    return row, at, batch.column(batch.schema.get_field_index(weights)).flatten().to_numpy()
+
+
+def added(to: np.ndarray, key: np.ndarray, other: np.ndarray, weight: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """``to[key] += weight * rows[other]`` over entries in the order of their keys, with one product for all entries of a key."""
+    begins = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+    for k, low, high in zip(key[begins].tolist(), begins.tolist(), np.append(begins, len(key))[1:].tolist(), strict=True):
+        to[k] += weight[low:high] @ rows[other[low:high]]
+    return to
 
 
 def times(row: np.ndarray, at: np.ndarray, weight: np.ndarray, n: int, basis: np.ndarray) -> np.ndarray:
-    """Sparse rows times a basis, a thousand rows' worth of entries at a time."""
-    out = np.zeros((n, basis.shape[1]))
-    for low in range(0, len(at), 1 << 15):
-        s = slice(low, low + (1 << 15))
-        np.add.at(out, row[s], basis[at[s]] * weight[s, None])
-    return out
+    """Sparse rows times a basis."""
+    return added(np.zeros((n, basis.shape[1])), row, at, weight, basis)
 
 
 def product(sparse: DataFrame, basis: np.ndarray) -> np.ndarray:
@@ -80,9 +91,8 @@ def product(sparse: DataFrame, basis: np.ndarray) -> np.ndarray:
         for batch in batches:
             row, at, weight = _flat(batch)
             y = times(row, at, weight, len(batch), shared.value)
-            for low in range(0, len(at), 1 << 15):
-                s = slice(low, low + (1 << 15))
-                np.add.at(total, at[s], y[row[s]] * weight[s, None])
+            order = np.argsort(at, kind="stable")
+            added(total, at[order], row[order], weight[order], y)
         blocks = [b for b in range(0, features, BLOCK) if total[b : b + BLOCK].any()]
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([total[b : b + BLOCK].tobytes() for b in blocks], pa.binary())], names=["block", "sum"])
 
@@ -97,9 +107,10 @@ def product(sparse: DataFrame, basis: np.ndarray) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int32()), pa.array([x.tobytes() for x in found.values()], pa.binary())], names=["block", "sum"])
 
     out = np.zeros((features, size))
-    for r in sparse.select("places", "weights").mapInArrow(part, "block int, sum binary").repartition("block").mapInArrow(summed, "block int, sum binary").collect():
-        own = np.frombuffer(r["sum"]).reshape(-1, size)
-        out[r["block"] : r["block"] + len(own)] = own
+    with cleaned(sparse.sparkSession):
+        for r in sparse.select("places", "weights").mapInArrow(part, "block int, sum binary").repartition("block").mapInArrow(summed, "block int, sum binary").collect():
+            own = np.frombuffer(r["sum"]).reshape(-1, size)
+            out[r["block"] : r["block"] + len(own)] = own
     return out
 
 
@@ -123,6 +134,7 @@ def embedded(sparse: DataFrame, basis: np.ndarray, key: str = "doc_id") -> DataF
             row, at, weight = _flat(batch)
             y = times(row, at, weight, len(batch), shared.value)
             y /= np.maximum(np.sqrt((y * y).sum(axis=1, keepdims=True)), 1e-300)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(y.astype(np.float32)), pa.list_(pa.float32()))], names=[key, "embedding"])
+            offsets = pa.array(np.arange(len(y) + 1) * y.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(y.astype(np.float32).ravel()))], names=[key, "embedding"])
 
     return sparse.select(key, "places", "weights").mapInArrow(run, f"{key} {sparse.schema[key].dataType.simpleString()}, embedding array<float>")
