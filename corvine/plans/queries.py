@@ -20,6 +20,7 @@ from corvine.functions import tables as M
 from corvine.functions import text as X
 from corvine.functions import verdicts as V
 from corvine.operators import answers, bm25, chart_flow, context, embed, fusion, hash_tree, ivf, learned, line_voting, manifest, numbering, postings, splitter, store, vector, versioned, workflow
+from corvine.session import cleaned
 from corvine.sources import files, page_format, pages
 from corvine.streaming import rate_limit as R
 
@@ -52,9 +53,10 @@ def _shared(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """A table in the shared folder, read back: cheaper than a checkpoint, and Spark knows its size."""
+    """A table in the shared folder, read back: cheaper than a checkpoint, and Spark knows its size. Shuffle files behind it are removed."""
     path = f"{_shared(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with cleaned(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
