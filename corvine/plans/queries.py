@@ -291,7 +291,7 @@ def vocabulary(spark, sf):
 
 
 def _ranked(spark, sf):
-    top = bm25_topk(spark, sf)
+    top = written(bm25_topk(spark, sf), "top")  # Spark knows that it is small, and leaves the texts where they are
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("doc"), F.coalesce("text", F.lit("")).alias("content"), F.concat(F.lit("corpus/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("source"))
     return top.join(docs, "doc").join(_questions(spark, sf), "question")
 
