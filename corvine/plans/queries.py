@@ -751,24 +751,23 @@ def answer_questions(spark, sf):
 
     Chunks are retrieved by words and by vectors, and the two lists fused.
     """
-    chunks = saved(_chunk_rows(spark, sf).withColumn("number", F.monotonically_increasing_id()), "chunks")
-    vectors = saved(_embedded(chunks, "number", "content").withColumnRenamed("number", "id"), "vectors")
-    texts = chunks.select(F.col("number").alias("doc_id"), F.col("content").alias("text"))
+    texts = written(_chunk_rows(spark, sf).select(F.monotonically_increasing_id().alias("doc_id"), F.col("content").alias("text")), "chunks")
+    vectors = written(embed.dense_rows(texts, "doc_id", "text").withColumnRenamed("doc_id", "id"), "vectors")
     at = f"{_shared(spark)}/words-{uuid.uuid4().hex}"
     postings.append(texts, at)
     index = postings.Index(spark, at)
 
     def retrieve(questions):
-        asked = saved(questions.withColumn("query", F.monotonically_increasing_id()), "asked")
-        queries = _embedded(asked, "query", "text")
+        asked = written(questions.withColumn("query", F.monotonically_increasing_id()), "asked")
+        queries = embed.dense_rows(asked, "query", "text")
         by_vector = vector.diverse(vector.nearest(queries, vectors), queries, vectors)
         by_words = postings.search(index, asked.select(F.col("query").alias("question"), "text"), written)
         one = by_words.select(F.col("question").alias("query"), F.lit(0).alias("retriever"), "rank", F.lit(DEFAULTS.BM25_WEIGHT).alias("weight"), F.col("doc").alias("id"))
         fused = fusion.fuse(one.unionByName(by_vector.select("query", F.lit(1).alias("retriever"), "rank", F.lit(DEFAULTS.VECTOR_WEIGHT).alias("weight"), "id")))
-        found = fused.join(texts.withColumnRenamed("doc_id", "id"), "id").select("query", "rank", F.col("text").alias("content"))
+        found = written(fused, "fused").join(texts.withColumnRenamed("doc_id", "id"), "id").select("query", "rank", F.col("text").alias("content"))
         return found.join(asked.select("query", "question"), "query").select("question", "rank", "content")
 
-    return workflow.answer_parts(_questions(spark, sf), retrieve, save=saved)
+    return workflow.answer_parts(_questions(spark, sf), retrieve, save=written)
 
 
 @query("""
